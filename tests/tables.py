@@ -1,0 +1,109 @@
+"""Small tables made by hand and at random."""
+
+from __future__ import annotations
+
+import random
+from datetime import date, timedelta
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tillroll.sources.schemas import offers_schema, train_history_schema, transactions_schema
+
+OFFER_DAY = date(2013, 5, 1)
+
+OFFERS = [
+    # offer, category, quantity, company, offervalue, brand
+    (1, 100, 1, 7, Decimal("1.00"), 70),
+    (2, 100, 1, 7, Decimal("2.00"), 70),  # the same product as offer 1
+    (3, 200, 1, 8, Decimal("1.50"), 80),
+    (4, 100, 1, 9, Decimal("0.75"), 90),  # never sold
+]
+
+HISTORY = [
+    # id, chain, offer, market, repeattrips, repeater, offerdate
+    (10, 4, 1, 34, 2, "t", OFFER_DAY),
+    (11, 4, 2, 34, 0, "f", OFFER_DAY),
+    (12, 5, 3, 21, 0, "u", OFFER_DAY),
+    (13, 5, 1, 21, 0, "f", OFFER_DAY),  # no transactions
+    (14, 5, 4, 21, 0, "f", OFFER_DAY),  # product never sold
+    (15, 5, 99, 21, 0, "f", OFFER_DAY),  # offer unknown
+]
+
+
+def sale(id_, days, category, company, brand, quantity, amount, dept=None, size=1.0):
+    """A purchase ``days`` before the offer day; negative days are after it."""
+    dept = category // 100 if dept is None else dept
+    day = OFFER_DAY - timedelta(days=days)
+    amount = Decimal(amount)
+    return (id_, 4, dept, category, company, brand, day, size, "OZ", quantity, amount)
+
+
+TRANSACTIONS = [
+    # shopper 10: the own product, at the edges of the look-back limits
+    sale(10, -1, 100, 7, 70, 1, "1.10"),
+    sale(10, 0, 100, 7, 70, 1, "2.20"),
+    sale(10, 29, 100, 7, 70, 2, "4.40"),
+    sale(10, 30, 100, 7, 70, 1, "8.80"),
+    sale(10, 31, 100, 7, 70, -1, "-3.00"),  # a return
+    sale(10, 1000, 100, 5, 50, 1, "0.50"),
+    sale(10, 1001, 100, 5, 50, 3, "0.25"),
+    sale(10, 29, 300, 7, 50, 1, "10.00"),  # the company only
+    # shopper 11: one row twice, and a product on no offer
+    sale(11, 10, 100, 7, 70, 1, "5.00"),
+    sale(11, 10, 100, 7, 70, 1, "5.00"),
+    sale(11, 40, 300, 5, 50, 1, "7.00"),
+    # shopper 12: the brand only; same dept, other category
+    sale(12, 20, 300, 5, 80, 4, "3.00", dept=2),
+    # shopper 14: something
+    sale(14, 5, 200, 8, 80, 1, "6.00"),
+    # shopper 99 is not in the history
+    sale(99, 5, 100, 7, 70, 1, "1.00"),
+]
+
+
+def frames(spark: SparkSession, transactions=None, offers=None, history=None):
+    """The three tables as DataFrames: transactions, offers, history."""
+    return (
+        spark.createDataFrame(transactions or TRANSACTIONS, transactions_schema()),
+        spark.createDataFrame(offers or OFFERS, offers_schema()),
+        spark.createDataFrame(history or HISTORY, train_history_schema()),
+    )
+
+
+def random_tables(seed: int, shoppers: int = 12, rows: int = 400, hot: float = 0.0):
+    """Rows with few distinct values, so that everything collides.
+
+    ``hot`` is the share of rows that belong to shopper 0.
+    """
+    pick = random.Random(seed)
+    categories, companies, brands = (100, 101, 200, 201), (7, 8, 9), (70, 80, 90)
+    offers = [
+        (n, pick.choice(categories), 1, pick.choice(companies), Decimal("1.25"),
+         pick.choice(brands))
+        for n in range(1, 6)
+    ]
+    history = [
+        (i, 1, pick.randint(1, 5), 2, 0, pick.choice("tf"),
+         OFFER_DAY + timedelta(days=pick.randint(0, 3)))
+        for i in range(shoppers)
+    ]
+    log = []
+    for _ in range(rows):
+        id_ = 0 if pick.random() < hot else pick.randrange(shoppers + 3)
+        days = pick.choice((-3, 0, 1, 28, 29, 30, 31, 60, 90, 120, 150, 180, 1000, 1001, 1500))
+        quantity = pick.choice((1, 1, 2, 5, -1))
+        amount = str(Decimal(quantity) * Decimal(pick.randint(1, 300)) / 100)
+        row = sale(
+            id_, days, pick.choice(categories), pick.choice(companies), pick.choice(brands),
+            quantity, amount,
+        )
+        log += [row] * pick.choice((1, 1, 1, 2))
+    # every category has a dept, so the strict map never objects
+    log += [sale(0, 9, c, 7, 70, 1, "1.00") for c in categories]
+    return log, offers, history
+
+
+def rows_of(df: DataFrame) -> list[tuple]:
+    names = sorted(df.columns)
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)

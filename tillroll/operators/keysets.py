@@ -28,7 +28,8 @@ def offer_universe_rows(transactions: DataFrame, offers: DataFrame) -> DataFrame
 
 
 def shared_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    return left.select(key).intersect(right.select(key))
+    """Keys on both sides; distinct first, so that repeats are not shuffled."""
+    return left.select(key).distinct().intersect(right.select(key).distinct())
 
 
 def all_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -36,7 +37,7 @@ def all_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def only_left_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    return left.select(key).subtract(right.select(key))
+    return left.select(key).distinct().subtract(right.select(key).distinct())
 
 
 def attach(

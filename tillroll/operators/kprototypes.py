@@ -14,6 +14,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,20 +96,16 @@ def assign(rows: DataFrame, fits: Sequence[Fit]) -> DataFrame:
     Clusters count from 0; a tie goes to the lower number.
     """
     width = max(fit.k for fit in fits)
-    table = [
-        (
-            fit.item,
-            fit.k,
-            fit.run,
-            fit.gamma,
-            [mode for mode, _ in fit.prototypes],
-            *[[at[i] for _, at in fit.prototypes] for i in range(len(NUMERIC))],
-        )
-        for fit in fits
-    ]
-    centres = ", ".join(f"_{c} array<double>" for c in NUMERIC)
-    schema = f"item string, k int, run int, gamma double, modes array<string>, {centres}"
-    lookup = rows.sparkSession.createDataFrame(table, schema)  # one short row per fit
+    table = {
+        "item": [fit.item for fit in fits],
+        "k": pa.array([fit.k for fit in fits], pa.int32()),
+        "run": pa.array([fit.run for fit in fits], pa.int32()),
+        "gamma": [fit.gamma for fit in fits],
+        "modes": [[mode for mode, _ in fit.prototypes] for fit in fits],
+    }
+    for i, c in enumerate(NUMERIC):
+        table[f"_{c}"] = [[at[i] for _, at in fit.prototypes] for fit in fits]
+    lookup = rows.sparkSession.createDataFrame(pa.table(table))  # one short row per fit
 
     # A fit with fewer clusters has no further places; least() skips those.
     distances = []

@@ -60,15 +60,16 @@ def _band(day_limits: Sequence[int | None], recent_days: int) -> Column:
 
 def event_measures(
     events: DataFrame,
-    items: Sequence[str] = ITEMS,
     day_limits: Sequence[int | None] = DAY_LIMITS,
     recent_days: int = RECENT_DAYS,
 ) -> DataFrame:
-    """One row per event: shopper, look-back band and what the event adds."""
+    """One row per event: shopper, look-back band and what the event adds.
+
+    Measures that no feature asks for are pruned from the plan.
+    """
     amount, quantity = cents("purchaseamount"), F.col("purchasequantity").cast("bigint")
-    same = {c: F.col(c) == F.col(f"offer_{c}") for c in ITEMS}
-    hits = {c: same[c] for c in items}
-    hits["own"] = reduce(and_, same.values())
+    hits = {c: F.col(c) == F.col(f"offer_{c}") for c in ITEMS}
+    hits["own"] = reduce(and_, hits.values())
     if "dept" in events.columns:
         hits["dept"] = F.col("dept") == F.col("offer_dept")
 

@@ -137,7 +137,7 @@ def base_features(
     spine = build_spine(history, offers)
     small_spine = fits_broadcast(spine)
     events = lb.history_events(transactions, spine, before_offer, small_spine)
-    measures = lb.event_measures(events, items, day_limits)
+    measures = lb.event_measures(events, day_limits)
     features = lb.ever_features() | lb.total_spend_feature() | _grid(items, day_limits)
     looked = lb.per_shopper(lb.roll_up(measures), features)
     single = {p: x for p, x in FEATURE_NAMES.items() if int(x[1:]) <= 8}
@@ -172,7 +172,7 @@ def feature_matrix(
     small_spine, small_offers = fits_broadcast(spine), fits_broadcast(offers)
 
     events = lb.history_events(transactions, spine, before_offer, small_spine)
-    measures = lb.event_measures(events, items, day_limits, recent_days)
+    measures = lb.event_measures(events, day_limits, recent_days)
     features = (
         lb.ever_features()
         | _grid(items, day_limits)

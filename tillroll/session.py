@@ -5,7 +5,7 @@ Settings, all optional, taken from the running session:
 ``spark.checkpoint.dir``
     Shared folder for intermediate tables.  Required on a cluster.
 ``spark.tillroll.broadcastBytes``
-    Largest lookup table, measured, that is broadcast (default 64 MiB).
+    Largest lookup table, measured, that is broadcast (default 256 MiB).
 ``spark.tillroll.hotShare``
     A join key holding more than this share of the rows is split over
     several partitions when the lookup is too large to broadcast
@@ -28,7 +28,7 @@ SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
 DEFAULT_HOT_SHARE = 0.001
 
 _local_folders: dict[str, str] = {}
