@@ -295,6 +295,7 @@ def oracle_sql() -> dict[str, str]:
         "saved_reduction": _with(f"select {ROW} from t where {IN_ANY}"),
         "saved_dept_map": _with("select category, dept from dept_of"),
         "saved_features": _base(),
+        "features_from_files": _matrix(),
         "spine": _with("select * replace (cast(offervalue as double) as offervalue) from spine"),
         "spine_test": _with(
             "select * replace (cast(offervalue as double) as offervalue) from spine",

@@ -16,6 +16,7 @@ from tillroll.operators import reduction as rd
 from tillroll.operators import spine as sp
 from tillroll.operators.scaling import NUMERIC
 from tillroll.plans import features as ft
+from tillroll.plans import pipeline
 from tillroll.plans import segments as sg
 from tillroll.session import new_path, stage, work_folder
 from tillroll.sources import files, schemas
@@ -106,6 +107,17 @@ def saved_features(t: RetailTables) -> DataFrame:
     return files.load_saved(spark, [saved])[0]
 
 
+@query("features_from_files")
+def features_from_files(t: RetailTables) -> DataFrame:
+    spark, folder = t.offers.sparkSession, new_path(t.offers.sparkSession, "pipeline")
+    inputs = pipeline.Inputs(*[f"{folder}/in/{n}" for n in ("offers", "log", "train")])
+    for table, path in zip((t.offers, t.transactions, t.train_history), inputs):
+        files.write_csv(table, path)
+    key_types = SAMPLE_KEYS | {"dept": "string"}
+    results = pipeline.run(spark, inputs, f"{folder}/out", key_types)
+    return files.load_saved(spark, [results.saved_features])[0]
+
+
 # --- the spine -------------------------------------------------------------
 
 

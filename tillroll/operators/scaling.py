@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators.lookback import matched_events
 from tillroll.sources.schemas import ITEMS
 
 NUMERIC = ("purchasequantity", "purchaseamount", "day_diff")
 
 
 def clustering_rows(events: DataFrame, items: tuple[str, ...] = ITEMS) -> DataFrame:
-    """Matched events of each item under one another: item, value, numbers."""
-    parts = [
-        matched_events(events, item).select(
-            F.lit(item).alias("item"),
-            F.col(item).cast("string").alias("value"),
-            *[F.col(c).cast("double").alias(c) for c in NUMERIC],
+    """Matched events, one row per item that matches: item, value, numbers.
+
+    One pass over the events, however many items.
+    """
+    matches = [
+        F.when(
+            F.col(item) == F.col(f"offer_{item}"),
+            F.struct(F.lit(item).alias("item"), F.col(item).cast("string").alias("value")),
         )
         for item in items
     ]
-    return reduce(DataFrame.unionByName, parts)
+    numbers = [F.col(c).cast("double").alias(c) for c in NUMERIC]
+    return events.select(F.inline(F.array_compact(F.array(*matches))), *numbers)
 
 
 def scaling_stats(rows: DataFrame) -> DataFrame:

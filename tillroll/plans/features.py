@@ -123,6 +123,76 @@ def _beside_spine(features: DataFrame, spine: DataFrame, small: bool) -> DataFra
     return wide.withColumns(interactions())
 
 
+def lookback_table(
+    transactions: DataFrame,
+    spine: DataFrame,
+    *,
+    items: Sequence[str] = ITEMS,
+    day_limits: Sequence[int | None] = lb.DAY_LIMITS,
+    recent_days: int = lb.RECENT_DAYS,
+    before_offer: bool = False,
+    small_spine: bool | None = None,
+) -> DataFrame:
+    """Everything about a shopper's own purchases, from one pass over the log.
+
+    Columns nobody reads are pruned, down to the log's.  The features on the
+    dept are left out for a spine without one.
+    """
+    events = lb.history_events(transactions, spine, before_offer, small_spine)
+    measures = lb.event_measures(events, day_limits, recent_days)
+    features = (
+        lb.ever_features()
+        | _grid(items, day_limits)
+        | lb.total_spend_feature()
+        | lb.recent_spend_feature(recent_days)
+        | lb.own_recent_features(recent_days)
+        | lb.own_features()
+        | lb.visit_feature(recent_days)
+        | lb.recency_features()
+        | lb.returned_feature()
+    )
+    if "dept" in spine.columns:
+        features |= lb.dept_features(recent_days)
+    return lb.per_shopper(lb.roll_up(measures), features)
+
+
+def base_from_lookback(
+    looked: DataFrame,
+    spine: DataFrame,
+    small_spine: bool,
+    names: dict[str, str],
+    keep_offer_columns: bool = False,
+) -> DataFrame:
+    single = {p: x for p, x in FEATURE_NAMES.items() if int(x[1:]) <= 8}
+    wide = _beside_spine(looked, spine, small_spine)
+    return _finish(wide, spine, _in_order(single, names), keep_offer_columns)
+
+
+def matrix_from_lookback(
+    looked: DataFrame,
+    spine: DataFrame,
+    small_spine: bool,
+    names: dict[str, str],
+    transactions: DataFrame,
+    offers: DataFrame,
+    before_offer: bool = False,
+    dedupe: bool = True,
+    keep_offer_columns: bool = False,
+) -> DataFrame:
+    small_offers = fits_broadcast(offers)
+    dates = spine if before_offer else None
+    rollup = mk.universe_rollup(transactions, offers, dedupe, dates, small_offers)
+    rollup = stage(rollup, "universe")
+    market = mk.offer_market(rollup, transactions, offers, small_offers)
+    spend = mk.universe_spend_from(rollup, spine, small_spine)
+
+    wide = _beside_spine(looked, spine, small_spine).join(spend, "id", "left")
+    wide = join_lookup(wide, market, ITEMS, small=small_offers)  # one row per offer at most
+    wide = wide.withColumn("universe_spend", zero_if_null("universe_spend").cast("double"))
+    wide = wide.withColumn("spend_or_share", spend_or_share("own_amount", "market_share"))
+    return _finish(wide, spine, _in_order(FEATURE_NAMES, names), keep_offer_columns)
+
+
 def base_features(
     transactions: DataFrame,
     offers: DataFrame,
@@ -135,14 +205,18 @@ def base_features(
 ) -> DataFrame:
     """X1..X71, one row per shopper of the history with any purchase."""
     spine = build_spine(history, offers)
-    small_spine = fits_broadcast(spine)
-    events = lb.history_events(transactions, spine, before_offer, small_spine)
-    measures = lb.event_measures(events, day_limits)
-    features = lb.ever_features() | lb.total_spend_feature() | _grid(items, day_limits)
-    looked = lb.per_shopper(lb.roll_up(measures), features)
-    single = {p: x for p, x in FEATURE_NAMES.items() if int(x[1:]) <= 8}
-    names = _in_order(single, grid_names(items, day_limits))
-    return _finish(_beside_spine(looked, spine, small_spine), spine, names, keep_offer_columns)
+    small = fits_broadcast(spine)
+    looked = lookback_table(
+        transactions,
+        spine,
+        items=items,
+        day_limits=day_limits,
+        before_offer=before_offer,
+        small_spine=small,
+    )
+    return base_from_lookback(
+        looked, spine, small, grid_names(items, day_limits), keep_offer_columns
+    )
 
 
 def feature_matrix(
@@ -163,42 +237,33 @@ def feature_matrix(
 
     Reads the log three times: the purchases of the history's shoppers, the
     rows on offer of all shoppers, and the shopper ids; a fourth time for
-    the dept map unless ``dept_map`` is given.  The history may lack the
-    outcome columns.
+    the dept map unless ``dept_map``, a table, is given.  The history may
+    lack the outcome columns.
     """
     if dept_map is None:
         dept_map = stage(category_dept_map(transactions), "dept-map")
     spine = build_spine(history, offers, dept_map, strict_dept)
-    small_spine, small_offers = fits_broadcast(spine), fits_broadcast(offers)
-
-    events = lb.history_events(transactions, spine, before_offer, small_spine)
-    measures = lb.event_measures(events, day_limits, recent_days)
-    features = (
-        lb.ever_features()
-        | _grid(items, day_limits)
-        | lb.total_spend_feature()
-        | lb.recent_spend_feature(recent_days)
-        | lb.own_recent_features(recent_days)
-        | lb.own_features()
-        | lb.dept_features(recent_days)
-        | lb.visit_feature(recent_days)
-        | lb.recency_features()
-        | lb.returned_feature()
+    small = fits_broadcast(spine)
+    looked = lookback_table(
+        transactions,
+        spine,
+        items=items,
+        day_limits=day_limits,
+        recent_days=recent_days,
+        before_offer=before_offer,
+        small_spine=small,
+    )
+    return matrix_from_lookback(
+        looked,
+        spine,
+        small,
+        grid_names(items, day_limits),
+        transactions,
+        offers,
+        before_offer,
+        dedupe,
+        keep_offer_columns,
     )
-    looked = lb.per_shopper(lb.roll_up(measures), features)
-
-    dates = spine if before_offer else None
-    rollup = mk.universe_rollup(transactions, offers, dedupe, dates, small_offers)
-    rollup = stage(rollup, "universe")
-    market = mk.offer_market(rollup, transactions, offers, small_offers)
-    spend = mk.universe_spend_from(rollup, spine, small_spine)
-
-    wide = _beside_spine(looked, spine, small_spine).join(spend, "id", "left")
-    wide = join_lookup(wide, market, ITEMS, small=small_offers)  # one row per offer at most
-    wide = wide.withColumn("universe_spend", zero_if_null("universe_spend").cast("double"))
-    wide = wide.withColumn("spend_or_share", spend_or_share("own_amount", "market_share"))
-    names = _in_order(FEATURE_NAMES, grid_names(items, day_limits))
-    return _finish(wide, spine, names, keep_offer_columns)
 
 
 def sorted_for_export(features: DataFrame) -> DataFrame:
