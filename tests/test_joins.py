@@ -29,6 +29,16 @@ def test_hot_keys_and_their_pieces(fact, large_lookups):
     assert hot == {0: 4, 1: 3}
 
 
+def test_hot_keys_from_a_sample(spark, large_lookups):
+    # 100,000 rows, a tenth of them sampled; key 0 has two thirds
+    rows = spark.range(100_000).selectExpr("if(id % 3 < 2, 0, id) as k")
+    hot = hot_keys(rows, ["k"]).collect()
+    assert [(row["k"], row["_pieces"]) for row in hot] == [(0, 7)]
+    lookup = spark.range(0, 100_000, 5).withColumnRenamed("id", "k")
+    joined = join_lookup(rows, lookup, "k")
+    assert joined.count() == rows.join(lookup, "k").count()
+
+
 def test_rows_of_a_hot_key_are_spread(spark, fact, lookup, large_lookups):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "16")

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 from tillroll.session import broadcast_limit, hot_share
 
 ROW_OVERHEAD_BYTES = 64
+SAMPLED_PER_HOT_KEY = 1000
 
 
 def broadcast_bytes(df: DataFrame) -> int:
@@ -27,14 +28,24 @@ def fits_broadcast(df: DataFrame) -> bool:
 def hot_keys(fact: DataFrame, on: Sequence[str]) -> DataFrame | None:
     """Keys holding more than the hot share of the rows, with ``_pieces``.
 
-    There can be at most ``1 / share`` such keys and their pieces add up to at
-    most twice that, however large the table, so they fit the driver.
+    Counted on a sample that a hot key shows up in about a thousand times, or
+    on all rows if there are no more than that takes.  The answer only decides
+    how the join is spread out, never which rows it returns.  There are about
+    ``1 / share`` such keys at most, however large the table, and their pieces
+    add up to twice that, so they fit the driver.
     """
-    spark = fact.sparkSession
-    piece = fact.count() * hot_share(spark)
-    counts = fact.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > piece)
+    spark, share = fact.sparkSession, hot_share(fact.sparkSession)
+    total = fact.count()
+    fraction = min(1.0, SAMPLED_PER_HOT_KEY / share / total) if total else 0.0
+    if not fraction:
+        return None
+    keys = fact.select(*on)
+    if fraction < 1:
+        keys = keys.sample(fraction, seed=1)
+    piece = total * fraction * share
+    counts = keys.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > piece)
     hot = counts.select(*on, F.ceil(F.col("_n") / F.lit(piece)).cast("int").alias("_pieces"))
-    rows = hot.collect() if piece else []
+    rows = hot.collect()
     return spark.createDataFrame(rows, hot.schema) if rows else None
 
 
@@ -44,6 +55,7 @@ def join_lookup(
     on: str | Sequence[str],
     how: str = "inner",
     small: bool | None = None,
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``lookup``, which holds each key at most once.
 
@@ -51,14 +63,15 @@ def join_lookup(
     size is within the limit is broadcast, so the fact table is not shuffled;
     pass ``small`` if that has been settled already.  A larger one is joined
     by shuffle, with every hot key spread over as many pieces as its share of
-    the rows asks for and its lookup row copied to each piece.
+    the rows asks for and its lookup row copied to each piece.  ``count_on``
+    has the same keys as ``fact`` and is cheaper to count.
     """
     on = [on] if isinstance(on, str) else list(on)
     if small is None:
         small = fits_broadcast(lookup)
     if small:
         return fact.join(F.broadcast(lookup), on, how)
-    hot = hot_keys(fact, on)
+    hot = hot_keys(fact if count_on is None else count_on, on)
     if hot is None:
         return fact.join(lookup, on, how)
 

@@ -26,12 +26,12 @@ def flag_offered(
     """
     if small is None:
         small = fits_broadcast(offers)
+    flagged = transactions
     for item in items:
         keys = offers.select(item).distinct().withColumn("_hit", F.lit(True))
-        transactions = join_lookup(transactions, keys, item, "left", small)
-        transactions = transactions.withColumn(f"{item}_offered", F.col("_hit").isNotNull())
-        transactions = transactions.drop("_hit")
-    return transactions
+        flagged = join_lookup(flagged, keys, item, "left", small, count_on=transactions)
+        flagged = flagged.withColumn(f"{item}_offered", F.col("_hit").isNotNull()).drop("_hit")
+    return flagged
 
 
 def any_offered(items: tuple[str, ...] = ITEMS):
