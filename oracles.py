@@ -166,19 +166,19 @@ def _per_shopper(*blocks: dict[str, str]) -> str:
     return f"select id, {', '.join(columns)} from e group by id"
 
 
-PRODUCT_COUNTS = f"select {CCB}, count(*) as counts_ccb from t where {IN_PRODUCT} group by {CCB}"
+PRODUCT_COUNTS = f"select {CCB}, count(*) as product_rows from t where {IN_PRODUCT} group by {CCB}"
 
 
 def _category_counts(dedupe: str) -> str:
     return (
-        f"select category, count(*) as counts_cat from (select {dedupe} * from t"
+        f"select category, count(*) as category_rows from (select {dedupe} * from t"
         " where category in (select category from offers)) group by category"
     )
 
 
 def _market_share(dedupe: str = "distinct") -> str:
     return (
-        f"select p.category, p.company, p.brand, p.counts_ccb / c.counts_cat as X84"
+        f"select p.category, p.company, p.brand, p.product_rows / c.category_rows as X84"
         f" from ({PRODUCT_COUNTS}) p join ({_category_counts(dedupe)}) c"
         " on p.category = c.category"
     )

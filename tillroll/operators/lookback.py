@@ -15,7 +15,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions import cents, day_diff
+from tillroll.functions import cents, day_diff, zero_if_null
 from tillroll.operators.joins import join_lookup
 from tillroll.sources.schemas import ITEMS
 
@@ -67,7 +67,8 @@ def event_measures(
 
     Measures that no feature asks for are pruned from the plan.
     """
-    amount, quantity = cents("purchaseamount"), F.col("purchasequantity").cast("bigint")
+    amount = zero_if_null(cents("purchaseamount"))
+    quantity = zero_if_null(F.col("purchasequantity").cast("bigint"))
     hits = {c: F.col(c) == F.col(f"offer_{c}") for c in ITEMS}
     hits["own"] = reduce(and_, hits.values())
     if "dept" in events.columns:
@@ -82,7 +83,7 @@ def event_measures(
         "id",
         _band(day_limits, recent_days).alias("band"),
         *[c.alias(n) for n, c in columns.items()],
-        F.when(hits["own"], amount).alias("lowest_own"),
+        F.when(hits["own"], cents("purchaseamount")).alias("lowest_own"),
         F.col("day_diff").alias("first_day"),
         F.col("day_diff").alias("last_day"),
     )
@@ -110,7 +111,7 @@ def _within(limit: int | None, column: str) -> str:
 
 
 def _money(total: str) -> str:
-    return f"coalesce({total}, 0) / 100D"
+    return f"{total} / 100D"
 
 
 def grid_name(measure: str, item: str, limit: int | None) -> str:
@@ -133,7 +134,7 @@ def grid_features(
 
 
 def ever_features(items: Sequence[str] = ITEMS) -> dict[str, str]:
-    return {f"ever_{item}": f"int(sum(n_{item}) > 0)" for item in items}
+    return {f"ever_{item}": f"if(sum(n_{item}) > 0, 1, 0)" for item in items}
 
 
 def total_spend_feature() -> dict[str, str]:

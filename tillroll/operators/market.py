@@ -25,7 +25,7 @@ def user_count(transactions: DataFrame) -> DataFrame:
 def product_counts(transactions: DataFrame, offers: DataFrame) -> DataFrame:
     """Rows per offered product, copies included."""
     sold = rows_on_offer(transactions, offers, *ITEMS)
-    return sold.groupBy(*ITEMS).agg(F.count("*").alias("counts_ccb"))
+    return sold.groupBy(*ITEMS).agg(F.count("*").alias("product_rows"))
 
 
 def category_counts(transactions: DataFrame, offers: DataFrame, dedupe: bool = True) -> DataFrame:
@@ -33,7 +33,7 @@ def category_counts(transactions: DataFrame, offers: DataFrame, dedupe: bool = T
     sold = rows_on_offer(transactions, offers, "category")
     if dedupe:
         sold = sold.distinct()
-    return sold.groupBy("category").agg(F.count("*").alias("counts_cat"))
+    return sold.groupBy("category").agg(F.count("*").alias("category_rows"))
 
 
 def market_share(transactions: DataFrame, offers: DataFrame, dedupe: bool = True) -> DataFrame:
@@ -45,7 +45,7 @@ def market_share(transactions: DataFrame, offers: DataFrame, dedupe: bool = True
     both = product_counts(transactions, offers).join(
         category_counts(transactions, offers, dedupe), "category"
     )
-    return both.select(*ITEMS, (F.col("counts_ccb") / F.col("counts_cat")).alias("market_share"))
+    return both.select(*ITEMS, (F.col("product_rows") / F.col("category_rows")).alias("market_share"))
 
 
 def customer_share(transactions: DataFrame, offers: DataFrame, on: tuple[str, ...]) -> DataFrame:

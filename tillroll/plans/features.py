@@ -118,8 +118,8 @@ def _in_order(*blocks: dict[str, str]) -> dict[str, str]:
 
 def _beside_spine(features: DataFrame, spine: DataFrame, small: bool) -> DataFrame:
     """Both sides hold a shopper once, so no key can be hot here."""
-    side = F.broadcast(spine) if small else spine
-    wide = features.join(side, "id").withColumn("offer_value", offer_value())
+    side = spine.withColumn("offer_value", offer_value()).drop("offervalue")
+    wide = features.join(F.broadcast(side) if small else side, "id")
     return wide.withColumns(interactions())
 
 
@@ -186,9 +186,11 @@ def matrix_from_lookback(
     market = mk.offer_market(rollup, transactions, offers, small_offers)
     spend = mk.universe_spend_from(rollup, spine, small_spine)
 
-    wide = _beside_spine(looked, spine, small_spine).join(spend, "id", "left")
-    wide = join_lookup(wide, market, ITEMS, small=small_offers)  # one row per offer at most
-    wide = wide.withColumn("universe_spend", zero_if_null("universe_spend").cast("double"))
+    # All else goes to the spine first, so that the wide rows meet one join.
+    beside = join_lookup(spine, market, ITEMS, small=small_offers)  # one row per offer at most
+    beside = beside.join(spend, "id", "left")
+    beside = beside.withColumn("universe_spend", zero_if_null("universe_spend").cast("double"))
+    wide = _beside_spine(looked, beside, small_spine)
     wide = wide.withColumn("spend_or_share", spend_or_share("own_amount", "market_share"))
     return _finish(wide, spine, _in_order(FEATURE_NAMES, names), keep_offer_columns)
 
