@@ -86,6 +86,13 @@ def test_cost_falls_over_the_passes(scaled):
         assert fit.settled and fit.passes < 100
 
 
+def test_a_tolerance_saves_passes(scaled):
+    exact, rough = cluster(scaled, [4]), cluster(scaled, [4], tol=0.01)
+    for e, r in zip(exact, rough):
+        assert r.passes <= e.passes
+        assert e.cost <= r.cost <= e.cost * 1.2
+
+
 def test_every_row_has_a_label(scaled):
     fits = cluster(scaled, [3])
     rows = labelled(scaled, fits)

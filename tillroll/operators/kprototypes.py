@@ -147,12 +147,15 @@ def prototypes_of(assigned: DataFrame) -> DataFrame:
 def _refill(rows: DataFrame, fit: Fit, found: dict[int, object]) -> list[tuple[str, list[float]]]:
     """New prototypes for emptied clusters: the worst rows of the largest."""
     largest = max(found, key=lambda c: (found[c]["n"], -c))
-    far = assign(rows.where(F.col("item") == fit.item), [fit]).where(F.col("cluster") == largest)
+    mine = assign(rows.where(F.col("item") == fit.item), [fit])
+    far = mine.where((F.col("cluster") == largest) & (F.col("distance") > 0))
     worst = far.orderBy(F.desc("distance"), "value", *NUMERIC).limit(fit.k - len(found)).collect()
     return [(r["value"], [r[c] for c in NUMERIC]) for r in worst]
 
 
-def _advance(rows: DataFrame, fit: Fit, found: dict[int, object], max_iter: int) -> None:
+def _advance(
+    rows: DataFrame, fit: Fit, found: dict[int, object], max_iter: int, tol: float
+) -> None:
     cost = sum(r["cost"] for r in found.values())
     refills = _refill(rows, fit, found) if len(found) < fit.k else []
     moved, new = bool(refills), []
@@ -167,20 +170,27 @@ def _advance(rows: DataFrame, fit: Fit, found: dict[int, object], max_iter: int)
     fit.passes += 1
     fit.costs.append(cost)
     # The cost belongs to the prototypes before this update.
-    fit.settled = not moved or cost >= fit.cost or fit.passes >= max_iter
+    still = not refills and (not moved or cost >= fit.cost * (1 - tol))
+    fit.settled = still or fit.passes >= max_iter
     fit.cost = min(cost, fit.cost)
     if not fit.settled:
         fit.prototypes = new
 
 
-def run_fits(rows: DataFrame, fits: list[Fit], max_iter: int = 100) -> list[Fit]:
-    """Advance all fits until each settles; ``rows`` should be a table."""
+def run_fits(
+    rows: DataFrame, fits: list[Fit], max_iter: int = 100, tol: float = 0.0
+) -> list[Fit]:
+    """Advance all fits until each settles; ``rows`` should be a table.
+
+    A fit settles when its prototypes stay or its cost falls by no more than
+    the share ``tol``; a small one saves many passes over a large table.
+    """
     while running := [fit for fit in fits if not fit.settled]:
         found: dict[tuple, dict[int, object]] = {}
         for row in prototypes_of(assign(rows, running)).collect():
             found.setdefault((row["item"], row["k"], row["run"]), {})[row["cluster"]] = row
         for fit in running:
-            _advance(rows, fit, found[fit.item, fit.k, fit.run], max_iter)
+            _advance(rows, fit, found[fit.item, fit.k, fit.run], max_iter, tol)
     return fits
 
 

@@ -30,13 +30,14 @@ def cluster(
     max_iter: int = 100,
     seed: int | None = None,
     n_init: int = 2,
+    tol: float = 0.0,
 ) -> list[kp.Fit]:
     """The best fit per item and number of clusters.
 
     Without ``seed`` the start is fixed and one run is enough.
     """
     fits = kp.starting_fits(scaled, ks, gamma, seed, n_init)
-    return kp.best_runs(kp.run_fits(scaled, fits, max_iter))
+    return kp.best_runs(kp.run_fits(scaled, fits, max_iter, tol))
 
 
 def elbow(scaled: DataFrame, **options) -> DataFrame:
