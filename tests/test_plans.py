@@ -51,6 +51,16 @@ def test_base_features_scan_the_log_once(tables):
         assert unused not in line.split("ReadSchema")[1]
 
 
+def test_a_large_history_shuffles_the_log_once(spark, tables, large_lookups):
+    spark.conf.set("spark.tillroll.hotShare", "0.99")
+    plan = plan_of(base_features(*tables))
+    no_slow_operators(plan)
+    assert "Broadcast" not in plan
+    # the log, the offers of the join and the history's other columns
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("SortMergeJoin") == 2
+
+
 def test_reduction_does_not_shuffle_the_log(tables):
     transactions, offers, _ = tables
     plan = plan_of(reduce_transactions(transactions, offers))
