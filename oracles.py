@@ -102,7 +102,10 @@ IN_ANY = (
 )
 IN_UNIVERSE = "category in (select category from offers) or company in (select company from offers)"
 IN_PRODUCT = f"({CCB}) in (select ({CCB}) from offers)"
-EVENT = f"id, {{}}, offerdate, date, q as purchasequantity, cast(a as double) as purchaseamount, dd as day_diff"
+EVENT = (
+    "id, {}, offerdate, date, q as purchasequantity, cast(a as double) as purchaseamount,"
+    " dd as day_diff"
+)
 
 
 def _wanted(item: str) -> str:

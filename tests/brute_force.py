@@ -67,7 +67,8 @@ def matrix(log, offers, history, before_offer=False) -> dict[int, dict[str, floa
         x["X81"], x["X82"] = max(map(ago, mine)), min(map(ago, mine))
         x["X83"] = int(any(r[AMOUNT] < 0 for r in own))
 
-        product = [r for r in log if (r[CATEGORY], r[COMPANY], r[BRAND]) == (category, company, brand)]
+        wanted = (category, company, brand)
+        product = [r for r in log if (r[CATEGORY], r[COMPANY], r[BRAND]) == wanted]
         if not product:
             continue
         in_category = [r for r in distinct_rows if r[CATEGORY] == category]

@@ -45,7 +45,8 @@ def market_share(transactions: DataFrame, offers: DataFrame, dedupe: bool = True
     both = product_counts(transactions, offers).join(
         category_counts(transactions, offers, dedupe), "category"
     )
-    return both.select(*ITEMS, (F.col("product_rows") / F.col("category_rows")).alias("market_share"))
+    share = F.col("product_rows") / F.col("category_rows")
+    return both.select(*ITEMS, share.alias("market_share"))
 
 
 def customer_share(transactions: DataFrame, offers: DataFrame, on: tuple[str, ...]) -> DataFrame:
