@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontamination, html_text, mixing, perplexity, sharding, simhash
+from tillroll.llm import decontamination, html_text, mixing, perplexity, private, sharding, simhash
 from tillroll.session import stage
 
 SHARDS = 16
@@ -37,6 +37,10 @@ def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.classify(docs.select("doc_id", "lang", "text"), labels).drop("text")
 
 
+def op6_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.digest(private.private_spans(table(spark, sf_dir, "documents")))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stage(mixing.measured(table(spark, sf_dir, "documents")), "sizes")
     plan = stage(mixing.source_plan(sized), "mix")
@@ -105,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op4_rendezvous": op4_rendezvous,
         "op5_perplexity": op5_perplexity,
+        "op6_private": op6_private,
         "op8_mix": op8_mix,
         "op9_simhash": op9_simhash,
     }
