@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontamination, html_text, mixing, perplexity, private, sharding, simhash
+from tillroll.llm import decontamination, html_text, mixing, perplexity, private, sharding, simhash, syncmers
 from tillroll.session import stage
 
 SHARDS = 16
@@ -41,6 +41,10 @@ def op6_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digest(private.private_spans(table(spark, sf_dir, "documents")))
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = stage(mixing.measured(table(spark, sf_dir, "documents")), "sizes")
     plan = stage(mixing.source_plan(sized), "mix")
@@ -110,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_rendezvous": op4_rendezvous,
         "op5_perplexity": op5_perplexity,
         "op6_private": op6_private,
+        "op7_syncmers": op7_syncmers,
         "op8_mix": op8_mix,
         "op9_simhash": op9_simhash,
     }
