@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontamination, html_text, mixing, perplexity, private, sharding, simhash, syncmers
+from tillroll.llm import (
+    decontamination,
+    html_text,
+    mixing,
+    perplexity,
+    private,
+    sharding,
+    simhash,
+    syncmers,
+    training_order,
+)
 from tillroll.session import stage
 
 SHARDS = 16
@@ -63,6 +73,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", printed.alias("fingerprint"), "component_id")
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 with sized as (
   select doc_id, source,
@@ -117,6 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_syncmers": op7_syncmers,
         "op8_mix": op8_mix,
         "op9_simhash": op9_simhash,
+        "op10_training_order": op10_training_order,
     }
 
 
