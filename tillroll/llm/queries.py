@@ -15,6 +15,7 @@ from tillroll.llm import (
     private,
     sharding,
     simhash,
+    suffixes,
     syncmers,
     training_order,
 )
@@ -37,6 +38,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.shard_documents(docs, [1.0] * SHARDS, [1.0] * (SHARDS + 1))
@@ -125,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_main_text": op1_main_text,
         "op2_decontaminate": op2_decontaminate,
+        "op3_suffixes": op3_suffixes,
         "op4_rendezvous": op4_rendezvous,
         "op5_perplexity": op5_perplexity,
         "op6_private": op6_private,
