@@ -8,9 +8,13 @@ DAY_LIMITS = (30, 60, 90, 120, 150, 180, 1000)
 
 SAMPLE = """
 txn_base as (
-  select o.o_custkey as id, 100 + c.c_nationkey as chain, p.p_type as dept,
+  select case when l.l_orderkey % 101 <> 0 then o.o_custkey end as id,
+         100 + c.c_nationkey as chain,
+         case when l.l_orderkey % 71 = 0 then 'Mixed'
+              when l.l_orderkey % 89 <> 0 then p.p_type end as dept,
          concat(p.p_type, '/', split_part(p.p_name, ' ', 2)) as category,
-         s.s_nationkey as company, p.p_brand as brand, cast(l.l_shipdate as date) as date,
+         s.s_nationkey as company, case when l.l_orderkey % 97 <> 0 then p.p_brand end as brand,
+         case when l.l_orderkey % 83 <> 0 then cast(l.l_shipdate as date) end as date,
          cast(l.l_linenumber as double) as productsize, 'EA' as productmeasure,
          cast(case when l.l_returnflag = 'R' then -l.l_quantity else l.l_quantity end as int)
            as purchasequantity,
@@ -27,7 +31,7 @@ t as materialized (
 ccb_rank as (
   select category, company, brand,
          row_number() over (order by count(*) desc, category, company, brand) as rk
-  from t group by category, company, brand),
+  from t where brand is not null group by category, company, brand),
 offers as materialized (
   select rk as offer, category, 1 as quantity, company,
          cast(0.75 + (rk % 4) * 0.25 as decimal(6,2)) as offervalue, brand
@@ -41,21 +45,27 @@ own_offer as (
   select t.id, min(f.offer) as offer from t
   join offers f on t.category = f.category and t.company = f.company and t.brand = f.brand
   group by t.id),
+known as (
+  select c.*, w.offer as own from customer c left join own_offer w on w.id = c.c_custkey),
+shoppers as (
+  select c_custkey, c_nationkey, own from known
+  union all select c_custkey + 10000000, c_nationkey, own from known where c_custkey % 37 = 0),
 history as (
   select c.c_custkey as id, 100 + c.c_nationkey as chain,
-         case when c.c_custkey % 11 = 0 then 37 when c.c_custkey % 13 = 0 then 36
-              else coalesce(w.offer, c.c_custkey % 35 + 1) end as offer,
+         case when c.c_custkey % 29 = 0 then 99
+              when c.c_custkey % 11 = 0 then 37 when c.c_custkey % 13 = 0 then 36
+              else coalesce(c.own, c.c_custkey % 35 + 1) end as offer,
          c.c_nationkey as market, cast(c.c_custkey % 5 as int) as repeattrips,
          case when c.c_custkey % 4 = 0 then 't' else 'f' end as repeater,
          date '2001-05-01' + cast(c.c_custkey % 150 as int) as offerdate
-  from customer c left join own_offer w on w.id = c.c_custkey),
+  from shoppers c),
 train as (select * from history where id % 3 <> 0 and offer not in (30, 31, 32)),
 test as (select id, chain, offer, market, offerdate from history where id % 3 = 0 and offer > 4),
 dept_of as (
   select category, dept from (
     select category, dept,
            row_number() over (partition by category order by max(date) desc, dept desc) as place
-    from t group by category, dept) where place = 1),
+    from t where dept is not null group by category, dept) where place = 1),
 """
 
 
@@ -251,7 +261,8 @@ def _z(column: str, source: str) -> str:
 
 
 MATCHES = " union all ".join(
-    f"select '{item}' as item, cast({item} as varchar) as value, q, a, dd from e where same_{item}"
+    f"select '{item}' as item, cast({item} as varchar) as value, id, q, a, dd"
+    f" from e where same_{item} and dd is not null"
     for item in ITEMS
 )
 SCALED = (
@@ -286,6 +297,21 @@ def _rounded(columns: tuple[str, ...], digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) as {c}" for c in columns)
 
 
+SOLD = (
+    "select 1 from t where t.category = spine.category and t.company = spine.company"
+    " and t.brand = spine.brand"
+)
+
+
+def _left_out(before_offer: bool = False) -> str:
+    """The history without the matrix, by the steps of the matrix itself."""
+    return _with(
+        "select id from train except"
+        f" (select l.id from ({LOOKED}) l join h on l.id = h.id join ({_market_share()}) m using ({CCB}))",
+        before_offer=before_offer,
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "scan_offers": _with(
@@ -299,6 +325,8 @@ def oracle_sql() -> dict[str, str]:
         "saved_dept_map": _with("select category, dept from dept_of"),
         "saved_features": _base(),
         "features_from_files": _matrix(),
+        "features_from_files_test": _matrix(history="test"),
+        "features_after_change": _matrix(),
         "spine": _with("select * replace (cast(offervalue as double) as offervalue) from spine"),
         "spine_test": _with(
             "select * replace (cast(offervalue as double) as offervalue) from spine",
@@ -315,7 +343,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "spine_dept": _with("select id, offer, category, dept from h"),
         "duplicate_ids": _with(
-            "select id, count(*) as rows from train group by id having count(*) > 1"
+            "select id, count(*) as rows from"
+            " (select id from train union all select id from train where id % 50 = 1)"
+            " group by id having count(*) > 1"
         ),
         "reduce_transactions": _with(f"select {ROW} from t where {IN_ANY}"),
         "reduce_stats": _with(
@@ -379,7 +409,8 @@ def oracle_sql() -> dict[str, str]:
         "feat_offer_value": _with("select id, cast(offervalue as double) as X8 from spine"),
         "feat_offer_universe_spend": _with(_universe()),
         "shopper_totals": _with(
-            "select id, cast(sum(purchaseamount) as double) as X7 from t group by id"
+            "select id, cast(sum(purchaseamount) as double) as X7 from t"
+            " where id is not null group by id"
         ),
         "user_count": _with("select count(distinct id) as users from t"),
         "product_counts": _with(PRODUCT_COUNTS),
@@ -406,10 +437,21 @@ def oracle_sql() -> dict[str, str]:
         "dropped_shoppers": _with(
             "select id, 'unknown offer' as reason from train"
             " where offer not in (select offer from offers)"
-            " union all select id, 'no purchases' from spine where id not in (select id from t)"
+            " union all select id, 'no purchases' from spine where id not in (select id from e)"
+            " union all select id, 'product never sold' from spine"
+            f" where id in (select id from e) and not exists ({SOLD})"
+        ),
+        "dropped_shoppers_before_offer": _with(
+            "select id, 'unknown offer' as reason from train"
+            " where offer not in (select offer from offers)"
+            " union all select id, 'no purchases' from spine where id not in (select id from e)"
+            " union all select id, 'no purchases before the offer' from spine"
+            " where id in (select id from e) and id not in (select id from e where dd > 0)"
             " union all select id, 'product never sold' from spine"
-            f" where id in (select id from t) and ({CCB}) not in (select ({CCB}) from t)"
+            f" where id in (select id from e where dd > 0) and not exists ({SOLD})"
         ),
+        "left_out": _left_out(),
+        "left_out_before_offer": _left_out(before_offer=True),
         "kproto_cost_k1": _with(
             "select item, cast(3 * count(*) + 0.5 * (count(*) - any_value(most)) as double) as cost"
             " from z join (select item, max(n) as most from"

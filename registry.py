@@ -45,35 +45,33 @@ def queries() -> dict[str, Query]:
 # --- sources and sinks ---------------------------------------------------
 
 
-def _through_csv(table: DataFrame, name: str, schema, keys) -> DataFrame:
+def _through_csv(table: DataFrame, name: str, schema) -> DataFrame:
     spark, path = table.sparkSession, new_path(table.sparkSession, name)
     files.write_csv(table.select(*schema.names), path)
-    return files.read_table(spark, path, schema, keys)
+    return files.read_table(spark, path, schema)
 
 
 @query("scan_offers")
 def scan_offers(t: RetailTables) -> DataFrame:
     schema = schemas.offers_schema(**SAMPLE_KEYS)
-    scanned = _through_csv(t.offers, "offers-csv", schema, ["offer"])
+    scanned = _through_csv(t.offers, "offers-csv", schema)
     return scanned.withColumn("offervalue", F.col("offervalue").cast("double"))
 
 
 @query("scan_history")
 def scan_history(t: RetailTables) -> DataFrame:
-    return _through_csv(
-        t.train_history, "train-csv", schemas.train_history_schema(), ["id", "offer"]
-    )
+    return _through_csv(t.train_history, "train-csv", schemas.train_history_schema())
 
 
 @query("scan_test_history")
 def scan_test_history(t: RetailTables) -> DataFrame:
-    return _through_csv(t.test_history, "test-csv", schemas.test_history_schema(), ["id", "offer"])
+    return _through_csv(t.test_history, "test-csv", schemas.test_history_schema())
 
 
 @query("scan_transactions")
 def scan_transactions(t: RetailTables) -> DataFrame:
     schema = schemas.transactions_schema(dept="string", **SAMPLE_KEYS)
-    scanned = _through_csv(t.transactions, "log-csv", schema, ["id", *ITEMS, "date"])
+    scanned = _through_csv(t.transactions, "log-csv", schema)
     return _plain(scanned)
 
 
@@ -87,7 +85,7 @@ def saved_reduction(t: RetailTables) -> DataFrame:
     spark = t.offers.sparkSession
     path = new_path(spark, "reduced")
     rd.reduced_table(spark, path, t.transactions, t.offers)  # builds and saves
-    return _plain(rd.reduced_table(spark, path, t.transactions, t.offers))  # reloads
+    return _plain(rd.reduced_table(spark, path, t.transactions, t.offers)[0])  # reloads
 
 
 @query("saved_dept_map")
@@ -118,6 +116,32 @@ def features_from_files(t: RetailTables) -> DataFrame:
     return files.load_saved(spark, [results.saved_features])[0]
 
 
+@query("features_from_files_test")
+def features_from_files_test(t: RetailTables) -> DataFrame:
+    spark, folder = t.offers.sparkSession, new_path(t.offers.sparkSession, "pipeline")
+    inputs = pipeline.Inputs(*[f"{folder}/in/{n}" for n in ("offers", "log", "test")])
+    for table, path in zip((t.offers, t.transactions, t.test_history), inputs):
+        files.write_csv(table, path)
+    key_types = SAMPLE_KEYS | {"dept": "string"}
+    results = pipeline.run(spark, inputs, f"{folder}/out", key_types, outcome=False)
+    return files.load_saved(spark, [results.saved_features])[0]
+
+
+@query("features_after_change")
+def features_after_change(t: RetailTables) -> DataFrame:
+    """The run after the one over half of the log, in the same folder."""
+    spark, folder = t.offers.sparkSession, new_path(t.offers.sparkSession, "pipeline")
+    inputs = pipeline.Inputs(*[f"{folder}/in/{n}" for n in ("offers", "log", "train")])
+    for table, path in zip((t.offers, t.transactions, t.train_history), inputs):
+        table.write.parquet(path)
+    key_types = SAMPLE_KEYS | {"dept": "string"}
+    part = inputs._replace(transactions=f"{folder}/in/part")
+    t.transactions.where("id % 2 = 0").write.parquet(part.transactions)
+    pipeline.run(spark, part, f"{folder}/out", key_types, "parquet").release()
+    results = pipeline.run(spark, inputs, f"{folder}/out", key_types, "parquet")
+    return files.load_saved(spark, [results.saved_features])[0]
+
+
 # --- the spine -------------------------------------------------------------
 
 
@@ -165,7 +189,8 @@ def spine_dept(t: RetailTables) -> DataFrame:
 
 @query("duplicate_ids")
 def duplicate_ids(t: RetailTables) -> DataFrame:
-    return sp.duplicate_ids(t.train_history)
+    twice = t.train_history.unionByName(t.train_history.where("id % 50 = 1"))
+    return sp.duplicate_ids(twice)
 
 
 # --- the reduction, membership and sets --------------------------------------
@@ -178,7 +203,10 @@ def reduce_transactions(t: RetailTables) -> DataFrame:
 
 @query("reduce_stats")
 def reduce_stats(t: RetailTables) -> DataFrame:
-    return rd.reduction_stats(t.transactions, t.offers)
+    path = new_path(t.offers.sparkSession, "reduced")
+    _, counts = rd.reduced_table(t.offers.sparkSession, path, t.transactions, t.offers)
+    row = (counts["searched"], counts["kept"])
+    return t.offers.sparkSession.createDataFrame([row], "searched bigint, kept bigint")
 
 
 @query("offer_key_counts")
@@ -483,6 +511,21 @@ def dropped_shoppers(t: RetailTables) -> DataFrame:
     return ft.dropped_shoppers(t.transactions, t.offers, t.train_history)
 
 
+@query("dropped_shoppers_before_offer")
+def dropped_shoppers_before_offer(t: RetailTables) -> DataFrame:
+    return ft.dropped_shoppers(t.transactions, t.offers, t.train_history, before_offer=True)
+
+
+@query("left_out")
+def left_out(t: RetailTables) -> DataFrame:
+    return dropped_shoppers(t).select("id")
+
+
+@query("left_out_before_offer")
+def left_out_before_offer(t: RetailTables) -> DataFrame:
+    return dropped_shoppers_before_offer(t).select("id")
+
+
 # --- clustering ------------------------------------------------------------------
 
 

@@ -33,11 +33,11 @@ def spark():
 
 @pytest.fixture
 def large_lookups(spark):
-    """Nothing may be broadcast; a key with over a tenth of the rows is hot."""
+    """Nothing may be broadcast; a key with over ten rows is hot."""
     spark.conf.set("spark.tillroll.broadcastBytes", "-1")
-    spark.conf.set("spark.tillroll.hotShare", "0.1")
+    spark.conf.set("spark.tillroll.pieceRows", "10")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield
     spark.conf.unset("spark.tillroll.broadcastBytes")
-    spark.conf.unset("spark.tillroll.hotShare")
+    spark.conf.unset("spark.tillroll.pieceRows")
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -121,12 +121,31 @@ def test_more_clusters_than_categories(spark):
 
 
 def test_random_starts_repeat_with_the_seed(scaled):
-    once = rows_of(elbow(scaled, ks=[2, 3], seed=5, n_init=3))
-    again = rows_of(elbow(scaled, ks=[2, 3], seed=5, n_init=3))
+    columns = ("cost", "item", "k")
+    once = rows_of(elbow(scaled, ks=[2, 3], seed=5, n_init=3).select(*columns))
+    again = rows_of(elbow(scaled, ks=[2, 3], seed=5, n_init=3).select(*columns))
     assert [r[1:] for r in once] == [r[1:] for r in again]
     assert [r[0] for r in once] == pytest.approx([r[0] for r in again])
 
 
+def test_several_starts_need_a_seed(scaled):
+    with pytest.raises(ValueError, match="seed"):
+        cluster(scaled, [2], n_init=5)
+
+
+def test_the_elbow_says_whether_the_passes_were_enough(scaled):
+    assert all(r["converged"] for r in elbow(scaled, ks=[1, 3]).collect())
+    stopped = [r for r in elbow(scaled, ks=[3], max_iter=2).collect() if not r["converged"]]
+    assert stopped and all(r["passes"] == 2 for r in stopped)
+
+
+def test_labels_belong_to_shoppers(spark):
+    rows = [(i, "brand", f"v{i % 3}", float(i), float(i % 5), 0.0) for i in range(40)]
+    scaled = stage(zscore(spark.createDataFrame(rows, "id long, " + SCHEMA)), "with-ids")
+    found = labelled(scaled, cluster(scaled, [2])).collect()
+    assert sorted((r["id"], r["value"]) for r in found) == [(i, f"v{i % 3}") for i in range(40)]
+
+
 def test_other_gamma(scaled):
     plain = {f.item: f.cost for f in cluster(scaled, [1])}
     heavy = {f.item: f.cost for f in cluster(scaled, [1], gamma=2.0)}

@@ -1,34 +1,38 @@
 import logging
 
 import pytest
+from pyspark.sql import functions as F
 from tables import HISTORY, OFFERS, frames, rows_of
 
 from tillroll.operators.reduction import reduce_transactions, reduced_table
-from tillroll.session import stage, work_folder
+from tillroll.session import release_staged, stage, staged_mark, work_folder
 from tillroll.sources import files, schemas
 
 
 def test_csv_round_trip(spark, tmp_path):
     transactions, offers, history = frames(spark)
-    for name, table, schema, keys in [
-        ("t", transactions, schemas.transactions_schema(), ["id"]),
-        ("o", offers, schemas.offers_schema(), ["offer"]),
-        ("h", history, schemas.train_history_schema(), ["id", "offer"]),
+    for name, table, schema in [
+        ("t", transactions, schemas.transactions_schema()),
+        ("o", offers, schemas.offers_schema()),
+        ("h", history, schemas.train_history_schema()),
     ]:
         path = str(tmp_path / name)
         files.write_csv(table, path)
-        back = files.read_table(spark, path, schema, keys)
+        back = files.read_table(spark, path, schema)
         assert back.schema.simpleString() == schema.simpleString()
         assert rows_of(back) == rows_of(table)
 
 
-def test_missing_keys_are_left_out(spark, tmp_path):
+def test_rows_with_missing_keys_stay(spark, tmp_path):
     (tmp_path / "o.csv").write_text(
         "offer,category,quantity,company,offervalue,brand\n1,2,1,3,0.75,4\n,2,1,3,0.75,4\n"
     )
     schema = schemas.offers_schema()
-    assert files.read_table(spark, str(tmp_path / "o.csv"), schema).count() == 2
-    assert files.read_table(spark, str(tmp_path / "o.csv"), schema, ["offer"]).count() == 1
+    table = files.read_table(spark, str(tmp_path / "o.csv"), schema)
+    assert table.count() == 2
+    with pytest.raises(ValueError, match="offers: rows without {'offer': 1}"):
+        files.require_keys(table, ["offer", "category"], "offers")
+    files.require_keys(table, ["category"], "offers")
 
 
 @pytest.mark.parametrize(
@@ -68,21 +72,47 @@ def test_nothing_is_saved_if_empty(spark, tmp_path, caplog):
     assert not (tmp_path / "empty").exists()
 
 
-def test_reduction_is_built_once_and_reused(spark, tmp_path):
-    transactions, offers, _ = frames(spark)
+def test_reduction_is_reused_while_its_inputs_stay(spark, tmp_path):
+    transactions, offers, _ = (stage(df, "reduction") for df in frames(spark))
     path = str(tmp_path / "reduced")
-    built = reduced_table(spark, path, transactions, offers)
+    built, counts = reduced_table(spark, path, transactions, offers)
+    assert counts == {"searched": 14, "kept": 13}
     assert rows_of(built) == rows_of(reduce_transactions(transactions, offers))
-    again = reduced_table(spark, path, transactions.where("id < 0"), offers)
-    assert rows_of(again) == rows_of(built)
-
-
-def test_what_a_failed_job_left_is_rebuilt(spark, tmp_path):
+    written = sorted(built.inputFiles())
+    again, counts = reduced_table(spark, path, transactions, offers)
+    assert sorted(again.inputFiles()) == written and counts["kept"] == 13
+    fewer, counts = reduced_table(spark, path, transactions.where("id = 10"), offers)
+    assert sorted(fewer.inputFiles()) != written
+    assert rows_of(fewer) == rows_of(reduce_transactions(transactions.where("id = 10"), offers))
+    assert counts["kept"] == fewer.count()
+    other, _ = reduced_table(spark, path, transactions, offers.limit(1))
+    assert rows_of(other) == rows_of(reduce_transactions(transactions, offers.limit(1)))
+
+
+def test_a_table_without_its_manifest_is_rebuilt(spark, tmp_path):
     transactions, offers, _ = frames(spark)
-    path = tmp_path / "reduced"
-    reduced_table(spark, str(path), transactions.where("id = 10"), offers)
-    (path / "_SUCCESS").unlink()
-    assert reduced_table(spark, str(path), transactions, offers).count() == 13
+    path = str(tmp_path / "reduced")
+    reduced_table(spark, path, transactions.where("id = 10"), offers, "state")
+    files._write_manifest(spark, path, {"state": None})  # as a failed run leaves it
+    assert reduced_table(spark, path, transactions, offers, "state")[0].count() == 13
+    assert reduced_table(spark, path, transactions.where("id < 0"), offers, "state")[0].count() == 13
+
+
+def test_saved_files_are_in_order(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id", "repeat('x', cast(rand(1) * id / 50 as int)) as v")
+    saved = files.save_versioned(rows.repartition(7, "v").orderBy("id"), str(tmp_path), "x")
+    parts = spark.read.parquet(saved).groupBy(F.input_file_name().alias("file"))
+    found = parts.agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("file").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:]))
+    assert sum(f["high"] - f["low"] + 1 for f in found) == 20_000
+
+
+def test_released_tables_are_empty(spark):
+    mark = staged_mark(spark)
+    staged = [stage(frames(spark)[1], "release") for _ in range(2)]
+    paths = [df.inputFiles()[0].rsplit("/", 1)[0] for df in staged]
+    assert release_staged(spark, mark) == 2 and staged_mark(spark) == mark
+    assert all(spark.read.parquet(path).count() == 0 for path in paths)
 
 
 def test_stage_keeps_rows_and_schema(spark):

@@ -30,7 +30,8 @@ def test_hot_keys_and_their_pieces(fact, large_lookups):
 
 
 def test_hot_keys_from_a_sample(spark, large_lookups):
-    # 100,000 rows, a tenth of them sampled; key 0 has two thirds
+    # a tenth of 100,000 rows is sampled; key 0 has two thirds of them
+    spark.conf.set("spark.tillroll.pieceRows", "10000")
     rows = spark.range(100_000).selectExpr("if(id % 3 < 2, 0, id) as k")
     hot = hot_keys(rows, ["k"]).collect()
     assert [(row["k"], row["_pieces"]) for row in hot] == [(0, 7)]
@@ -57,6 +58,30 @@ def test_no_hot_key_is_a_plain_join(spark, lookup, large_lookups):
     assert "_piece" not in plan
 
 
+def test_pieces_are_no_larger_in_a_larger_table(spark, large_lookups):
+    # a key with 0.08 % of the rows is split, and ten times the rows give ten times the pieces
+    spark.conf.set("spark.tillroll.pieceRows", "200")
+    for rows, pieces in ((500_000, 2), (5_000_000, 20)):
+        table = spark.range(rows).selectExpr("if(id % 1250 = 0, -1, id) as k")
+        hot = {row["k"]: row["_pieces"] for row in hot_keys(table, ["k"]).collect()}
+        assert hot == {-1: pieces}
+
+
+@pytest.mark.parametrize("how", ["left", "left_anti"])
+def test_null_keys_are_spread(spark, lookup, large_lookups, how):
+    fact = spark.range(100).selectExpr("if(id < 60, null, cast(id as int)) as k", "id as v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        joined = join_lookup(fact, lookup, "k", how)
+        parts = joined.rdd.glom().collect()
+        assert rows_of(joined) == rows_of(fact.join(lookup, "k", how))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(any(row["k"] is None for row in part) for part in parts) > 1
+
+
 def test_empty_fact(spark, fact, lookup, large_lookups):
     assert join_lookup(fact.where("k < 0"), lookup, "k").count() == 0
 

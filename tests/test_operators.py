@@ -2,14 +2,16 @@
 
 import numpy as np
 import pytest
-from tables import HISTORY, OFFER_DAY, frames, random_tables, rows_of, sale
+from tables import HISTORY, OFFER_DAY, TRANSACTIONS, frames, random_tables, rows_of, sale
 
-from tillroll.functions import day_diff, money, recode_label, returned_flag, spend_or_share
+from tillroll.functions import day_diff, money, recode_label, spend_or_share
 from tillroll.operators import keysets as ks
 from tillroll.operators import lookback as lb
 from tillroll.operators import market as mk
 from tillroll.operators import reduction as rd
 from tillroll.operators import spine as sp
+from tillroll.plans.features import dropped_shoppers, feature_matrix
+from tillroll.session import stage
 from tillroll.sources.schemas import ITEMS
 
 
@@ -25,11 +27,6 @@ def test_recode_label(spark, value, expected):
     assert one(spark, recode_label("v"), v=value) == expected
 
 
-@pytest.mark.parametrize("value, expected", [("0.0", 0), ("-0.01", 1), ("cast(null as int)", 1)])
-def test_returned_flag(spark, value, expected):
-    assert one(spark, returned_flag("v"), v=value) == expected
-
-
 def test_day_diff_is_negative_after_the_offer(spark):
     dates = {"o": "date'2013-05-01'", "d": "date'2013-05-03'"}
     assert one(spark, day_diff("o", "d"), **dates) == -2
@@ -159,3 +156,57 @@ def test_totals_cover_shoppers_outside_the_history(spark):
     assert totals[99] == 1.0 and len(totals) == 5
     assert np.isclose(totals[10], 24.25)
     assert mk.user_count(transactions).first()[0] == 5
+
+
+@pytest.mark.parametrize("before_offer", [False, True])
+def test_drop_reasons_complete_the_matrix(spark, before_offer):
+    log = TRANSACTIONS + [sale(16, -3, 100, 7, 70, 1, "1.00")]  # only after the offer
+    late = HISTORY + [(16, 4, 1, 34, 0, "f", OFFER_DAY)]
+    transactions, offers, history = frames(spark, log, history=late)
+    matrix = feature_matrix(transactions, offers, history, before_offer=before_offer)
+    dropped = dropped_shoppers(transactions, offers, history, before_offer=before_offer)
+    reasons = {r["id"]: r["reason"] for r in dropped.collect()}
+    kept = {r["id"] for r in matrix.select("id").collect()}
+    assert kept | set(reasons) == {row[0] for row in late} and not kept & set(reasons)
+    expected = {13: "no purchases", 14: "product never sold", 15: "unknown offer"}
+    assert reasons == expected | ({16: "no purchases before the offer"} if before_offer else {})
+
+
+def test_shoppers_without_a_dept_are_listed(spark):
+    transactions, offers, history = frames(spark)
+    dept_map = spark.createDataFrame([(100, 1)], "category int, dept int")
+    matrix = feature_matrix(transactions, offers, history, dept_map, strict_dept=False)
+    dropped = dropped_shoppers(transactions, offers, history, dept_map)
+    reasons = {r["id"]: r["reason"] for r in dropped.collect()}
+    assert reasons[12] == "no dept"
+    kept = {r["id"] for r in matrix.select("id").collect()}
+    assert kept | set(reasons) == {row[0] for row in HISTORY} and not kept & set(reasons)
+
+
+def test_many_offers_of_few_categories_do_not_shuffle_the_log(spark):
+    transactions = stage(frames(spark)[0], "log")
+    offers = stage(
+        spark.range(20_000).selectExpr(
+            "id as offer", "cast(id % 3 as int) * 100 as category", "1 as quantity",
+            "id % 5 + 7 as company", "cast(1 as decimal(6,2)) as offervalue", "cast(id % 4 as int) * 10 as brand",
+        ),
+        "many",
+    )
+    spark.conf.set("spark.tillroll.broadcastBytes", "100000")
+    try:
+        plan = rd.reduce_transactions(transactions, offers)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.tillroll.broadcastBytes")
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+
+
+def test_missing_keys_and_numbers(spark):
+    log = [
+        sale(1, 10, 100, 7, 70, 1, "5.00"),
+        sale(1, 10, 100, None, 70, 2, "6.00"),
+        sale(1, 10, 100, 7, None, 2, "7.00", dept=None),
+    ]
+    transactions, offers, history = frames(spark, log, history=[(1, 4, 1, 34, 0, "f", OFFER_DAY)])
+    row = feature_matrix(transactions, offers, history).first()
+    assert [row[f"X{i}"] for i in (7, 9, 16, 23, 76)] == [18.0, 3, 2, 2, 5.0]
+    assert not [c for c, v in row.asDict().items() if v is None]

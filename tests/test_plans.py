@@ -52,7 +52,7 @@ def test_base_features_scan_the_log_once(tables):
 
 
 def test_a_large_history_shuffles_the_log_once(spark, tables, large_lookups):
-    spark.conf.set("spark.tillroll.hotShare", "0.99")
+    spark.conf.set("spark.tillroll.pieceRows", "1000")
     plan = plan_of(base_features(*tables))
     no_slow_operators(plan)
     assert "Broadcast" not in plan

@@ -3,7 +3,6 @@ from tillroll.functions.expressions import (
     day_diff,
     money,
     recode_label,
-    returned_flag,
     spend_or_share,
     zero_if_null,
 )
@@ -13,7 +12,6 @@ __all__ = [
     "day_diff",
     "money",
     "recode_label",
-    "returned_flag",
     "spend_or_share",
     "zero_if_null",
 ]

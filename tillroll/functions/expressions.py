@@ -35,11 +35,6 @@ def recode_label(repeater: Column | str) -> Column:
     return F.when(value == "t", "1").when(value == "f", "0").otherwise(value)
 
 
-def returned_flag(lowest: Column | str) -> Column:
-    """0 for an amount of zero or more, 1 for a negative or missing one."""
-    return F.when(_col(lowest) >= 0, 0).otherwise(1)
-
-
 def spend_or_share(spend: Column | str, share: Column | str) -> Column:
     """The spend if it reaches the share, else the share times -100."""
     return F.when(_col(spend) >= _col(share), _col(spend)).otherwise(_col(share) * -100)

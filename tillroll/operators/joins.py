@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tillroll.session import broadcast_limit, hot_share
+from tillroll.session import broadcast_limit, piece_rows
 
 ROW_OVERHEAD_BYTES = 64
 SAMPLED_PER_HOT_KEY = 1000
@@ -26,23 +26,19 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def hot_keys(fact: DataFrame, on: Sequence[str]) -> DataFrame | None:
-    """Keys holding more than the hot share of the rows, with ``_pieces``.
+    """Keys, null included, with more rows than one piece may have, and their ``_pieces``.
 
-    Counted on a sample that a hot key shows up in about a thousand times, or
-    on all rows if there are no more than that takes.  The answer only decides
-    how the join is spread out, never which rows it returns.  There are about
-    ``1 / share`` such keys at most, however large the table, and their pieces
-    add up to twice that, so they fit the driver.
+    A piece has a fixed number of rows, so that no task grows with the table.
+    Counted on a sample that a hot key shows up in about a thousand times.  The
+    answer only decides how the join is spread out, never which rows it
+    returns.  There are fewer such keys than the table has pieces.
     """
-    spark, share = fact.sparkSession, hot_share(fact.sparkSession)
-    total = fact.count()
-    fraction = min(1.0, SAMPLED_PER_HOT_KEY / share / total) if total else 0.0
-    if not fraction:
-        return None
+    spark, rows_of_piece = fact.sparkSession, piece_rows(fact.sparkSession)
+    fraction = min(1.0, SAMPLED_PER_HOT_KEY / rows_of_piece)
     keys = fact.select(*on)
     if fraction < 1:
         keys = keys.sample(fraction, seed=1)
-    piece = total * fraction * share
+    piece = rows_of_piece * fraction
     counts = keys.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > piece)
     hot = counts.select(*on, F.ceil(F.col("_n") / F.lit(piece)).cast("int").alias("_pieces"))
     rows = hot.collect()
@@ -78,8 +74,13 @@ def join_lookup(
     # The partition number keeps copies of one row apart, and unlike a random
     # number it is the same when a lost task runs again.
     spread = F.pmod(F.xxhash64(F.spark_partition_id(), *fact.columns), F.col("_pieces"))
-    pieces = fact.join(F.broadcast(hot), on, "left").withColumn(
-        "_piece", F.coalesce(spread.cast("int"), F.lit(0))
+    # Null keys match nothing but have to be somewhere as well.
+    hot_names = {c: f"_hot_{c}" for c in on}
+    same = [F.col(c).eqNullSafe(F.col(h)) for c, h in hot_names.items()]
+    pieces = (
+        fact.join(F.broadcast(hot.withColumnsRenamed(hot_names)), same, "left")
+        .withColumn("_piece", F.coalesce(spread.cast("int"), F.lit(0)))
+        .drop(*hot_names.values())
     )
     copies = lookup.join(F.broadcast(hot), on, "left").withColumn(
         "_piece", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))

@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.operators.joins import fits_broadcast, join_lookup
+from tillroll.operators.joins import join_lookup
 from tillroll.operators.reduction import any_offered, flag_offered
+from tillroll.session import stage
 
 
-def rows_on_offer(
-    transactions: DataFrame, offers: DataFrame, *on: str, small: bool | None = None
-) -> DataFrame:
+def rows_on_offer(transactions: DataFrame, offers: DataFrame, *on: str) -> DataFrame:
     """Rows whose ``on`` columns together match some offer."""
-    if small is None:
-        small = fits_broadcast(offers)
-    return join_lookup(
-        transactions, offers.select(*on).distinct(), on, "left_semi", small
-    ).select(*transactions.columns)
+    keys = offers.select(*on).distinct()
+    return join_lookup(transactions, keys, on, "left_semi").select(*transactions.columns)
 
 
 def offer_universe_rows(transactions: DataFrame, offers: DataFrame) -> DataFrame:
@@ -46,8 +42,9 @@ def attach(
     """Attach a feature table that holds each key once.
 
     With ``keep_unmatched`` rows without a match get zeros in the new columns
-    only; otherwise they drop out.
+    only; otherwise they drop out.  The feature is computed once, as a table.
     """
+    feature = stage(feature, "attached")
     if not keep_unmatched:
         return join_lookup(rows, feature, on)
     new = [c for c in feature.columns if c not in rows.columns]

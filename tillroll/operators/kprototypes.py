@@ -36,6 +36,7 @@ class Fit:
     cost: float = float("inf")
     passes: int = 0
     settled: bool = False
+    converged: bool = False  # settled before the passes ran out
     costs: list[float] = field(default_factory=list)
 
 
@@ -116,7 +117,7 @@ def assign(rows: DataFrame, fits: Sequence[Fit]) -> DataFrame:
     places = [f"_d{j}" for j in range(width)]
     best = f"least({', '.join(places)})" if width > 1 else "_d0"
     which = " ".join(f"when _d{j} = distance then {j}" for j in range(width))
-    fixed = ["item", "value", *NUMERIC, "k", "run"]
+    fixed = [*rows.columns, "k", "run"]
     return (
         rows.join(F.broadcast(lookup), "item")
         .selectExpr(*fixed, *distances)
@@ -171,6 +172,7 @@ def _advance(
     fit.costs.append(cost)
     # The cost belongs to the prototypes before this update.
     still = not refills and (not moved or cost >= fit.cost * (1 - tol))
+    fit.converged = still
     fit.settled = still or fit.passes >= max_iter
     fit.cost = min(cost, fit.cost)
     if not fit.settled:

@@ -69,10 +69,10 @@ def event_measures(
     """
     amount = zero_if_null(cents("purchaseamount"))
     quantity = zero_if_null(F.col("purchasequantity").cast("bigint"))
-    hits = {c: F.col(c) == F.col(f"offer_{c}") for c in ITEMS}
-    hits["own"] = reduce(and_, hits.values())
-    if "dept" in events.columns:
-        hits["dept"] = F.col("dept") == F.col("offer_dept")
+    # A missing key agrees with no offer.
+    compared = [*ITEMS, "dept"] if "dept" in events.columns else ITEMS
+    hits = {c: F.coalesce(F.col(c) == F.col(f"offer_{c}"), F.lit(False)) for c in compared}
+    hits["own"] = reduce(and_, [hits[c] for c in ITEMS])
 
     columns = {"cents_all": amount}
     for name, hit in hits.items():

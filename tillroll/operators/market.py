@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions import cents, day_diff, money
+from tillroll.functions import cents, day_diff, money, zero_if_null
 from tillroll.operators.joins import join_lookup
 from tillroll.operators.keysets import offer_universe_rows, rows_on_offer
 from tillroll.operators.reduction import any_offered, flag_offered
+from tillroll.session import stage
 from tillroll.sources.schemas import ITEMS
 
 
 def shopper_totals(transactions: DataFrame) -> DataFrame:
     """Total spend of every shopper in the log, in the spine or not."""
-    totals = transactions.groupBy("id").agg(F.sum(cents("purchaseamount")).alias("_c"))
+    totals = transactions.where("id is not null").groupBy("id").agg(F.sum(cents("purchaseamount")).alias("_c"))
     return totals.select("id", money("_c").alias("total_spend"))
 
 
@@ -62,7 +63,7 @@ def offer_universe_spend(spine: DataFrame, transactions: DataFrame, offers: Data
 
     Counts each distinct whole row once; a shopper without any gets zero.
     """
-    ids = spine.select("id")
+    ids = stage(spine.select("id"), "ids")  # measured, joined, and filled up
     mine = join_lookup(transactions, ids, "id", "left_semi").select(*transactions.columns)
     spend = offer_universe_rows(mine, offers).groupBy("id").agg(
         F.sum(cents("purchaseamount")).alias("_c")
@@ -75,7 +76,7 @@ def universe_rollup(
     offers: DataFrame,
     dedupe: bool = True,
     offer_dates: DataFrame | None = None,
-    small: bool | None = None,
+    small_dates: bool | None = None,
 ) -> DataFrame:
     """The log's offered part in one pass, per shopper and product.
 
@@ -85,14 +86,17 @@ def universe_rollup(
     purchases before the shopper's offer date add to ``cents``.
     """
     items = ("category", "company")
-    flagged = flag_offered(transactions, offers, items, small).where(any_offered(items))
-    whole = flagged.groupBy(*transactions.columns, "category_offered").agg(
-        F.count("*").alias("copies")
-    )
-    amount = cents("purchaseamount")
+    flagged = flag_offered(transactions, offers, items).where(any_offered(items))
+    keys = [*transactions.columns, "category_offered"]
+    if offer_dates is not None:
+        # Joined to the log itself, so that hot shoppers are counted on a plain column.
+        dates = offer_dates.select("id", "offerdate")
+        flagged = join_lookup(flagged, dates, "id", "left", small_dates, count_on=transactions)
+        keys.append("offerdate")
+    whole = flagged.groupBy(*keys).agg(F.count("*").alias("copies"))
+    amount = zero_if_null(cents("purchaseamount"))
     once = F.lit(1) if dedupe else F.col("copies")
     if offer_dates is not None:
-        whole = join_lookup(whole, offer_dates.select("id", "offerdate"), "id", "left")
         amount = F.when(day_diff("offerdate", "date") > 0, amount).otherwise(F.lit(0))
     return whole.groupBy("id", *ITEMS, "category_offered").agg(
         F.sum("copies").alias("rows"),
@@ -101,9 +105,7 @@ def universe_rollup(
     )
 
 
-def offer_market(
-    rollup: DataFrame, transactions: DataFrame, offers: DataFrame, small: bool | None = None
-) -> DataFrame:
+def offer_market(rollup: DataFrame, transactions: DataFrame, offers: DataFrame) -> DataFrame:
     """Market share and customer shares of every offered product ever sold.
 
     No larger than the offers.
@@ -113,8 +115,8 @@ def offer_market(
         F.sum("distinct_rows").alias("_category_rows"),
         F.countDistinct("id").alias("_category_buyers"),
     )
-    product = rows_on_offer(on_offer, offers, *ITEMS, small=small).groupBy(*ITEMS).agg(
-        F.sum("rows").alias("_rows"), F.count("*").alias("_buyers")
+    product = rows_on_offer(on_offer, offers, *ITEMS).groupBy(*ITEMS).agg(
+        F.sum("rows").alias("_rows"), F.count("id").alias("_buyers")
     )
     users = user_count(transactions).scalar()
     return product.join(category, "category").select(

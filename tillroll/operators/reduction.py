@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators.joins import fits_broadcast, join_lookup
-from tillroll.sources.files import reuse_or_build
+from tillroll.operators.joins import join_lookup
+from tillroll.sources.files import frame_state, reuse_or_build
 from tillroll.sources.schemas import ITEMS
 
 
@@ -17,19 +17,17 @@ def flag_offered(
     transactions: DataFrame,
     offers: DataFrame,
     items: tuple[str, ...] = ITEMS,
-    small: bool | None = None,
 ) -> DataFrame:
     """Add ``<item>_offered``: is this row's item in any offer?
 
     Three joins on distinct keys keep every row once, where one join with an
-    OR condition would compare every row with every offer.
+    OR condition would compare every row with every offer.  Each key set is
+    measured by itself: many offers may have few categories.
     """
-    if small is None:
-        small = fits_broadcast(offers)
     flagged = transactions
     for item in items:
         keys = offers.select(item).distinct().withColumn("_hit", F.lit(True))
-        flagged = join_lookup(flagged, keys, item, "left", small, count_on=transactions)
+        flagged = join_lookup(flagged, keys, item, "left", count_on=transactions)
         flagged = flagged.withColumn(f"{item}_offered", F.col("_hit").isNotNull()).drop("_hit")
     return flagged
 
@@ -60,7 +58,27 @@ def offer_key_counts(offers: DataFrame) -> DataFrame:
 
 
 def reduced_table(
-    spark: SparkSession, path: str, transactions: DataFrame, offers: DataFrame
-) -> DataFrame:
-    """The saved reduction at ``path``, made first if it is not there."""
-    return reuse_or_build(spark, path, lambda: reduce_transactions(transactions, offers))
+    spark: SparkSession,
+    path: str,
+    transactions: DataFrame,
+    offers: DataFrame,
+    state: str | None = None,
+) -> tuple[DataFrame, dict[str, int]]:
+    """The saved reduction at ``path`` and its counts, made first unless it is there.
+
+    It is made again if the log or the offers have changed; ``state`` names
+    theirs, by default what their plans and files say.  The counts, rows searched
+    and rows kept, come from the pass that writes it.
+    """
+    if state is None:
+        state = frame_state(transactions, offers)
+    searched = Observation()
+
+    def build() -> DataFrame:
+        flagged = flag_offered(transactions.observe(searched, F.count(F.lit(1)).alias("n")), offers)
+        return flagged.where(any_offered()).select(*transactions.columns)
+
+    reduced, counts = reuse_or_build(
+        spark, path, build, state, {"kept": F.count(F.lit(1))}, lambda: {"searched": searched.get["n"]}
+    )
+    return reduced, counts

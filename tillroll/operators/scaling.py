@@ -11,9 +11,10 @@ NUMERIC = ("purchasequantity", "purchaseamount", "day_diff")
 
 
 def clustering_rows(events: DataFrame, items: tuple[str, ...] = ITEMS) -> DataFrame:
-    """Matched events, one row per item that matches: item, value, numbers.
+    """Matched events, one row per item that matches: shopper, item, value, numbers.
 
-    One pass over the events, however many items.
+    One pass over the events, however many items.  Events without a date or a
+    number have no place among the others and are left out.
     """
     matches = [
         F.when(
@@ -23,7 +24,8 @@ def clustering_rows(events: DataFrame, items: tuple[str, ...] = ITEMS) -> DataFr
         for item in items
     ]
     numbers = [F.col(c).cast("double").alias(c) for c in NUMERIC]
-    return events.select(F.inline(F.array_compact(F.array(*matches))), *numbers)
+    placed = events.dropna(subset=list(NUMERIC))
+    return placed.select("id", F.inline(F.array_compact(F.array(*matches))), *numbers)
 
 
 def scaling_stats(rows: DataFrame) -> DataFrame:
@@ -47,7 +49,6 @@ def zscore(rows: DataFrame) -> DataFrame:
     """
     scaled = rows.join(F.broadcast(scaling_stats(rows)), "item")
     return scaled.select(
-        "item",
-        "value",
+        *[c for c in rows.columns if c not in NUMERIC],
         *[((F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_std_{c}")).alias(c) for c in NUMERIC],
     )

@@ -22,19 +22,25 @@ def history_with_offers(history: DataFrame, offers: DataFrame) -> DataFrame:
     return spine
 
 
-def category_dept_map(transactions: DataFrame) -> DataFrame:
+def category_dept_map(transactions: DataFrame, categories: DataFrame | None = None) -> DataFrame:
     """One dept per category: that of its latest purchase, ties to the larger.
 
+    Rows without a category or a dept say nothing.  With ``categories``, a
+    table of keys, only those are mapped.
+
     The inner aggregate has only dates in its buffer, so it stays a hash
     aggregate and shrinks the table before the shuffle.
     """
-    pairs = transactions.groupBy("category", "dept").agg(F.max("date").alias("last"))
+    known = transactions.where("category is not null and dept is not null")
+    if categories is not None:
+        known = join_lookup(known, categories.select("category").distinct(), "category", "left_semi")
+    pairs = known.groupBy("category", "dept").agg(F.max("date").alias("last"))
     return pairs.groupBy("category").agg(F.max_by("dept", F.struct("last", "dept")).alias("dept"))
 
 
 def category_dept_conflicts(transactions: DataFrame) -> DataFrame:
     """Categories sold under more than one dept."""
-    pairs = transactions.select("category", "dept").distinct()
+    pairs = transactions.where("dept is not null").select("category", "dept").distinct()
     return pairs.groupBy("category").agg(F.count("*").alias("depts")).where("depts > 1")
 
 

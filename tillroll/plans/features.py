@@ -179,18 +179,18 @@ def matrix_from_lookback(
     dedupe: bool = True,
     keep_offer_columns: bool = False,
 ) -> DataFrame:
-    small_offers = fits_broadcast(offers)
     dates = spine if before_offer else None
-    rollup = mk.universe_rollup(transactions, offers, dedupe, dates, small_offers)
+    rollup = mk.universe_rollup(transactions, offers, dedupe, dates, small_spine)
     rollup = stage(rollup, "universe")
-    market = mk.offer_market(rollup, transactions, offers, small_offers)
+    market = stage(mk.offer_market(rollup, transactions, offers), "market")
     spend = mk.universe_spend_from(rollup, spine, small_spine)
 
     # All else goes to the spine first, so that the wide rows meet one join.
-    beside = join_lookup(spine, market, ITEMS, small=small_offers)  # one row per offer at most
+    beside = join_lookup(spine, market, ITEMS)  # one row per offer at most
     beside = beside.join(spend, "id", "left")
     beside = beside.withColumn("universe_spend", zero_if_null("universe_spend").cast("double"))
-    wide = _beside_spine(looked, beside, small_spine)
+    beside = stage(beside, "beside")
+    wide = _beside_spine(looked, beside, fits_broadcast(beside))
     wide = wide.withColumn("spend_or_share", spend_or_share("own_amount", "market_share"))
     return _finish(wide, spine, _in_order(FEATURE_NAMES, names), keep_offer_columns)
 
@@ -243,7 +243,7 @@ def feature_matrix(
     lack the outcome columns.
     """
     if dept_map is None:
-        dept_map = stage(category_dept_map(transactions), "dept-map")
+        dept_map = stage(category_dept_map(transactions, offers), "dept-map")
     spine = build_spine(history, offers, dept_map, strict_dept)
     small = fits_broadcast(spine)
     looked = lookback_table(
@@ -274,21 +274,37 @@ def sorted_for_export(features: DataFrame) -> DataFrame:
 
 
 def dropped_shoppers(
-    transactions: DataFrame, offers: DataFrame, history: DataFrame
+    transactions: DataFrame,
+    offers: DataFrame,
+    history: DataFrame,
+    dept_map: DataFrame | None = None,
+    *,
+    before_offer: bool = False,
 ) -> DataFrame:
-    """Shoppers of the history that the matrix leaves out, with the reason."""
-    spine = history_with_offers(history, offers)
-    bought = transactions.select("id").distinct()
-    sold = mk.product_counts(transactions, offers).select(*ITEMS)
-    no_offer = history.join(spine.select("id"), "id", "left_anti").select(
-        "id", F.lit("unknown offer").alias("reason")
-    )
-    no_purchase = spine.join(bought, "id", "left_anti").select(
-        "id", F.lit("no purchases").alias("reason")
-    )
-    never_sold = (
-        join_lookup(spine, sold, ITEMS, "left_anti", fits_broadcast(offers))
-        .join(bought, "id", "left_semi")
-        .select("id", F.lit("product never sold").alias("reason"))
+    """Shoppers of the history that the matrix leaves out, with the reason.
+
+    Takes the options of the matrix.  With ``dept_map``, a table, shoppers whose
+    category is not in it are listed, as for a matrix with ``strict_dept=False``.
+    The log is read once for the shoppers and once for the products.
+    """
+    spine = stage(history_with_offers(history, offers), "spine")
+    events = lb.history_events(transactions, spine)
+    # No keys or amounts are read: one row per shopper with purchases.
+    bought = stage(
+        events.groupBy("id").agg(F.coalesce(F.max(F.col("day_diff") > 0), F.lit(False)).alias("_before")),
+        "bought",
     )
-    return no_offer.unionByName(no_purchase).unionByName(never_sold)
+    sold = stage(mk.product_counts(transactions, offers).select(*ITEMS), "sold")
+    reasons = join_lookup(spine, bought, "id", "left")
+    reasons = join_lookup(reasons, sold.withColumn("_sold", F.lit(True)), ITEMS, "left")
+    reason = F.when(F.col("_before").isNull(), "no purchases")
+    if before_offer:
+        reason = reason.when(~F.col("_before"), "no purchases before the offer")
+    if dept_map is not None:
+        known = dept_map.select("category", F.lit(True).alias("_known"))
+        reasons = join_lookup(reasons, known, "category", "left")
+        reason = reason.when(F.col("_known").isNull(), "no dept")
+    reason = reason.when(F.col("_sold").isNull(), "product never sold")
+    named = reasons.select("id", reason.alias("reason")).where("reason is not null")
+    unknown = join_lookup(history, offers.select("offer"), "offer", "left_anti")
+    return named.unionByName(unknown.select("id", F.lit("unknown offer").alias("reason")))

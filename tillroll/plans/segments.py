@@ -29,23 +29,27 @@ def cluster(
     gamma: float | None = None,
     max_iter: int = 100,
     seed: int | None = None,
-    n_init: int = 2,
+    n_init: int | None = None,
     tol: float = 0.0,
 ) -> list[kp.Fit]:
     """The best fit per item and number of clusters.
 
-    Without ``seed`` the start is fixed and one run is enough.
+    Without ``seed`` the start is fixed and there is one run; with it there are
+    ``n_init`` random starts, two unless given.
     """
-    fits = kp.starting_fits(scaled, ks, gamma, seed, n_init)
+    if seed is None and n_init not in (None, 1):
+        raise ValueError("several starts need a seed")
+    fits = kp.starting_fits(scaled, ks, gamma, seed, 2 if n_init is None else n_init)
     return kp.best_runs(kp.run_fits(scaled, fits, max_iter, tol))
 
 
 def elbow(scaled: DataFrame, **options) -> DataFrame:
-    """Cost by item and number of clusters."""
-    costs = [(fit.item, fit.k, fit.cost) for fit in cluster(scaled, **options)]
-    return scaled.sparkSession.createDataFrame(costs, "item string, k int, cost double")
+    """Cost by item and number of clusters, with the passes taken and whether they were enough."""
+    costs = [(f.item, f.k, f.cost, f.passes, f.converged) for f in cluster(scaled, **options)]
+    schema = "item string, k int, cost double, passes int, converged boolean"
+    return scaled.sparkSession.createDataFrame(costs, schema)
 
 
 def labelled(scaled: DataFrame, fits: list[kp.Fit]) -> DataFrame:
-    """The rows with their cluster under each of the fits."""
+    """The rows, with their shoppers, and their cluster under each of the fits."""
     return kp.assign(scaled, fits).drop("run")

@@ -6,10 +6,9 @@ Settings, all optional, taken from the running session:
     Shared folder for intermediate tables.  Required on a cluster.
 ``spark.tillroll.broadcastBytes``
     Largest lookup table, measured, that is broadcast (default 256 MiB).
-``spark.tillroll.hotShare``
-    A join key holding more than this share of the rows is split over
-    several partitions when the lookup is too large to broadcast
-    (default 0.001).
+``spark.tillroll.pieceRows``
+    A join key with more rows than this is split into pieces of about so many
+    rows when the lookup is too large to broadcast (default 2,000,000).
 """
 
 from __future__ import annotations
@@ -29,17 +28,18 @@ SESSION_SETTINGS = {
 }
 
 DEFAULT_BROADCAST_BYTES = 256 * 1024 * 1024
-DEFAULT_HOT_SHARE = 0.001
+DEFAULT_PIECE_ROWS = 2_000_000
 
 _local_folders: dict[str, str] = {}
+_staged: dict[str, list[str]] = {}
 
 
 def broadcast_limit(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.tillroll.broadcastBytes", str(DEFAULT_BROADCAST_BYTES)))
 
 
-def hot_share(spark: SparkSession) -> float:
-    return float(spark.conf.get("spark.tillroll.hotShare", str(DEFAULT_HOT_SHARE)))
+def piece_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.tillroll.pieceRows", str(DEFAULT_PIECE_ROWS)))
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -67,4 +67,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_mark(spark: SparkSession) -> int:
+    """How many tables have been staged so far, for ``release_staged``."""
+    return len(_staged.get(spark.sparkContext.applicationId, ()))
+
+
+def release_staged(spark: SparkSession, mark: int = 0) -> int:
+    """Free the space of the tables staged since ``mark``; they read as empty afterwards.
+
+    Whoever called for the tables calls this when their results are used up.
+    """
+    paths = _staged.get(spark.sparkContext.applicationId, [])
+    released = paths[mark:]
+    for path in released:
+        spark.range(0).write.mode("overwrite").parquet(path)
+    del paths[mark:]
+    return len(released)

@@ -2,37 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import logging
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillroll.session import stage
-
 logger = logging.getLogger(__name__)
 
 
 def read_table(
-    spark: SparkSession,
-    path: str,
-    schema: StructType,
-    keys: Sequence[str] = (),
-    fmt: str = "csv",
+    spark: SparkSession, path: str, schema: StructType, fmt: str = "csv"
 ) -> DataFrame:
-    """One lazy scan of a CSV (with header) or Parquet table.
+    """One lazy scan of a CSV (with header) or Parquet table, every row of it.
 
     The header must name the declared columns and a malformed line fails the
-    job.  Rows with a missing key are left out.
+    job.  Rows with missing keys stay: they match no offer and no shopper, but
+    a purchase of a missing brand is a purchase.
     """
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = (
             reader.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
         )
-    table = reader.format(fmt).load(path)
-    return table.dropna(subset=list(keys)) if keys else table
+    return reader.format(fmt).load(path)
+
+
+def require_keys(table: DataFrame, keys: Sequence[str], name: str) -> None:
+    """Fail if a row of an offers or history table lacks a key."""
+    missing = table.agg(*[F.count_if(F.col(k).isNull()).alias(k) for k in keys]).first().asDict()
+    if any(missing.values()):
+        raise ValueError(f"{name}: rows without {({k: n for k, n in missing.items() if n})}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -42,16 +47,16 @@ def write_csv(df: DataFrame, path: str) -> None:
 def save_versioned(df: DataFrame, folder: str, name: str) -> str | None:
     """Save under a time-stamped name; warn and save nothing if empty.
 
-    The rows are computed once, into the shared folder; the emptiness test
-    and the final copy read that table.
+    Written once, in the order of ``df``, and counted while it is written.
     """
-    rows = stage(df, f"save-{name}")
-    if rows.isEmpty():
+    if df.isEmpty():
         logger.warning("%s has no rows, nothing saved", name)
         return None
     path = f"{folder.rstrip('/')}/{name}.{time.time_ns()}"
-    rows.write.mode("errorifexists").parquet(path)
-    logger.info("saved %s", path)
+    seen = Observation()
+    # One partition's rows are one file, so files are in the order of the rows.
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+    logger.info("saved %s rows to %s", seen.get["rows"], path)
     return path
 
 
@@ -60,18 +65,68 @@ def load_saved(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
     return [spark.read.parquet(path) for path in paths]
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """True if a finished Spark job left a table at ``path``."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+def file_state(spark: SparkSession, *paths: str) -> str:
+    """Names, lengths and modification times of all files below ``paths``, as one digest.
+
+    Only the files' metadata are read.
+    """
+    parts = []
+    for path in paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        found = files.select("path", "length", F.unix_millis("modificationTime").alias("at"))
+        # Added up on the cluster: there may be very many files.
+        total = found.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "at")))
+        parts.append([path, *total.first()])
+    return digest(parts)
+
+
+def digest(parts: object) -> str:
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def frame_state(*frames: DataFrame) -> str:
+    """State of what ``frames`` read: their plans and the files under them."""
+    spark = frames[0].sparkSession
+    files = sorted({f for frame in frames for f in frame.inputFiles()})
+    plans = [frame.semanticHash() for frame in frames]
+    return digest([plans, file_state(spark, *files) if files else ""])
+
 
+def _manifest(spark: SparkSession, path: str) -> dict:
+    try:
+        rows = spark.read.text(f"{path.rstrip('/')}.manifest").collect()
+    except AnalysisException:  # there is none
+        return {}
+    return json.loads(rows[0][0]) if rows else {}
 
-def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the table at ``path``; build and write it first if it is missing.
 
-    What a failed job left behind does not count as present and is replaced.
+def _write_manifest(spark: SparkSession, path: str, content: Mapping) -> None:
+    row = spark.createDataFrame([(json.dumps(content),)], "value string").coalesce(1)
+    row.write.mode("overwrite").text(f"{path.rstrip('/')}.manifest")
+
+
+def reuse_or_build(
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    state: str,
+    counts: Mapping[str, Column] | None = None,
+    more: Callable[[], Mapping[str, int]] = dict,
+) -> tuple[DataFrame, dict[str, int]]:
+    """The table at ``path``, built unless it was finished from inputs in ``state``.
+
+    A manifest beside the table, written last, holds the state and the numbers
+    that ``counts``, aggregates over the built rows, gave while it was written,
+    with what ``more`` knows after that.
     """
-    if not is_complete(spark, path):
-        logger.warning("%s not found, building it", path)
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    found = _manifest(spark, path)
+    if found.get("state") != state:
+        logger.warning("%s is missing or of other inputs, building it", path)
+        _write_manifest(spark, path, {"state": None})
+        seen, rows = Observation(), build()
+        if counts:
+            rows = rows.observe(seen, *[c.alias(n) for n, c in counts.items()])
+        rows.write.mode("overwrite").parquet(path)
+        found = {"state": state, "counts": (dict(seen.get) if counts else {}) | dict(more())}
+        _write_manifest(spark, path, found)
+    return spark.read.parquet(path), found["counts"]

@@ -1,21 +1,27 @@
 """The sample star schema seen as a purchase log, offers and histories.
 
 Each sale line is a purchase by the order's customer; returned lines count
-negatively, and every 50th order is in the log twice.  The 35 best selling
-products are on offer, one of them twice, together with one never sold.
+negatively, and every 50th order is in the log twice.  Some orders lack the
+shopper, dept, brand or date, some are of another dept than their category's.
+The 35 best selling products are on offer, one of them twice, together with
+one never sold.  Some shoppers of the history have an unknown offer, some have
+no purchases.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.session import stage
 from tillroll.sources.schemas import ITEMS
 
 
+IDLE_FROM = 10_000_000
+
+
 class RetailTables(NamedTuple):
     transactions: DataFrame
     offers: DataFrame
@@ -42,16 +48,20 @@ def sample_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sign = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
     twice = F.array_repeat(F.lit(0), F.when(F.col("l_orderkey") % 50 == 0, 2).otherwise(1))
+
+    def every(n: int) -> Column:
+        return F.col("l_orderkey") % n == 0
+
     return sales.select(
-        F.col("o_custkey").alias("id"),
+        F.when(~every(101), F.col("o_custkey")).alias("id"),
         (F.lit(100) + F.col("c_nationkey")).alias("chain"),
-        F.col("p_type").alias("dept"),
+        F.when(every(71), "Mixed").when(~every(89), F.col("p_type")).alias("dept"),
         F.concat("p_type", F.lit("/"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias(
             "category"
         ),
         F.col("s_nationkey").alias("company"),
-        F.col("p_brand").alias("brand"),
-        F.to_date("l_shipdate").alias("date"),
+        F.when(~every(97), F.col("p_brand")).alias("brand"),
+        F.when(~every(83), F.to_date("l_shipdate")).alias("date"),
         F.col("l_linenumber").cast("double").alias("productsize"),
         F.lit("EA").alias("productmeasure"),
         (sign * F.col("l_quantity")).cast("int").alias("purchasequantity"),
@@ -61,7 +71,7 @@ def sample_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_offers(transactions: DataFrame) -> DataFrame:
-    sales = transactions.groupBy(*ITEMS).agg(F.count("*").alias("n"))
+    sales = transactions.where("brand is not null").groupBy(*ITEMS).agg(F.count("*").alias("n"))
     best = sales.orderBy(F.desc("n"), *ITEMS).limit(35)
     rank = Window.orderBy(F.desc("n"), *ITEMS)  # over these 35 rows only
     best = best.withColumn("offer", F.row_number().over(rank).cast("bigint"))
@@ -101,10 +111,14 @@ def sample_history(customers: DataFrame, transactions: DataFrame, offers: DataFr
         .agg(F.min("offer").alias("own_offer"))
     )
     key = F.col("c_custkey")
-    return customers.join(own, key == F.col("id"), "left").select(
+    known = customers.join(own, key == F.col("id"), "left").drop("id")
+    # Further shoppers, none of whom has bought anything.
+    idle = known.where(key % 37 == 0).withColumn("c_custkey", key + IDLE_FROM)
+    return known.unionByName(idle).select(
         key.alias("id"),
         (F.lit(100) + F.col("c_nationkey")).alias("chain"),
-        F.when(key % 11 == 0, 37)
+        F.when(key % 29 == 0, 99)
+        .when(key % 11 == 0, 37)
         .when(key % 13 == 0, 36)
         .otherwise(F.coalesce("own_offer", key % 35 + 1))
         .alias("offer"),
