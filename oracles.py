@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 ITEMS = ("category", "company", "brand")
 CCB = "category, company, brand"
 DAY_LIMITS = (30, 60, 90, 120, 150, 180, 1000)
@@ -266,7 +268,7 @@ MATCHES = " union all ".join(
     for item in ITEMS
 )
 SCALED = (
-    f"z as materialized (select item, value, {_z('purchasequantity', 'q')},"
+    f"z as materialized (select id, item, value, {_z('purchasequantity', 'q')},"
     f" {_z('purchaseamount', 'a')}, {_z('day_diff', 'dd')} from ({MATCHES}))"
 )
 STARTS = (
@@ -293,10 +295,114 @@ MODES = (
 )
 
 
+def _starts(ks: tuple[int, ...], seed: int | None = None, runs: int = 1) -> str:
+    """Prototypes of every fit before the first pass: (item, k, run, cluster, mode, numbers)."""
+    tops = (
+        "(select item, value, "
+        + ", ".join(f"avg({c}) as {c}" for c in NUMBERS)
+        + ", row_number() over (partition by item order by count(*) desc, value) - 1 as place"
+        " from z group by item, value)"
+    )
+    if seed is None:
+        numbers = ", ".join(f"t.{c}" for c in NUMBERS)
+        draws = [(k, 0, j, ()) for k in ks for j in range(k)]
+        values = ", ".join(f"({k}, {run}, {j})" for k, run, j, _ in draws)
+        drawn = f"(values {values}) d(k, run, cluster)"
+    else:
+        numbers = ", ".join(f"m.mean_{c} + d.d_{c} * m.std_{c} as {c}" for c in NUMBERS)
+        rows = []
+        for k in ks:
+            for run in range(runs):
+                draw = np.random.default_rng([seed, run, k]).standard_normal((k, len(NUMBERS)))
+                rows += [(k, run, j, *map(repr, map(float, draw[j]))) for j in range(k)]
+        values = ", ".join(f"({k}, {run}, {j}, {', '.join(d)})" for k, run, j, *d in rows)
+        drawn = f"(values {values}) d(k, run, cluster, {', '.join(f'd_{c}' for c in NUMBERS)})"
+    spreads = (
+        "(select item, count(distinct value) as n_values, "
+        + ", ".join(f"avg({c}) as mean_{c}, stddev_pop({c}) as std_{c}" for c in NUMBERS)
+        + " from z group by item)"
+    )
+    return (
+        f"select t.item, d.k, d.run, d.cluster, t.value as mode, {numbers}, 0 as pass,"
+        " cast('infinity' as double) as cost, false as settled"
+        f" from {drawn} join {spreads} m on true"
+        f" join {tops} t on t.item = m.item and t.place = d.cluster % m.n_values"
+    )
+
+
+def _passes(ks: tuple[int, ...], seed: int | None = None, runs: int = 1) -> str:
+    """All passes of all fits until each settles, emptied clusters refilled."""
+    gaps = " + ".join(f"(z.{c} - f.{c}) * (z.{c} - f.{c})" for c in NUMBERS)
+    fit, numbers = "item, k, run", ", ".join(NUMBERS)
+    of_f = "f.item, f.k, f.run"
+    new = ", ".join(f"sum({c}) / sum(n) as {c}" for c in NUMBERS)
+    steps = f"""
+  places as (
+    select {of_f}, f.cluster, z.value, {", ".join(f"z.{c}" for c in NUMBERS)}, z.row,
+           {gaps} + case when z.value = f.mode then 0 else 0.5 end as distance
+    from (select *, row_number() over () as row from z) z join fits f on f.item = z.item
+    where not f.settled and f.pass < 100),
+  nearest as (
+    select * from (select *, row_number() over
+      (partition by {fit}, row order by distance, cluster) as place from places) where place = 1),
+  counted as (
+    select {fit}, cluster, value, count(*) as n, sum(distance) as cost,
+           {", ".join(f"sum({c}) as {c}" for c in NUMBERS)}
+    from nearest group by {fit}, cluster, value),
+  news as (
+    select {fit}, cluster, arg_max(value, {{'n': n, 'value': value}}) as mode, {new}, sum(n) as n
+    from counted group by {fit}, cluster),
+  emptied as (
+    select {of_f}, f.cluster, row_number() over (partition by {of_f} order by f.cluster) as e,
+           count(*) over (partition by {of_f}) as wanted
+    from fits f left join news n using ({fit}, cluster)
+    where n.mode is null and not f.settled and f.pass < 100),
+  largest as (
+    select {fit}, arg_max(cluster, {{'n': n, 'low': -cluster}}) as cluster from news group by {fit}),
+  worst as (
+    select {fit}, value, {numbers}, row_number() over
+      (partition by {fit} order by distance desc, value, {numbers}) as r,
+      count(*) over (partition by {fit}) as held
+    from nearest join largest using ({fit}, cluster) where distance > 0),
+  refills as (
+    select e.item, e.k, e.run, e.cluster, w.value, {", ".join(f"w.{c}" for c in NUMBERS)}
+    from emptied e join worst w using ({fit}) where w.r = least(e.wanted, w.held) - e.e + 1),
+  moves as (
+    select {of_f}, f.cluster, f.mode as old_mode, {", ".join(f"f.{c} as old_{c}" for c in NUMBERS)},
+           coalesce(n.mode, r.value, f.mode) as mode,
+           {", ".join(f"coalesce(n.{c}, r.{c}, f.{c}) as {c}" for c in NUMBERS)},
+           r.value is not null as refilled, f.pass, f.cost as old_cost
+    from fits f left join news n using ({fit}, cluster) left join refills r using ({fit}, cluster)
+    where not f.settled and f.pass < 100),
+  costs as (select {fit}, sum(cost) as cost from counted group by {fit}),
+  stills as (
+    select {fit}, any_value(c.cost) as cost, not bool_or(refilled) and (
+             any_value(c.cost) >= any_value(old_cost) or not bool_or(mode <> old_mode or {
+               " or ".join(f"abs({c} - old_{c}) > 1e-9" for c in NUMBERS)})) as still
+    from moves join costs c using ({fit}) group by {fit})
+  select {fit}, cluster, case when still then old_mode else mode end as mode,
+         {", ".join(f"case when still then old_{c} else {c} end as {c}" for c in NUMBERS)},
+         pass + 1 as pass, least(s.cost, old_cost) as cost, still as settled
+  from moves join stills s using ({fit})"""
+    return (
+        f"fits as (select {fit}, cluster, mode, {numbers}, pass, cost, settled"
+        f" from ({_starts(ks, seed, runs)}) union all (with {steps}))"
+    )
+
+
+def _elbow(ks: tuple[int, ...], seed: int | None = None, runs: int = 1) -> str:
+    return _with(
+        "select item, k, round(min(cost), 4) as cost from fits where settled group by item, k",
+        SCALED,
+        _passes(ks, seed, runs),
+    ).replace("with ", "with recursive ", 1)
+
+
 def _rounded(columns: tuple[str, ...], digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) as {c}" for c in columns)
 
 
+GAPS = " + ".join(f"(z.{c} - f.{c}) * (z.{c} - f.{c})" for c in NUMBERS)
 SOLD = (
     "select 1 from t where t.category = spine.category and t.company = spine.company"
     " and t.brand = spine.brand"
@@ -464,6 +570,18 @@ def oracle_sql() -> dict[str, str]:
             " round(distance, 5) as distance from assigned",
             SCALED, STARTS, ASSIGNED,
         ),
+        "kproto_elbow": _elbow((1, 2, 3, 4, 5, 6)),
+        "kproto_random_starts": _elbow((2, 3), seed=1, runs=2),
+        "kproto_labels": _with(
+            f"select id, item, value, {_rounded(NUMBERS)}, cast(k as int) as k,"
+            " cast(cluster as int) as cluster, round(distance, 5) as distance from ("
+            f"select z.*, f.k, f.cluster, {GAPS} + case when z.value = f.mode then 0 else 0.5 end"
+            " as distance, row_number() over (partition by z.row order by "
+            f"{GAPS} + case when z.value = f.mode then 0 else 0.5 end, f.cluster) as place"
+            " from (select *, row_number() over () as row from z) z"
+            " join fits f on f.item = z.item and f.settled) where place = 1",
+            SCALED, _passes((3,)),
+        ).replace("with ", "with recursive ", 1),
         "kproto_update_step": _with(
             "select item, cast(cluster as int) as cluster, n, mode, "
             + _rounded(NUMBERS)

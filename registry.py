@@ -570,15 +570,19 @@ def kproto_update_step(t: RetailTables) -> DataFrame:
 
 @query("kproto_elbow")
 def kproto_elbow(t: RetailTables) -> DataFrame:
-    return sg.elbow(_scaled(t))
+    return sg.elbow(_scaled(t)).select("item", "k", F.round("cost", 4).alias("cost"))
 
 
 @query("kproto_labels")
 def kproto_labels(t: RetailTables) -> DataFrame:
     scaled = _scaled(t)
-    return sg.labelled(scaled, sg.cluster(scaled, ks=[3]))
+    rows = sg.labelled(scaled, sg.cluster(scaled, ks=[3]))
+    numbers = [F.round(c, 6).alias(c) for c in NUMERIC]
+    distance = F.round("distance", 5).alias("distance")
+    return rows.select("id", "item", "value", *numbers, "k", "cluster", distance)
 
 
 @query("kproto_random_starts")
 def kproto_random_starts(t: RetailTables) -> DataFrame:
-    return sg.elbow(_scaled(t), ks=[2, 3], seed=1)
+    costs = sg.elbow(_scaled(t), ks=[2, 3], seed=1)
+    return costs.select("item", "k", F.round("cost", 4).alias("cost"))

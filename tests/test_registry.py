@@ -23,8 +23,6 @@ TYPES = {
     "date": "DATE",
     "boolean": "BOOLEAN",
 }
-ROWS_ONLY = {"kproto_elbow", "kproto_labels", "kproto_random_starts"}
-
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="no sample data")
 
 
@@ -36,9 +34,8 @@ def duck():
     return connection
 
 
-def test_only_iterative_queries_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
-    assert not set(ORACLES) - set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -54,11 +51,6 @@ def test_same_rows(spark, duck, name):
     assert found == expected
 
 
-@pytest.mark.parametrize("name", ["kproto_elbow", "kproto_labels", "kproto_random_starts"])
-def test_rows_only(spark, name):
-    assert QUERIES[name](spark, str(SF_DIR)).count() > 0
-
-
 def test_all_are_registered():
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
