@@ -95,7 +95,8 @@ def test_a_table_without_its_manifest_is_rebuilt(spark, tmp_path):
     reduced_table(spark, path, transactions.where("id = 10"), offers, "state")
     files._write_manifest(spark, path, {"state": None})  # as a failed run leaves it
     assert reduced_table(spark, path, transactions, offers, "state")[0].count() == 13
-    assert reduced_table(spark, path, transactions.where("id < 0"), offers, "state")[0].count() == 13
+    none = transactions.where("id < 0")
+    assert reduced_table(spark, path, none, offers, "state")[0].count() == 13
 
 
 def test_saved_files_are_in_order(spark, tmp_path):

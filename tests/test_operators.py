@@ -188,13 +188,15 @@ def test_many_offers_of_few_categories_do_not_shuffle_the_log(spark):
     offers = stage(
         spark.range(20_000).selectExpr(
             "id as offer", "cast(id % 3 as int) * 100 as category", "1 as quantity",
-            "id % 5 + 7 as company", "cast(1 as decimal(6,2)) as offervalue", "cast(id % 4 as int) * 10 as brand",
+            "id % 5 + 7 as company", "cast(1 as decimal(6,2)) as offervalue",
+            "cast(id % 4 as int) * 10 as brand",
         ),
         "many",
     )
     spark.conf.set("spark.tillroll.broadcastBytes", "100000")
     try:
-        plan = rd.reduce_transactions(transactions, offers)._jdf.queryExecution().executedPlan().toString()
+        kept = rd.reduce_transactions(transactions, offers)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.tillroll.broadcastBytes")
     assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan

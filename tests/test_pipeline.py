@@ -77,7 +77,8 @@ def test_offers_of_two_histories(spark, tmp_path):
     history = frames(spark)[2]
     train = history.withColumn("repeattrips", F.lit(0)).withColumn("repeater", F.lit("t"))
     files.write_csv(train.select(*schemas.train_history_schema().names), str(tmp_path / "a"))
-    files.write_csv(history.select(*schemas.test_history_schema().names).limit(1), str(tmp_path / "b"))
+    test = history.select(*schemas.test_history_schema().names).limit(1)
+    files.write_csv(test, str(tmp_path / "b"))
     both = offers_of_both(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()
     assert sum(r["train_offer"] for r in both) == history.count()
     assert sum(r["test_offer"] for r in both) == 1

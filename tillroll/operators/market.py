@@ -15,7 +15,8 @@ from tillroll.sources.schemas import ITEMS
 
 def shopper_totals(transactions: DataFrame) -> DataFrame:
     """Total spend of every shopper in the log, in the spine or not."""
-    totals = transactions.where("id is not null").groupBy("id").agg(F.sum(cents("purchaseamount")).alias("_c"))
+    known = transactions.where("id is not null")
+    totals = known.groupBy("id").agg(F.sum(cents("purchaseamount")).alias("_c"))
     return totals.select("id", money("_c").alias("total_spend"))
 
 

@@ -78,7 +78,7 @@ def reduced_table(
         flagged = flag_offered(transactions.observe(searched, F.count(F.lit(1)).alias("n")), offers)
         return flagged.where(any_offered()).select(*transactions.columns)
 
-    reduced, counts = reuse_or_build(
-        spark, path, build, state, {"kept": F.count(F.lit(1))}, lambda: {"searched": searched.get["n"]}
+    kept = {"kept": F.count(F.lit(1))}
+    return reuse_or_build(
+        spark, path, build, state, kept, lambda: {"searched": searched.get["n"]}
     )
-    return reduced, counts

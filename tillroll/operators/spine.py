@@ -33,7 +33,8 @@ def category_dept_map(transactions: DataFrame, categories: DataFrame | None = No
     """
     known = transactions.where("category is not null and dept is not null")
     if categories is not None:
-        known = join_lookup(known, categories.select("category").distinct(), "category", "left_semi")
+        wanted = categories.select("category").distinct()
+        known = join_lookup(known, wanted, "category", "left_semi")
     pairs = known.groupBy("category", "dept").agg(F.max("date").alias("last"))
     return pairs.groupBy("category").agg(F.max_by("dept", F.struct("last", "dept")).alias("dept"))
 

@@ -290,10 +290,8 @@ def dropped_shoppers(
     spine = stage(history_with_offers(history, offers), "spine")
     events = lb.history_events(transactions, spine)
     # No keys or amounts are read: one row per shopper with purchases.
-    bought = stage(
-        events.groupBy("id").agg(F.coalesce(F.max(F.col("day_diff") > 0), F.lit(False)).alias("_before")),
-        "bought",
-    )
+    before = F.coalesce(F.max(F.col("day_diff") > 0), F.lit(False))
+    bought = stage(events.groupBy("id").agg(before.alias("_before")), "bought")
     sold = stage(mk.product_counts(transactions, offers).select(*ITEMS), "sold")
     reasons = join_lookup(spine, bought, "id", "left")
     reasons = join_lookup(reasons, sold.withColumn("_sold", F.lit(True)), ITEMS, "left")

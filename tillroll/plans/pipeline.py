@@ -39,7 +39,9 @@ class Results(NamedTuple):
         release_staged(self.totals.sparkSession, self.mark)
 
 
-def history_table(spark: SparkSession, path: str, outcome: bool = True, fmt: str = "csv") -> DataFrame:
+def history_table(
+    spark: SparkSession, path: str, outcome: bool = True, fmt: str = "csv"
+) -> DataFrame:
     """A history file with or without the outcome columns."""
     schema = schemas.train_history_schema() if outcome else schemas.test_history_schema()
     return files.read_table(spark, path, schema, fmt)

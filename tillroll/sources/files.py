@@ -75,8 +75,8 @@ def file_state(spark: SparkSession, *paths: str) -> str:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
         found = files.select("path", "length", F.unix_millis("modificationTime").alias("at"))
         # Added up on the cluster: there may be very many files.
-        total = found.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "at")))
-        parts.append([path, *total.first()])
+        mixed = F.bit_xor(F.xxhash64("path", "length", "at"))
+        parts.append([path, *found.agg(F.count("*"), F.sum("length"), mixed).first()])
     return digest(parts)
 
 
