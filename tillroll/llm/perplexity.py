@@ -314,16 +314,13 @@ def thresholds(held_out: DataFrame, quantile: float = QUANTILE) -> DataFrame:
         F.min("limit").alias("own_limit"), F.sum("n").alias("held_out")
     )
     pooled_bins = bins.groupBy("bin").agg(F.sum("n").alias("n"))
-    pooled = pooled_bins.withColumn("limit", at_quantile([F.lit(1)])).agg(
-        F.min("limit").alias("pooled_limit")
-    )
+    ranked = pooled_bins.withColumn("limit", at_quantile([F.lit(1)]))
+    pooled = F.lit(ranked.agg(F.min("limit")).first()[0]).cast("double")
     limit = F.when(F.col("held_out") >= LEAST_HELD_OUT, F.col("own_limit")).otherwise(
-        F.greatest("own_limit", "pooled_limit")
+        F.greatest(F.col("own_limit"), pooled)
     )
-    return (
-        own.crossJoin(F.broadcast(pooled))  # one row
-        .join(means.withColumnRenamed("lang", "_lang"), same)
-        .select("lang", "mean_nll", limit.alias("limit"))
+    return own.join(means.withColumnRenamed("lang", "_lang"), same).select(
+        "lang", "mean_nll", limit.alias("limit")
     )
 
 
