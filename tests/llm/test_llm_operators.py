@@ -110,6 +110,36 @@ def test_contaminated(spark):
     assert {(r.doc_id, r.item_id) for r in found} == expected
 
 
+def invented(seed, words):
+    """Prose of a wide vocabulary, so that passages differ."""
+    pick = random.Random(seed)
+    return [pick.choice(WORDS) if pick.random() < 0.3 else f"w{pick.randrange(3000)}" for _ in range(words)]
+
+
+@pytest.mark.parametrize("size", [64, 65, 200, 300, 2000])
+def test_long_items(spark, size):
+    items = [[*invented(10 + i, size - 8), "ends.", *invented(20 + i, 7)] for i in range(3)]
+    texts, expected = [], set()
+    for i in range(12):
+        item, words = items[i % 3], invented(100 + i, 150)
+        if i < 3:  # verbatim, at the start of the text
+            texts.append(" ".join(item + words))
+        elif i < 6:  # lightly paraphrased
+            copy = [w if n % 10 != 4 else "changed" for n, w in enumerate(item)]
+            copy = [x for n, w in enumerate(copy) for x in ([w, "added"] if n % 12 == 7 else [w])]
+            texts.append(" ".join(words[:70] + copy + words[70:]))
+        elif i < 9:  # two thirds of the item only
+            texts.append(" ".join(words[:70] + item[size // 3 :] + words[70:]))
+        else:
+            texts.append(" ".join(words))
+        if i < 6:
+            expected.add((i, i % 3))
+    found = decontamination.contaminated(
+        documents(spark, texts), benchmark(spark, [(i, " ".join(t), 0) for i, t in enumerate(items)])
+    ).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == sorted(expected)
+
+
 # 3
 
 

@@ -6,19 +6,23 @@
 2. A second pass gives a randomised SVD of the TF-IDF passages over the terms
    of the benchmark: the passages' product with a random matrix is summed in a
    tree of tasks, and one Nystroem step gives the right singular vectors.  The
-   benchmark items are rows of the matrix as well, weighted like the corpus as
-   a whole, so that its leading vectors can tell the items apart.
-3. A third pass cuts overlapping passages and compares each with all items by
+   benchmark items, those longer than a passage in even pieces, are rows of the
+   matrix as well, weighted like the corpus as a whole, so that its leading
+   vectors can tell the items apart.
+3. A third pass cuts overlapping passages and compares each with all pieces by
    the cosine of their latent vectors, relative to the length of the whole
    TF-IDF vectors.  Passages whose benchmark terms are too light to reach
    ``COSINE``, even if each stood there ``REPEATS`` times, are left out first.
-4. Candidates are checked where they are found: the longest common subsequence
-   of item and passage, with a window's words on either side, must hold
+4. Candidates are checked where they are found: passages near one another are
+   joined up to the length of the item, and with the item's length and a quarter
+   (a window's at least) on either side make a span that holds any copy of the
+   item.  The longest common subsequence of item and span must hold
    ``LCS_SHARE`` of the item's words, and that of the item's answer, its last
    sentence, ``ANSWER_SHARE`` of the answer's.
 
-Items are taken in blocks of ``ITEM_BLOCK``, each with its own latent space,
-so what is broadcast is bounded by the block and the hash buckets.
+Items are taken in blocks of ``ITEM_BLOCK`` pieces (more only if one item has
+more), each with its own latent space, so what is broadcast is bounded by the
+block and the hash buckets.
 
 Words are runs of letters and digits; A-Z and capitals of Latin-1 are
 lowered.  Edge cases: null and empty texts match nothing; so do items with
@@ -44,7 +48,7 @@ WINDOW = 64
 TERM_BITS = 20
 COMMON_SHARE = 0.02  # terms in more of the passages carry no weight
 COMMON_LEAST = 20
-KEPT_TERMS = 5  # an item with fewer weighted terms keeps all of its own
+KEPT_TERMS = 5  # a piece with fewer weighted terms keeps all of its own
 ITEM_BLOCK = 256
 EXTRA_RANK = 64
 ITEM_KEPT = 0.95  # of an item's length that the latent space has to hold
@@ -166,18 +170,28 @@ def _hashes(text: str) -> np.ndarray:
 def read_items(benchmark: DataFrame) -> Iterator[list[Item]]:
     """The items with enough words, in blocks; the driver holds one block at a time."""
     block: list[Item] = []
+    size = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = _hashes(row.text or "").tolist()
         if len(words) >= LEAST_WORDS:
             sentences = [s for s in re.split(r"(?<=[.!?])\s+", row.text.strip()) if len(_hashes(s))]
-            block.append(Item(row.item_id, words, _hashes(sentences[-1]).tolist()))
-        if len(block) == ITEM_BLOCK:
-            yield block
-            block = []
+            item = Item(row.item_id, words, _hashes(sentences[-1]).tolist())
+            if block and size + len(pieces(item)) > ITEM_BLOCK:
+                yield block
+                block, size = [], 0
+            block.append(item)
+            size += len(pieces(item))
     if block:
         yield block
 
 
+def pieces(item: Item) -> list[list[int]]:
+    """The item's words in even pieces of at most a passage."""
+    count = -(-len(item.words) // WINDOW)
+    cuts = [len(item.words) * i // count for i in range(count + 1)]
+    return [item.words[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class Space(NamedTuple):
     """Latent space of a block of items; all that a task needs to search."""
 
@@ -185,7 +199,8 @@ class Space(NamedTuple):
     terms: np.ndarray  # sorted hashes of the block's weighted terms
     is_term: np.ndarray  # by bucket
     basis: np.ndarray  # terms x rank
-    latent: np.ndarray  # rank x items, scaled by the items' lengths
+    latent: np.ndarray  # rank x pieces, scaled by the pieces' lengths
+    owner: np.ndarray  # the item of each piece
     items: list[Item]
 
 
@@ -198,11 +213,11 @@ def _term_places(hashes: np.ndarray, terms: np.ndarray, is_term: np.ndarray) ->
     return maybe[hit], place[hit]
 
 
-def _weights(df: np.ndarray, passages: int, items: list[Item]) -> np.ndarray:
+def _weights(df: np.ndarray, passages: int, parts: list[list[int]]) -> np.ndarray:
     weights = np.log1p(passages / np.maximum(df, 1))
     common = df > max(COMMON_SHARE * passages, COMMON_LEAST)
-    for item in items:
-        own = buckets(np.array(item.words, np.uint64))
+    for part in parts:
+        own = buckets(np.array(part, np.uint64))
         if len(np.unique(own[~common[own]])) < KEPT_TERMS:
             common[own] = False
     weights[common] = 0
@@ -222,19 +237,21 @@ def _nystroem(random: np.ndarray, product: np.ndarray, rank: int) -> np.ndarray:
 
 def fit_space(docs: DataFrame, items: list[Item], df: np.ndarray, passages: int) -> Space | None:
     """Randomised SVD of all passages and the items, over the items' terms."""
-    weights = _weights(df, passages, items)
-    every = np.unique(np.concatenate([np.array(i.words, np.uint64) for i in items]))
+    parts = [part for item in items for part in pieces(item)]
+    owner = np.repeat(np.arange(len(items)), [len(pieces(item)) for item in items])
+    weights = _weights(df, passages, parts)
+    every = np.unique(np.concatenate([np.array(part, np.uint64) for part in parts]))
     terms = every[weights[buckets(every)] > 0]
     if not len(terms):
         return None
     is_term = np.zeros(1 << TERM_BITS, bool)
     is_term[buckets(terms)] = True
-    rank = min(len(items) + EXTRA_RANK, len(terms))
+    rank = min(len(parts) + EXTRA_RANK, len(terms))
     columns = min(rank + 16, len(terms))
     random = np.random.default_rng(SEED).standard_normal((len(terms), columns))
-    rows = np.zeros((len(items), len(terms)))
-    for i, item in enumerate(items):
-        hashes = np.array(item.words, np.uint64)
+    rows = np.zeros((len(parts), len(terms)))
+    for i, part in enumerate(parts):
+        hashes = np.array(part, np.uint64)
         at, place = _term_places(hashes, terms, is_term)
         np.add.at(rows[i], place, weights[buckets(hashes[at])])
     shared = docs.sparkSession.sparkContext.broadcast((weights, terms, is_term, random.astype(np.float32)))
@@ -272,7 +289,7 @@ def fit_space(docs: DataFrame, items: list[Item], df: np.ndarray, passages: int)
             break
         scale *= 4
     latent = (rows @ basis / np.maximum(lengths, 1e-9)[:, None]).T
-    return Space(weights, terms, is_term, basis.astype(np.float32), latent.astype(np.float32), items)
+    return Space(weights, terms, is_term, basis.astype(np.float32), latent.astype(np.float32), owner, items)
 
 
 def lcs_length(item: list[int], words: list[int]) -> int:
@@ -323,19 +340,40 @@ def _search(space: Space, words: Words) -> Iterator[tuple[int, int, float, float
         scale = np.sqrt(np.maximum(length[i : i + 2048], 1e-9))
         cosines = vectors @ space.latent / scale[:, None]
         for p, j in zip(*np.nonzero(cosines >= COSINE)):
-            key = (int(row[i + p]), int(j))
+            key = (int(row[i + p]), int(space.owner[j]))
             best[key] = max(best.get(key, 0.0), float(cosines[p, j]))
             spans.setdefault(key, []).append((int(begin[i + p]), int(end[i + p])))
     for (r, j), found in spans.items():
-        item = space.items[j]
-        share = answer = 0.0
-        for a, b in found:
-            around = hashes[max(a - WINDOW, starts[r]) : min(b + WINDOW, starts[r + 1])].tolist()
-            lcs = lcs_length(item.words, around) / len(item.words)
-            if lcs > share:
-                share, answer = lcs, lcs_length(item.answer, around) / len(item.answer)
-        if share >= LCS_SHARE and answer >= ANSWER_SHARE:
-            yield r, j, min(best[r, j], 1.0), share, answer
+        size = len(space.items[j].words)
+        margin = max(WINDOW, size + size // 4)
+        matched = (0.0, 0.0)
+        for a, b in _joined(found, max(WINDOW, size)):
+            around = hashes[max(a - margin, starts[r]) : min(b + margin, starts[r + 1])]
+            matched = max(matched, _shares(space.items[j], around) or matched)
+        if matched[0]:
+            yield r, j, min(best[r, j], 1.0), *matched
+
+
+def _joined(spans: list[tuple[int, int]], limit: int) -> Iterator[tuple[int, int]]:
+    """Spans, sorted and joined as long as the outcome has at most ``limit`` words."""
+    ordered = sorted(set(spans))
+    first, last = ordered[0]
+    for a, b in ordered[1:]:
+        if b - first > limit:
+            yield first, last
+            first = a
+        last = b
+    yield first, last
+
+
+def _shares(item: Item, around: np.ndarray) -> tuple[float, float] | None:
+    """The shares of the item's and the answer's words in a span that holds the item."""
+    words = around.tolist()
+    share = lcs_length(item.words, words) / len(item.words)
+    if share < LCS_SHARE:
+        return None
+    answer = lcs_length(item.answer, words) / len(item.answer)
+    return (share, answer) if answer >= ANSWER_SHARE else None
 
 
 def _matches(docs: DataFrame, space: Space) -> DataFrame:
