@@ -140,6 +140,21 @@ def test_long_items(spark, size):
     assert sorted((r.doc_id, r.item_id) for r in found) == sorted(expected)
 
 
+def test_short_items_of_common_words(spark):
+    items = [prose(3000 + i, size).split() for i, size in enumerate([5, 5, 6, 6, 8, 8, 10, 12, 15])]
+    texts = []
+    for i in range(45):
+        words = invented(400 + i, 150)
+        rare = [w for w in words if w not in WORDS]
+        texts.append(" ".join(rare[:40] + items[i % 9] + rare[40:]))
+    texts += [" ".join(items[i][: len(items[i]) // 2]) for i in range(9)]
+    found = decontamination.contaminated(
+        documents(spark, texts), benchmark(spark, [(i, " ".join(t), 0) for i, t in enumerate(items)])
+    ).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i % 9) for i in range(45)]
+    assert all(0 < r.cosine <= 1 for r in found)
+
+
 # 3
 
 

@@ -19,6 +19,11 @@
    item.  The longest common subsequence of item and span must hold
    ``LCS_SHARE`` of the item's words, and that of the item's answer, its last
    sentence, ``ANSWER_SHARE`` of the answer's.
+5. An item of at most ``SHORT`` words fills less than half of a passage and may
+   stay below ``COSINE`` among heavier words.  It is sought by its rarest words
+   as well: a match lacks so few of the item's words that at least ``SEEDS`` of
+   those must be there.  Where as many stand within twice the item's length,
+   the same check is made, on the words a match of that length could take up.
 
 Items are taken in blocks of ``ITEM_BLOCK`` pieces (more only if one item has
 more), each with its own latent space, so what is broadcast is bounded by the
@@ -33,6 +38,7 @@ table on either side gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
@@ -57,6 +63,8 @@ COSINE = 0.25
 REPEATS = 8  # a word repeated in a passage is foreseen up to so many times
 LCS_SHARE = 0.8
 ANSWER_SHARE = 0.5
+SHORT = 32
+SEEDS = 3
 LEAST_WORDS = 5
 SEED = 42
 CHUNK = 1 << 20
@@ -192,6 +200,14 @@ def pieces(item: Item) -> list[list[int]]:
     return [item.words[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
+class Seeds(NamedTuple):
+    """The rarest words of a block's short items."""
+
+    terms: np.ndarray  # sorted hashes
+    is_term: np.ndarray  # by bucket
+    wanted: list[tuple[int, np.ndarray, int]]  # item, places in terms, words that must be there
+
+
 class Space(NamedTuple):
     """Latent space of a block of items; all that a task needs to search."""
 
@@ -202,6 +218,23 @@ class Space(NamedTuple):
     latent: np.ndarray  # rank x pieces, scaled by the pieces' lengths
     owner: np.ndarray  # the item of each piece
     items: list[Item]
+    seeds: Seeds
+
+
+def _seeds(items: list[Item], df: np.ndarray) -> Seeds:
+    chosen = []
+    for j, item in enumerate(items):
+        size = len(item.words)
+        if size <= SHORT:
+            lacking = size - math.ceil(LCS_SHARE * size)
+            least = min(SEEDS, size - lacking)
+            words = np.array(item.words, np.uint64)
+            rarest = np.argsort(df[buckets(words)], kind="stable")[: lacking + least]
+            chosen.append((j, np.unique(words[rarest]), least))
+    terms = np.unique(np.concatenate([np.empty(0, np.uint64), *(words for _, words, _ in chosen)]))
+    is_term = np.zeros(1 << TERM_BITS, bool)
+    is_term[buckets(terms)] = True
+    return Seeds(terms, is_term, [(j, np.searchsorted(terms, words), least) for j, words, least in chosen])
 
 
 def _term_places(hashes: np.ndarray, terms: np.ndarray, is_term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +322,7 @@ def fit_space(docs: DataFrame, items: list[Item], df: np.ndarray, passages: int)
             break
         scale *= 4
     latent = (rows @ basis / np.maximum(lengths, 1e-9)[:, None]).T
-    return Space(weights, terms, is_term, basis.astype(np.float32), latent.astype(np.float32), owner, items)
+    return Space(weights, terms, is_term, basis.astype(np.float32), latent.astype(np.float32), owner, items, _seeds(items, df))
 
 
 def lcs_length(item: list[int], words: list[int]) -> int:
@@ -307,10 +340,53 @@ def lcs_length(item: list[int], words: list[int]) -> int:
 
 def _search(space: Space, words: Words) -> Iterator[tuple[int, int, float, float, float]]:
     """(row, item, cosine, lcs share, answer share) of each match in a run of rows."""
-    step = WINDOW // 2
+    if len(words.hashes):
+        found = {match[:2]: match for match in _search_short(space, words)}
+        found |= {match[:2]: match for match in _search_passages(space, words)}
+        yield from found.values()
+
+
+def _search_short(space: Space, words: Words) -> Iterator[tuple[int, int, float, float, float]]:
+    """The matches of short items, found by their rarest words."""
     hashes, starts = words
-    if not len(hashes):
+    terms, is_term, wanted = space.seeds
+    if not len(terms):
         return
+    at, place = _term_places(hashes, terms, is_term)
+    by_term = np.argsort(place, kind="stable")
+    at = at[by_term]
+    cuts = np.searchsorted(place[by_term], np.arange(len(terms) + 1))
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    for j, places, least in wanted:
+        item = space.items[j]
+        reach = 2 * len(item.words)
+        near = np.sort(np.concatenate([at[cuts[t] : cuts[t + 1]] for t in places]))
+        first, last = near[: len(near) - least + 1], near[least - 1 :]
+        close = (last - first < reach) & (row[first] == row[last])
+        matched: dict[int, tuple[float, float, float]] = {}
+        for a, b in zip(first[close].tolist(), last[close].tolist()):
+            r = int(row[a])
+            around = hashes[max(b - reach + 1, starts[r]) : min(a + reach, starts[r + 1])]
+            shares = _shares(item, around)
+            if shares and shares > matched.get(r, (0.0,))[-2:]:
+                matched[r] = (_cosine(space.weights, item, around), *shares)
+        for r, match in matched.items():
+            yield r, j, *match
+
+
+def _cosine(weights: np.ndarray, item: Item, around: np.ndarray) -> float:
+    """The cosine of the TF-IDF vectors of an item and a span."""
+    words, numbers = np.unique(np.concatenate([np.array(item.words, np.uint64), around]), return_inverse=True)
+    weight = weights[buckets(words)].astype(float)
+    a = np.bincount(numbers[: len(item.words)], minlength=len(words)) * weight
+    b = np.bincount(numbers[len(item.words) :], minlength=len(words)) * weight
+    return min(float(a @ b / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-9)), 1.0)
+
+
+def _search_passages(space: Space, words: Words) -> Iterator[tuple[int, int, float, float, float]]:
+    """The matches found by the latent vectors of passages."""
+    step = WINDOW // 2
+    hashes, starts = words
     weight = space.weights[buckets(hashes)]
     squares = np.concatenate([[0.0], np.cumsum(weight.astype(float) ** 2)])
     at, place = _term_places(hashes, space.terms, space.is_term)
