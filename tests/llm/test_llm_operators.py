@@ -155,6 +155,32 @@ def test_short_items_of_common_words(spark):
     assert all(0 < r.cosine <= 1 for r in found)
 
 
+def test_words_of_other_scripts():
+    count = lambda text: len(decontamination._hashes(text))
+    assert count("水在一百度沸腾。") == 7
+    assert count("“Où est‑il ?” — “Là…”") == 4
+    assert count("กขค") == 3
+    assert count("नमस्ते दुनिया।") == 2
+    assert count("한국어 문장") == 2
+    assert count("😀 a𠀀b") == 4
+    assert (decontamination._hashes("（水）") == decontamination._hashes("水")).all()
+    whole, parts = decontamination._hashes("naïve水x"), [decontamination._hashes(w)[0] for w in ("naïve", "水", "x")]
+    assert whole.tolist() == parts
+
+
+def test_items_of_other_scripts_and_of_few_words(spark):
+    pick = random.Random(4)
+    han = lambda n: "".join(chr(0x4E00 + pick.randrange(2000)) for _ in range(n))
+    items = [han(12) + "。" + han(6) + "。", han(100) + "。" + han(20), han(3), "Zebrafish Quokka", "of", "zebrafish okapi ibex"]
+    texts = [han(80) + items[0] + han(80), han(200) + items[1] + han(90), han(50) + items[2] + han(50)]
+    texts += [prose(1, 80) + " (zebrafish, quokka) " + prose(2, 80), prose(3, 80) + " quokka zebrafish", prose(4, 300)]
+    texts += ["the zebrafish", "quokka the"]  # not across texts
+    found = decontamination.contaminated(
+        documents(spark, texts), benchmark(spark, [(i, t, 0) for i, t in enumerate(items)])
+    ).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
 # 3
 
 

@@ -29,9 +29,13 @@ Items are taken in blocks of ``ITEM_BLOCK`` pieces (more only if one item has
 more), each with its own latent space, so what is broadcast is bounded by the
 block and the hash buckets.
 
-Words are runs of letters and digits; A-Z and capitals of Latin-1 are
-lowered.  Edge cases: null and empty texts match nothing; so do items with
-fewer than ``LEAST_WORDS`` words, which turn up by chance; repeated rows and
+Words are runs of letters, marks and digits; A-Z and capitals of Latin-1 are
+lowered.  In scripts without blanks each character is a word, and so is each
+symbol outside of ASCII.  An item with fewer than ``LEAST_WORDS`` words must
+stand word for word; it is sought if the corpus, with its words dealt at random,
+would hold it less than once.
+
+Edge cases: null and empty texts match nothing; repeated rows and
 repeated items give repeated pairs; a null id is returned as null; an empty
 table on either side gives an empty result; extra columns are ignored.
 """
@@ -40,6 +44,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
@@ -74,7 +79,35 @@ POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)
-IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+# Scripts that are written without blanks, and marks that end a sentence.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF),
+    (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+    (0x4E00, 0xA4CF), (0xA980, 0xA9DF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+    (0x1B000, 0x1B16F), (0x20000, 0x323AF),
+)
+SENTENCE_END = re.compile(r"(?<=[.!?؟])\s+|(?<=[。！？｡।])\s*")
+SEPARATOR, IN_WORD, WORD = range(3)
+
+
+def _kinds() -> np.ndarray:
+    """What each code point is: between words, part of one or a word of its own."""
+    kinds = np.full(0x110000, IN_WORD, np.uint8)
+    for point in range(128, 0x20000):
+        category = unicodedata.category(chr(point))
+        if category[0] in "PZ" or category == "Cc" or point in (0x200B, 0x2060, 0xFEFF):
+            kinds[point] = SEPARATOR
+        elif category[0] == "S":
+            kinds[point] = WORD
+    for first, last in UNSPACED:
+        part = kinds[first : last + 1]
+        part[part == IN_WORD] = WORD
+    return kinds
+
+
+KINDS = _kinds()
 
 
 class Words(NamedTuple):
@@ -91,8 +124,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     capital = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
     lowered[1:][capital] += 32
     inside = IS_WORD[data]
+    alone, after = _beyond_ascii(data, inside)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
+    first[alone] = True
+    first[after] = inside[after]
     edges = offsets[(offsets > 0) & (offsets < len(data))]
     first[edges] = inside[edges]  # a word doesn't go on in the next text
     begins = np.flatnonzero(first)
@@ -107,6 +143,27 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(hashes * np.uint64(MIX), np.searchsorted(begins, offsets))
 
 
+def _beyond_ascii(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks the bytes of characters that words hold; where words of one character start and end."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return lead, lead
+    head = data[lead]
+    sizes = 2 + (head >= 0xE0) + (head >= 0xF0)
+    points = (head & (0xFF >> (sizes + 1))).astype(np.int64)
+    rest = np.minimum(lead[:, None] + np.arange(1, 4), len(data) - 1)
+    for i in range(3):
+        more = sizes > i + 1
+        points[more] = points[more] << 6 | data[rest[more, i]] & 0x3F
+    kinds = KINDS[np.minimum(points, len(KINDS) - 1)]
+    inside[lead] = kinds != SEPARATOR
+    for i in range(3):
+        more = sizes > i + 1
+        inside[rest[more, i]] = kinds[more] != SEPARATOR
+    alone, ends = lead[kinds == WORD], (lead + sizes)[kinds == WORD]
+    return alone, ends[ends < len(data)]
+
+
 def buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
@@ -175,14 +232,14 @@ def _hashes(text: str) -> np.ndarray:
     return words_of(data, np.array([0, len(data)])).hashes
 
 
-def read_items(benchmark: DataFrame) -> Iterator[list[Item]]:
-    """The items with enough words, in blocks; the driver holds one block at a time."""
+def read_items(benchmark: DataFrame, df: np.ndarray, passages: int) -> Iterator[list[Item]]:
+    """The items that can be sought, in blocks; the driver holds one block at a time."""
     block: list[Item] = []
     size = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = _hashes(row.text or "").tolist()
-        if len(words) >= LEAST_WORDS:
-            sentences = [s for s in re.split(r"(?<=[.!?])\s+", row.text.strip()) if len(_hashes(s))]
+        if len(words) >= LEAST_WORDS or words and _by_chance(words, df, passages) < 1:
+            sentences = [s for s in SENTENCE_END.split(row.text.strip()) if len(_hashes(s))]
             item = Item(row.item_id, words, _hashes(sentences[-1]).tolist())
             if block and size + len(pieces(item)) > ITEM_BLOCK:
                 yield block
@@ -193,6 +250,12 @@ def read_items(benchmark: DataFrame) -> Iterator[list[Item]]:
         yield block
 
 
+def _by_chance(words: list[int], df: np.ndarray, passages: int) -> float:
+    """How often the words would stand in a row if the corpus had the same words at random."""
+    places = passages * WINDOW
+    return places * float(np.prod(df[buckets(np.array(words, np.uint64))] / places))
+
+
 def pieces(item: Item) -> list[list[int]]:
     """The item's words in even pieces of at most a passage."""
     count = -(-len(item.words) // WINDOW)
@@ -219,13 +282,32 @@ class Space(NamedTuple):
     owner: np.ndarray  # the item of each piece
     items: list[Item]
     seeds: Seeds
+    tiny: dict[int, dict[int, list[int]]]  # size, hash of the words in a row, items
+
+
+def _rows_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` words in a row."""
+    result = hashes[: len(hashes) - size + 1]
+    for i in range(1, size):
+        result = result * np.uint64(MIX) ^ hashes[i : len(hashes) - size + 1 + i]
+    return result
+
+
+def _tiny(items: list[Item]) -> dict[int, dict[int, list[int]]]:
+    found: dict[int, dict[int, list[int]]] = {}
+    for j, item in enumerate(items):
+        size = len(item.words)
+        if size < LEAST_WORDS:
+            whole = int(_rows_of(np.array(item.words, np.uint64), size)[0])
+            found.setdefault(size, {}).setdefault(whole, []).append(j)
+    return found
 
 
 def _seeds(items: list[Item], df: np.ndarray) -> Seeds:
     chosen = []
     for j, item in enumerate(items):
         size = len(item.words)
-        if size <= SHORT:
+        if LEAST_WORDS <= size <= SHORT:
             lacking = size - math.ceil(LCS_SHARE * size)
             least = min(SEEDS, size - lacking)
             words = np.array(item.words, np.uint64)
@@ -322,7 +404,7 @@ def fit_space(docs: DataFrame, items: list[Item], df: np.ndarray, passages: int)
             break
         scale *= 4
     latent = (rows @ basis / np.maximum(lengths, 1e-9)[:, None]).T
-    return Space(weights, terms, is_term, basis.astype(np.float32), latent.astype(np.float32), owner, items, _seeds(items, df))
+    return Space(weights, terms, is_term, basis.astype(np.float32), latent.astype(np.float32), owner, items, _seeds(items, df), _tiny(items))
 
 
 def lcs_length(item: list[int], words: list[int]) -> int:
@@ -343,6 +425,7 @@ def _search(space: Space, words: Words) -> Iterator[tuple[int, int, float, float
     if len(words.hashes):
         found = {match[:2]: match for match in _search_short(space, words)}
         found |= {match[:2]: match for match in _search_passages(space, words)}
+        found |= {match[:2]: match for match in _search_tiny(space, words)}
         yield from found.values()
 
 
@@ -374,6 +457,21 @@ def _search_short(space: Space, words: Words) -> Iterator[tuple[int, int, float,
             yield r, j, *match
 
 
+def _search_tiny(space: Space, words: Words) -> Iterator[tuple[int, int, float, float, float]]:
+    """The matches of items of fewer than ``LEAST_WORDS`` words, word for word."""
+    hashes, starts = words
+    for size, items in space.tiny.items():
+        wanted = np.sort(np.array(list(items), np.uint64))
+        rows = _rows_of(hashes, size) if len(hashes) >= size else hashes[:0]
+        place = np.minimum(np.searchsorted(wanted, rows), len(wanted) - 1)
+        at = np.flatnonzero(wanted[place] == rows)
+        row = np.searchsorted(starts, at, "right") - 1
+        inside = at + size <= starts[row + 1]
+        for r, a in zip(row[inside].tolist(), at[inside].tolist()):
+            for j in items[int(rows[a])]:
+                yield r, j, 1.0, 1.0, 1.0
+
+
 def _cosine(weights: np.ndarray, item: Item, around: np.ndarray) -> float:
     """The cosine of the TF-IDF vectors of an item and a span."""
     words, numbers = np.unique(np.concatenate([np.array(item.words, np.uint64), around]), return_inverse=True)
@@ -421,6 +519,8 @@ def _search_passages(space: Space, words: Words) -> Iterator[tuple[int, int, flo
             spans.setdefault(key, []).append((int(begin[i + p]), int(end[i + p])))
     for (r, j), found in spans.items():
         size = len(space.items[j].words)
+        if size < LEAST_WORDS:
+            continue
         margin = max(WINDOW, size + size // 4)
         matched = (0.0, 0.0)
         for a, b in _joined(found, max(WINDOW, size)):
@@ -494,7 +594,7 @@ def spaces(docs: DataFrame, benchmark: DataFrame) -> Iterator[Space]:
     """The latent space of each block of items, fitted to all documents."""
     df, passages = document_frequencies(docs)
     if passages:
-        for items in read_items(benchmark):
+        for items in read_items(benchmark, df, passages):
             space = fit_space(docs, items, df, passages)
             if space is not None:
                 yield space
