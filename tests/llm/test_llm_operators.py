@@ -338,6 +338,21 @@ def test_classifier_on_held_out_texts(spark):
     assert not any(keep[i] for i in range(400, 460))
 
 
+def test_languages_without_held_out_texts(spark):
+    pick = random.Random(3)
+    junk = ["".join(pick.choice("#%&$xq ") for _ in range(400)) for _ in range(20)]
+    rows = [(i, prose(i, 120), "en") for i in range(300)]
+    rows += [(300 + i, t, [None, "is"][i % 2]) for i, t in enumerate(junk)]
+    rows += [(400 + i, prose(400 + i, 120), [None, "is"][i % 2]) for i in range(40)] + [(500, "", "is"), (501, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = labels(spark, [(i, 1, 0, "") for i in range(300)])
+    found = {r.doc_id: r for r in perplexity.classify(docs, known).collect()}
+    assert not any(found[300 + i].keep for i in range(20))
+    assert np.mean([found[400 + i].keep for i in range(40)]) > 0.8
+    assert found[500].keep and found[501].keep
+    assert len({r.threshold for i, r in found.items() if i >= 300}) == 1
+
+
 # 6
 
 

@@ -17,7 +17,8 @@ time; with several, each shard scores all documents and the parts are added.
 Part of the trusted texts, chosen by a hash of the text, is kept out of the
 training.  Their perplexities, at the quantile ``QUANTILE`` and by language,
 are the thresholds; a language with fewer than ``LEAST_HELD_OUT`` of them
-uses the quantile over all languages.  Short texts are judged with as many
+uses the quantile over all languages, and one without any their mean as well.
+Short texts are judged with as many
 characters of the held-out mean of their language added as ``PRIOR_CHARS``
 says, since a few characters say little.
 
@@ -294,8 +295,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return judged.where("doc_id is not null and quality = 1 and toxic = 0").select("doc_id")
 
 
-def thresholds(held_out: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, mean_nll, limit): the quantile of the shrunk scores, by language.
+def thresholds(held_out: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, Column, Column]:
+    """(lang, mean_nll, limit): the quantile of the shrunk scores, by language; mean and limit of all.
 
     Scores are counted in bins of 1/``BIN``, so no task holds them all.
     """
@@ -319,9 +320,11 @@ def thresholds(held_out: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     limit = F.when(F.col("held_out") >= LEAST_HELD_OUT, F.col("own_limit")).otherwise(
         F.greatest(F.col("own_limit"), pooled)
     )
-    return own.join(means.withColumnRenamed("lang", "_lang"), same).select(
+    by_language = own.join(means.withColumnRenamed("lang", "_lang"), same).select(
         "lang", "mean_nll", limit.alias("limit")
     )
+    mean = F.lit(held_out.agg(F.avg("nll")).first()[0]).cast("double")
+    return by_language, mean, pooled
 
 
 def shrunk() -> Column:
@@ -357,10 +360,13 @@ def _classify(docs: DataFrame, labels: DataFrame, quantile: float) -> DataFrame:
     table = stage(log_probabilities(stage(gram_table(texts), "grams")), "kn-logp")
     calibration = marked.where(F.col("_trusted") & held).select("doc_id", "text", "lang")
     scores = score(calibration, table).where("nll is not null").select("lang", "nll", "n_grams")
-    limits = thresholds(stage(scores, "held-out"), quantile)
+    limits, mean, pooled = thresholds(stage(scores, "held-out"), quantile)
     judged = score(docs, table).join(
         F.broadcast(limits.withColumnRenamed("lang", "_lang")), F.expr("lang <=> _lang"), "left"
     )
+    judged = judged.withColumn("mean_nll", F.coalesce("mean_nll", mean)).withColumn(
+        "limit", F.coalesce("limit", pooled)
+    )
     return judged.select(
         *docs.columns,
         "n_grams",
