@@ -12,6 +12,7 @@ from tillroll.llm import (
     html_text,
     mixing,
     perplexity,
+    phrases,
     private,
     sharding,
     simhash,
@@ -82,6 +83,10 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.training_order(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 with sized as (
   select doc_id, source,
@@ -125,6 +130,45 @@ select doc_id, size, source_size, target,
 from boundary
 """
 
+OP13_SQL = r"""
+with pieces as (
+  select row_number() over () as piece, * from (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) as part
+    from documents)
+), words as (
+  select lang, piece, unnest(ws) as w1, generate_subscripts(ws, 1) as place
+  from (select lang, piece, regexp_extract_all(part, '[^\x20\x09]+') as ws from pieces)
+), triples as (
+  select lang, w1, lead(w1) over same as w2, lead(w1, 2) over same as w3
+  from words window same as (partition by piece order by place)
+), one as (select lang, w1, count(*) as f from triples group by all),
+two as (select lang, w1, w2, count(*) as f from triples where w2 is not null group by all having f >= 10),
+three as (select lang, w1, w2, w3, count(*) as f from triples where w3 is not null group by all having f >= 10),
+totals as (select lang, count(*) as n from words group by lang),
+cuts as (
+  select lang, w1 || ' ' || w2 as phrase, t.f as a, p.f as l, q.f as r, 1 as k
+  from two t join one p using (lang, w1) join one q on q.lang = t.lang and q.w1 = t.w2
+  where not exists (from three h where h.lang = t.lang and 100 * h.f >= 50 * t.f
+                    and (h.w1 = t.w1 and h.w2 = t.w2 or h.w2 = t.w1 and h.w3 = t.w2))
+  union all
+  select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, p.f, q.f, 1
+  from three t join one p using (lang, w1) join two q on q.lang = t.lang and q.w1 = t.w2 and q.w2 = t.w3
+  union all
+  select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, p.f, q.f, 2
+  from three t join two p using (lang, w1, w2) join one q on q.lang = t.lang and q.w1 = t.w3
+), scored as (
+  select *, cast((1000000::hugeint * a * a) // (l::hugeint * r) as bigint) as score from cuts
+), lowest as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank
+  from lowest qualify rank <= 2000
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -138,8 +182,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix": op8_mix,
         "op9_simhash": op9_simhash,
         "op10_training_order": op10_training_order,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix": OP8_SQL}
+    return {"op8_mix": OP8_SQL, "op13_collocations": OP13_SQL}
