@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillroll.llm import (
     decontamination,
     html_text,
+    inner_products,
     mixing,
     perplexity,
     phrases,
@@ -83,6 +84,10 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.training_order(table(spark, sf_dir, "documents"))
 
 
+def op12_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_products.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -130,6 +135,23 @@ select doc_id, size, source_size, target,
 from boundary
 """
 
+OP12_SQL = r"""
+with vectors as (
+  select vec_id, row_number() over () as row,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), pairs as (
+  select q.row, q.vec_id as query_id, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) as score
+  from vectors q join vectors c on q.row <> c.row where q.vec_id % 50 = 0
+)
+select query_id, vec_id, cast(score as bigint) as score,
+       cast(row_number() over (partition by row order by score desc, vec_id nulls last) as integer) as rank
+from pairs qualify rank <= 5
+"""
+
 OP13_SQL = r"""
 with pieces as (
   select row_number() over () as piece, * from (
@@ -182,9 +204,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix": op8_mix,
         "op9_simhash": op9_simhash,
         "op10_training_order": op10_training_order,
+        "op12_inner_products": op12_inner_products,
         "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix": OP8_SQL, "op13_collocations": OP13_SQL}
+    return {"op8_mix": OP8_SQL, "op12_inner_products": OP12_SQL, "op13_collocations": OP13_SQL}
