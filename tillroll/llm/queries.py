@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import (
+    conversations,
     decontamination,
     html_text,
     inner_products,
@@ -84,6 +85,11 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.training_order(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.summary(conversations.repaired(conversations.damaged(given), given.select("conv_id")))
+
+
 def op12_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_products.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -204,6 +210,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix": op8_mix,
         "op9_simhash": op9_simhash,
         "op10_training_order": op10_training_order,
+        "op11_conversations": op11_conversations,
         "op12_inner_products": op12_inner_products,
         "op13_collocations": op13_collocations,
     }
