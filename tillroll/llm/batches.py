@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 21
 
 
+@contextmanager
+def smaller_batches(spark: SparkSession, limit: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of about ``limit`` bytes, not 64 MB, in jobs that start meanwhile."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a column as one byte array, and their n + 1 offsets; null is empty."""
     column = column.cast(pa.large_string())

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.batches import row_chunks, text_bytes
+from tillroll.llm.batches import row_chunks, smaller_batches, text_bytes
 from tillroll.operators.joins import fits_broadcast, join_lookup
 from tillroll.session import new_path, stage
 
@@ -50,8 +50,8 @@ _KINDS = np.full(256, _OTHER, np.uint8)
 _KINDS[list(b" \t")] = _BLANK
 _KINDS[list(b".,;:!?\n\x0b\x0c\r")] = _END
 
-WORD_SCHEMA = "chunk long, gaps binary, codes binary, lang array<string>, word array<string>, n array<long>"
-PAIR_SCHEMA = "chunk long, gaps binary, codes binary, a array<long>, b array<long>, n array<long>"
+WORD_SCHEMA = "chunk long, gaps binary, codes binary, lang array<string>, word array<string>, n array<int>"
+PAIR_SCHEMA = "chunk long, gaps binary, codes binary, a array<long>, b array<long>, n array<int>"
 
 
 # From the dictionary of a chunk to an id for each of its codes, -1 if not frequent.
@@ -89,18 +89,28 @@ def _one(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from zero in the least of 1, 2 or 4 bytes each, after a byte that says so."""
+    width = next(w for w in (1, 2, 4) if not len(numbers) or numbers.max() < 1 << 8 * w)
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+
+
 def _row(chunk: int, places: np.ndarray, codes: np.ndarray, entries: dict[str, pa.Array]) -> pa.RecordBatch:
-    gaps = np.diff(places, prepend=0).astype(np.int32)
     columns = {
         "chunk": pa.array([chunk], pa.int64()),
-        "gaps": pa.array([gaps.tobytes()], pa.binary()),
-        "codes": pa.array([codes.astype(np.int32).tobytes()], pa.binary()),
+        "gaps": pa.array([_packed(np.diff(places, prepend=0))], pa.binary()),
+        "codes": pa.array([_packed(codes)], pa.binary()),
     }
     return pa.RecordBatch.from_pydict(columns | {name: _one(v) for name, v in entries.items()})
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chunk = TaskContext.get().partitionId() << 32
+    part = None
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         for start, end in row_chunks(np.append(0, np.cumsum(sizes, dtype=np.int64))):
@@ -115,15 +125,17 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entries = {
                 "lang": langs.dictionary.take(pa.array(keys // len(words.dictionary))),
                 "word": words.dictionary.take(pa.array(keys % len(words.dictionary))).cast(pa.string()),
-                "n": pa.array(counts),
+                "n": pa.array(counts, pa.int32()),
             }
             yield _row(chunk, place, codes, entries)
             chunk += 1
+        del batch, part  # or they would stay while the next batch is read
 
 
 def _persist(relation: DataFrame, name: str) -> DataFrame:
     spark, path = relation.sparkSession, new_path(relation.sparkSession, name)
-    relation.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    with smaller_batches(spark):
+        relation.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(relation.schema).parquet(path)
 
 
@@ -204,8 +216,8 @@ def _extender(find: Finder, last: bool) -> Callable[[Iterator[pa.RecordBatch]],
                 lists = [f.name for f in batch.schema if pa.types.is_list(f.type)]
                 row = {name: batch.column(name)[i].values for name in lists}
                 ids = find(row)
-                places = np.cumsum(np.frombuffer(batch.column("gaps")[i].as_py(), np.int32), dtype=np.int64)
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), np.int32)
+                places = np.cumsum(_unpacked(batch.column("gaps")[i].as_py()))
+                codes = _unpacked(batch.column("codes")[i].as_py())
                 # Semi-join: only occurrences of frequent phrases stay.
                 frequent = ids >= 0
                 kept = frequent[codes]
@@ -220,9 +232,9 @@ def _extender(find: Finder, last: bool) -> Callable[[Iterator[pa.RecordBatch]],
                 entries = {
                     "a": pa.array(ids[keys // n]),
                     "b": pa.array(ids[keys % n]),
-                    "n": pa.array(counts),
+                    "n": pa.array(counts, pa.int32()),
                 }
-                nothing = np.empty(0, np.int32)
+                nothing = np.empty(0, np.int64)
                 where, new = (nothing, nothing) if last else (places[at], new)
                 yield _row(batch.column("chunk")[i].as_py(), where, new, entries)
 
