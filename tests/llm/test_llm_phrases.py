@@ -3,9 +3,9 @@
 import random
 import re
 from collections import Counter
-from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.llm import phrases
 
@@ -121,8 +121,12 @@ def test_odd_tables(spark):
     ]
 
 
-def test_plan_has_no_shuffle_of_occurrences(spark):
-    relation = phrases.word_relation(spark.createDataFrame(random_docs(1), "text string, lang string"))
-    plan = relation._jdf.queryExecution().toString()
-    assert "Exchange" not in plan
-    assert Path(relation.inputFiles()[0].removeprefix("file:")).exists()
+def test_relation_is_sorted_and_joined_without_shuffle(spark, tmp_path):
+    docs = spark.createDataFrame(random_docs(1), "text string, lang string").coalesce(1)
+    words = phrases.word_relation(docs, f"{tmp_path}/words")
+    for row in words.collect():
+        assert (phrases._unpacked(row.gaps)[1:] > 0).all()
+    counts = phrases._counted(words, "lang", "word").withColumn("id", F.monotonically_increasing_id())
+    pairs = phrases.next_relation(words, counts, ("lang", "word"), False, f"{tmp_path}/pairs")
+    assert pairs.rdd.getNumPartitions() == words.rdd.getNumPartitions() == 1
+    assert sum(sum(r.n) for r in pairs.collect()) > 1000

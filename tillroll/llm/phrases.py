@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.batches import row_chunks, smaller_batches, text_bytes
@@ -130,20 +130,26 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _row(chunk, place, codes, entries)
             chunk += 1
         del batch, part  # or they would stay while the next batch is read
+    pa.default_memory_pool().release_unused()
 
 
-def _persist(relation: DataFrame, name: str) -> DataFrame:
-    spark, path = relation.sparkSession, new_path(relation.sparkSession, name)
+def _persist(relation: DataFrame, path: str) -> DataFrame:
+    spark = relation.sparkSession
     with smaller_batches(spark):
         relation.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(relation.schema).parquet(path)
 
 
-def word_relation(docs: DataFrame) -> DataFrame:
-    """The occurrence relation of single words."""
+def word_relation(docs: DataFrame, path: str) -> DataFrame:
+    """The occurrence relation of single words, persisted at ``path``."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang")
     rows = docs.select(F.col("text").cast("string").alias("text"), lang)
-    return _persist(rows.mapInArrow(_word_rows, WORD_SCHEMA), "words")
+    return _persist(rows.mapInArrow(_word_rows, WORD_SCHEMA), path)
+
+
+def _release(spark: SparkSession, path: str) -> None:
+    """Free a persisted relation that nothing reads any more."""
+    spark.range(0).write.mode("overwrite").parquet(path)
 
 
 def _entries(relation: DataFrame, *keys: str) -> DataFrame:
@@ -159,12 +165,15 @@ def _counted(relation: DataFrame, *keys: str) -> DataFrame:
 
 def _word_finder(frequent: pa.Table) -> Finder:
     by_lang = {}
-    lang = frequent.column("lang").combine_chunks()
+    lang = frequent.column("lang").combine_chunks().dictionary_encode()
     words = frequent.column("word").combine_chunks()
     ids = frequent.column("id").to_numpy()
-    for name in pc.unique(lang):
-        mine = np.flatnonzero(pc.equal(lang, name))
-        by_lang[name.as_py()] = words.take(pa.array(mine)), ids[mine]
+    # The rows of a lang lie together, so that these are slices and not copies.
+    codes = lang.indices.to_numpy()
+    for code, name in enumerate(lang.dictionary.to_pylist()):
+        mine = np.flatnonzero(codes == code)
+        first, last = mine[0], mine[-1] + 1
+        by_lang[name] = words.slice(first, last - first), ids[first:last]
 
     def find(row: dict[str, pa.Array]) -> np.ndarray:
         found = np.full(len(row["word"]), -1, np.int64)
@@ -241,8 +250,10 @@ def _extender(find: Finder, last: bool) -> Callable[[Iterator[pa.RecordBatch]],
     return extend
 
 
-def next_relation(relation: DataFrame, frequent: DataFrame, keys: tuple[str, str], last: bool) -> DataFrame:
-    """The relation of phrases one word longer, all of whose parts are frequent.
+def next_relation(
+    relation: DataFrame, frequent: DataFrame, keys: tuple[str, str], last: bool, path: str
+) -> DataFrame:
+    """The relation of phrases one word longer, all of whose parts are frequent, at ``path``.
 
     ``last`` leaves the occurrences out and keeps only the dictionaries.
     """
@@ -250,14 +261,15 @@ def next_relation(relation: DataFrame, frequent: DataFrame, keys: tuple[str, str
     lookup = frequent.select(*keys, "id")
     columns = ["chunk", "gaps", "codes", "n"]
     if fits_broadcast(lookup):
-        known = spark.sparkContext.broadcast(lookup.toArrow())
+        known = spark.sparkContext.broadcast(lookup.orderBy(keys[0]).toArrow())
         finder = _word_finder if keys == ("lang", "word") else _pair_finder
 
         def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _extender(finder(known.value), last)(batches)
+            pa.default_memory_pool().release_unused()
 
         extended = relation.select(*columns, *keys).mapInArrow(extend, PAIR_SCHEMA)
-        result = _persist(extended, "phrases")
+        result = _persist(extended, path)
         known.destroy()
         return result
     found = join_lookup(_entries(relation, *keys), lookup, keys)
@@ -265,7 +277,7 @@ def next_relation(relation: DataFrame, frequent: DataFrame, keys: tuple[str, str
     kept = found.groupBy("chunk").agg(F.collect_list(F.struct("code", "id")).alias("kept"))
     brought = relation.select(*columns).join(kept, "chunk")
     brought = brought.select(*columns, F.col("kept.code").alias("code"), F.col("kept.id").alias("id"))
-    return _persist(brought.mapInArrow(_extender(_joined, last), PAIR_SCHEMA), "phrases")
+    return _persist(brought.mapInArrow(_extender(_joined, last), PAIR_SCHEMA), path)
 
 
 def _numbered(frequent: DataFrame, name: str) -> DataFrame:
@@ -282,7 +294,9 @@ def frequent_phrases(
     and the counts of what they begin with (``heads``, by length) and end with
     (``tails``).
     """
-    relation = word_relation(docs)
+    spark = docs.sparkSession
+    paths = [new_path(spark, f"phrases-{length}") for length in range(1, max_words + 1)]
+    relation = word_relation(docs, paths[0])
     totals = relation.select(F.explode(F.arrays_zip("lang", "n")).alias("e"))
     totals = stage(totals.groupBy("e.lang").agg(F.sum("e.n").alias("total")), "totals")
     no_counts = F.array().cast("array<bigint>")
@@ -291,7 +305,9 @@ def frequent_phrases(
     levels = [_numbered(words, "frequent")]
     keys = ("lang", "word")
     for length in range(2, max_words + 1):
-        relation = next_relation(relation, levels[-1], keys, last=length == max_words)
+        last = length == max_words
+        relation = next_relation(relation, levels[-1], keys, last, paths[length - 1])
+        _release(spark, paths[length - 2])
         keys = ("a", "b")
         counts = _counted(relation, *keys).where(F.col("n") >= least)
         shorter = levels[-1]
@@ -309,6 +325,7 @@ def frequent_phrases(
         longer = join_lookup(join_lookup(stage(counts, "counts"), begins, "a"), ends, "b")
         longer = longer.withColumn("words", F.concat("_first", "_last")).drop("_first", "_last")
         levels.append(_numbered(longer, "frequent"))
+    _release(spark, paths[-1])
     return levels, totals
 
 
