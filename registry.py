@@ -16,6 +16,7 @@ from tillroll.operators import reduction as rd
 from tillroll.operators import spine as sp
 from tillroll.operators.scaling import NUMERIC
 from tillroll.plans import features as ft
+from tillroll.plans import incremental
 from tillroll.plans import pipeline
 from tillroll.plans import segments as sg
 from tillroll.session import new_path, stage, work_folder
@@ -142,6 +143,22 @@ def features_after_change(t: RetailTables) -> DataFrame:
     return files.load_saved(spark, [results.saved_features])[0]
 
 
+@query("features_after_append")
+def features_after_append(t: RetailTables) -> DataFrame:
+    """Half of the log is taken in, then the other half is added beside it."""
+    spark, folder = t.offers.sparkSession, new_path(t.offers.sparkSession, "growing")
+    inputs = pipeline.Inputs(*[f"{folder}/in/{n}" for n in ("offers", "log", "train")])
+    t.offers.write.parquet(inputs.offers)
+    t.train_history.write.parquet(inputs.history)
+    key_types = SAMPLE_KEYS | {"dept": "string"}
+    for day, rest in enumerate(("= 0", "<> 0 or id is null")):
+        t.transactions.where(f"id % 2 {rest}").write.parquet(f"{inputs.transactions}/day-{day}")
+        # Half of a small log may lack categories on offer.
+        options = {"fmt": "parquet", "strict_dept": day == 1}
+        grown = incremental.update(spark, inputs, f"{folder}/sums", key_types, **options)
+    return grown.features
+
+
 # --- the spine -------------------------------------------------------------
 
 

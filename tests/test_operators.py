@@ -132,7 +132,7 @@ def test_rolling_up_first_changes_nothing(spark, seed):
 def test_market_in_one_pass_equals_the_single_operators(spark, dedupe):
     transactions, offers, history = frames(spark, *random_tables(13))
     rollup = mk.universe_rollup(transactions, offers, dedupe)
-    market = mk.offer_market(rollup, transactions, offers)
+    market = mk.offer_market(rollup, offers, mk.user_count(transactions).scalar())
     share = mk.market_share(transactions, offers, dedupe)
     product = mk.customer_share(transactions, offers, ITEMS)
     category = mk.customer_share(transactions, offers, ("category",))

@@ -89,6 +89,13 @@ def event_measures(
     )
 
 
+def add_up(measures: DataFrame) -> DataFrame:
+    """Add the measures up per shopper and band; sums can be added up again."""
+    how = {"first_day": F.max, "last_day": F.min, "lowest_own": F.min}
+    values = [c for c in measures.columns if c not in ("id", "band")]
+    return measures.groupBy("id", "band").agg(*[how.get(c, F.sum)(c).alias(c) for c in values])
+
+
 def roll_up(measures: DataFrame) -> DataFrame:
     """Add the measures up per shopper and band, then gather each shopper.
 
@@ -97,10 +104,7 @@ def roll_up(measures: DataFrame) -> DataFrame:
     shopper is one short row per band and recent day, however many purchases
     there were.
     """
-    how = {"first_day": F.max, "last_day": F.min, "lowest_own": F.min}
-    values = [c for c in measures.columns if c not in ("id", "band")]
-    rolled = measures.groupBy("id", "band").agg(*[how.get(c, F.sum)(c).alias(c) for c in values])
-    return rolled.repartition("id")
+    return add_up(measures).repartition("id")
 
 
 # The features below are SQL aggregates over measure rows, rolled up or not.

@@ -72,19 +72,16 @@ def offer_universe_spend(spine: DataFrame, transactions: DataFrame, offers: Data
     return ids.join(spend, "id", "left").select("id", money("_c").alias("universe_spend"))
 
 
-def universe_rollup(
+def whole_row_counts(
     transactions: DataFrame,
     offers: DataFrame,
-    dedupe: bool = True,
     offer_dates: DataFrame | None = None,
     small_dates: bool | None = None,
 ) -> DataFrame:
-    """The log's offered part in one pass, per shopper and product.
+    """The copies of each whole row in an offered category or from an offered company.
 
-    ``rows`` counts all rows, ``distinct_rows`` and ``cents`` each distinct
-    whole row once.  Counting the copies of each whole row gives both from one
-    shuffle of the wide rows.  With ``offer_dates`` (id, offerdate) only
-    purchases before the shopper's offer date add to ``cents``.
+    Tables of this kind can be added up.  ``offer_dates`` (id, offerdate) adds the
+    shopper's offer date.
     """
     items = ("category", "company")
     flagged = flag_offered(transactions, offers, items).where(any_offered(items))
@@ -94,10 +91,14 @@ def universe_rollup(
         dates = offer_dates.select("id", "offerdate")
         flagged = join_lookup(flagged, dates, "id", "left", small_dates, count_on=transactions)
         keys.append("offerdate")
-    whole = flagged.groupBy(*keys).agg(F.count("*").alias("copies"))
+    return flagged.groupBy(*keys).agg(F.count("*").alias("copies"))
+
+
+def rollup_of(whole: DataFrame, dedupe: bool = True) -> DataFrame:
+    """``universe_rollup`` from the copies of whole rows; with offer dates if they have them."""
     amount = zero_if_null(cents("purchaseamount"))
     once = F.lit(1) if dedupe else F.col("copies")
-    if offer_dates is not None:
+    if "offerdate" in whole.columns:
         amount = F.when(day_diff("offerdate", "date") > 0, amount).otherwise(F.lit(0))
     return whole.groupBy("id", *ITEMS, "category_offered").agg(
         F.sum("copies").alias("rows"),
@@ -106,8 +107,25 @@ def universe_rollup(
     )
 
 
-def offer_market(rollup: DataFrame, transactions: DataFrame, offers: DataFrame) -> DataFrame:
-    """Market share and customer shares of every offered product ever sold.
+def universe_rollup(
+    transactions: DataFrame,
+    offers: DataFrame,
+    dedupe: bool = True,
+    offer_dates: DataFrame | None = None,
+    small_dates: bool | None = None,
+) -> DataFrame:
+    """The log's offered part in one pass, per shopper and product.
+
+    ``rows`` counts all rows, ``distinct_rows`` and ``cents`` each distinct
+    whole row once.  Counting the copies of each whole row gives both from one
+    shuffle of the wide rows.  With ``offer_dates`` (id, offerdate) only
+    purchases before the shopper's offer date add to ``cents``.
+    """
+    return rollup_of(whole_row_counts(transactions, offers, offer_dates, small_dates), dedupe)
+
+
+def offer_market(rollup: DataFrame, offers: DataFrame, users: int) -> DataFrame:
+    """Market share and customer shares, of ``users``, of every offered product ever sold.
 
     No larger than the offers.
     """
@@ -119,7 +137,6 @@ def offer_market(rollup: DataFrame, transactions: DataFrame, offers: DataFrame)
     product = rows_on_offer(on_offer, offers, *ITEMS).groupBy(*ITEMS).agg(
         F.sum("rows").alias("_rows"), F.count("id").alias("_buyers")
     )
-    users = user_count(transactions).scalar()
     return product.join(category, "category").select(
         *ITEMS,
         (F.col("_rows") / F.col("_category_rows")).alias("market_share"),

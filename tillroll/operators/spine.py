@@ -22,23 +22,32 @@ def history_with_offers(history: DataFrame, offers: DataFrame) -> DataFrame:
     return spine
 
 
-def category_dept_map(transactions: DataFrame, categories: DataFrame | None = None) -> DataFrame:
-    """One dept per category: that of its latest purchase, ties to the larger.
-
-    Rows without a category or a dept say nothing.  With ``categories``, a
-    table of keys, only those are mapped.
+def dept_last_days(transactions: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """The last day each category was sold under each dept; tables of this kind can be added up.
 
-    The inner aggregate has only dates in its buffer, so it stays a hash
-    aggregate and shrinks the table before the shuffle.
+    The aggregate has only dates in its buffer, so it stays a hash aggregate and
+    shrinks the table before the shuffle.
     """
     known = transactions.where("category is not null and dept is not null")
     if categories is not None:
         wanted = categories.select("category").distinct()
         known = join_lookup(known, wanted, "category", "left_semi")
-    pairs = known.groupBy("category", "dept").agg(F.max("date").alias("last"))
+    return known.groupBy("category", "dept").agg(F.max("date").alias("last"))
+
+
+def latest_dept(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("category").agg(F.max_by("dept", F.struct("last", "dept")).alias("dept"))
 
 
+def category_dept_map(transactions: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """One dept per category: that of its latest purchase, ties to the larger.
+
+    Rows without a category or a dept say nothing.  With ``categories``, a
+    table of keys, only those are mapped.
+    """
+    return latest_dept(dept_last_days(transactions, categories))
+
+
 def category_dept_conflicts(transactions: DataFrame) -> DataFrame:
     """Categories sold under more than one dept."""
     pairs = transactions.where("dept is not null").select("category", "dept").distinct()

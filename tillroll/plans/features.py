@@ -140,7 +140,19 @@ def lookback_table(
     """
     events = lb.history_events(transactions, spine, before_offer, small_spine)
     measures = lb.event_measures(events, day_limits, recent_days)
-    features = (
+    features = lookback_features(items, day_limits, recent_days)
+    if "dept" in spine.columns:
+        features |= lb.dept_features(recent_days)
+    return lb.per_shopper(lb.roll_up(measures), features)
+
+
+def lookback_features(
+    items: Sequence[str] = ITEMS,
+    day_limits: Sequence[int | None] = lb.DAY_LIMITS,
+    recent_days: int = lb.RECENT_DAYS,
+) -> dict[str, str]:
+    """All features on rolled-up measures but those on the dept."""
+    return (
         lb.ever_features()
         | _grid(items, day_limits)
         | lb.total_spend_feature()
@@ -151,9 +163,6 @@ def lookback_table(
         | lb.recency_features()
         | lb.returned_feature()
     )
-    if "dept" in spine.columns:
-        features |= lb.dept_features(recent_days)
-    return lb.per_shopper(lb.roll_up(measures), features)
 
 
 def base_from_lookback(
@@ -181,8 +190,24 @@ def matrix_from_lookback(
 ) -> DataFrame:
     dates = spine if before_offer else None
     rollup = mk.universe_rollup(transactions, offers, dedupe, dates, small_spine)
+    users = mk.user_count(transactions).scalar()
+    return matrix_from_rollup(
+        looked, spine, small_spine, names, rollup, offers, users, keep_offer_columns
+    )
+
+
+def matrix_from_rollup(
+    looked: DataFrame,
+    spine: DataFrame,
+    small_spine: bool,
+    names: dict[str, str],
+    rollup: DataFrame,
+    offers: DataFrame,
+    users: int,
+    keep_offer_columns: bool = False,
+) -> DataFrame:
     rollup = stage(rollup, "universe")
-    market = stage(mk.offer_market(rollup, transactions, offers), "market")
+    market = stage(mk.offer_market(rollup, offers, users), "market")
     spend = mk.universe_spend_from(rollup, spine, small_spine)
 
     # All else goes to the spine first, so that the wide rows meet one join.

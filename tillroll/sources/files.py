@@ -17,15 +17,15 @@ logger = logging.getLogger(__name__)
 
 
 def read_table(
-    spark: SparkSession, path: str, schema: StructType, fmt: str = "csv"
+    spark: SparkSession, path: str | list[str], schema: StructType, fmt: str = "csv"
 ) -> DataFrame:
-    """One lazy scan of a CSV (with header) or Parquet table, every row of it.
+    """One lazy scan of a CSV (with header) or Parquet table, every row of all files below.
 
     The header must name the declared columns and a malformed line fails the
     job.  Rows with missing keys stay: they match no offer and no shopper, but
     a purchase of a missing brand is a purchase.
     """
-    reader = spark.read.schema(schema)
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True)
     if fmt == "csv":
         reader = (
             reader.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
@@ -65,19 +65,22 @@ def load_saved(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
     return [spark.read.parquet(path) for path in paths]
 
 
-def file_state(spark: SparkSession, *paths: str) -> str:
-    """Names, lengths and modification times of all files below ``paths``, as one digest.
+def file_list(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """All files below ``paths`` with length and modification time; none is opened.
 
-    Only the files' metadata are read.
+    One read, however many paths there are.
     """
-    parts = []
-    for path in paths:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        found = files.select("path", "length", F.unix_millis("modificationTime").alias("at"))
-        # Added up on the cluster: there may be very many files.
-        mixed = F.bit_xor(F.xxhash64("path", "length", "at"))
-        parts.append([path, *found.agg(F.count("*"), F.sum("length"), mixed).first()])
-    return digest(parts)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    modified = F.unix_millis("modificationTime").alias("modified")
+    return reader.load(list(paths)).select("path", "length", modified)
+
+
+def file_state(spark: SparkSession, *paths: str) -> str:
+    """Names, lengths and modification times of all files below ``paths``, as one digest."""
+    files = file_list(spark, paths)
+    # Added up on the cluster: there may be very many files.
+    mixed = F.bit_xor(F.xxhash64("path", "length", "modified"))
+    return digest([sorted(paths), *files.agg(F.count("*"), F.sum("length"), mixed).first()])
 
 
 def digest(parts: object) -> str:
