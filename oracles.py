@@ -251,6 +251,32 @@ def _matrix(history: str = "train", before_offer: bool = False, extra: str = "")
     )
 
 
+def _by_offer(before_offer: bool = False) -> str:
+    """The matrix with a row per shopper and offer: events are joined with each offer."""
+    steps = _steps("train", before_offer).replace("from train h", "from several h")
+    steps = steps.replace("select t.id, t.date,", "select t.id, h.offer, t.date,")
+    looked = LOOKED.replace("select id,", "select id, offer,").replace("by id", "by id, offer")
+    universe = f"select distinct * from t where {IN_UNIVERSE}"
+    cut = "cast(h.offerdate as date) - cast(u.date as date) > 0" if before_offer else "true"
+    spend = (
+        "select h.id, h.offer, coalesce(cast(sum(u.purchaseamount) as double), 0) as X72"
+        f" from h left join ({universe}) u on h.id = u.id and {cut} group by h.id, h.offer"
+    )
+    several = """several as (
+  select * from train union all
+  select * replace (offer % 35 + 1 as offer, cast(cast(offerdate as date) + 20 as date) as offerdate)
+  from train where id % 3 = 1)"""
+    return (
+        f"with {SAMPLE} {several}, {steps}"
+        f" select l.*, {_kept('train').replace('h.offer, ', '')}, u.X72, m.X84, {SPEND_OR_SHARE},"
+        f" p.X86, c.X87 from ({looked}) l join h on l.id = h.id and l.offer = h.offer"
+        " join (" + spend + ") u on u.id = l.id and u.offer = l.offer"
+        f" join ({_market_share()}) m using ({CCB})"
+        f" join ({SHARE_PRODUCT}) p using ({CCB})"
+        f" join ({SHARE_CATEGORY}) c using (category)"
+    )
+
+
 # --- clustering: z-scores, then one step from the most frequent values ------
 
 NUMBERS = ("purchasequantity", "purchaseamount", "day_diff")
@@ -540,6 +566,8 @@ def oracle_sql() -> dict[str, str]:
             extra=", h.offerdate, category, company, brand, h.dept, h.quantity"
         ),
         "feature_matrix_before_offer": _matrix(before_offer=True),
+        "feature_matrix_by_offer": _by_offer(),
+        "feature_matrix_by_offer_before": _by_offer(before_offer=True),
         "feature_matrix_test": _matrix(history="test"),
         "dropped_shoppers": _with(
             "select id, 'unknown offer' as reason from train"

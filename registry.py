@@ -19,6 +19,7 @@ from tillroll.plans import features as ft
 from tillroll.plans import incremental
 from tillroll.plans import pipeline
 from tillroll.plans import segments as sg
+from tillroll.plans import several_offers as so
 from tillroll.session import new_path, stage, work_folder
 from tillroll.sources import files, schemas
 from tillroll.sources.sample import RetailTables, retail_tables
@@ -518,6 +519,25 @@ def feature_matrix_before_offer(t: RetailTables) -> DataFrame:
     return ft.feature_matrix(t.transactions, t.offers, t.train_history, before_offer=True)
 
 
+def _several(history: DataFrame) -> DataFrame:
+    """A third of the shoppers has a second offer, twenty days later."""
+    more = history.where("id % 3 = 1").withColumns(
+        {"offer": F.col("offer") % 35 + 1, "offerdate": F.date_add("offerdate", 20)}
+    )
+    return history.unionByName(more)
+
+
+@query("feature_matrix_by_offer")
+def feature_matrix_by_offer(t: RetailTables) -> DataFrame:
+    return so.feature_matrix_by_offer(t.transactions, t.offers, _several(t.train_history))
+
+
+@query("feature_matrix_by_offer_before")
+def feature_matrix_by_offer_before(t: RetailTables) -> DataFrame:
+    history = _several(t.train_history)
+    return so.feature_matrix_by_offer(t.transactions, t.offers, history, before_offer=True)
+
+
 @query("feature_matrix_test")
 def feature_matrix_test(t: RetailTables) -> DataFrame:
     return ft.feature_matrix(t.transactions, t.offers, t.test_history)

@@ -97,7 +97,7 @@ def build_spine(
     return spine
 
 
-def _finish(
+def finish(
     wide: DataFrame, spine: DataFrame, names: dict[str, str], keep_offer_columns: bool
 ) -> DataFrame:
     kept = [
@@ -108,7 +108,7 @@ def _finish(
     return wide.selectExpr(*kept, *[f"{plain} as {x}" for plain, x in names.items()])
 
 
-def _in_order(*blocks: dict[str, str]) -> dict[str, str]:
+def in_order(*blocks: dict[str, str]) -> dict[str, str]:
     """All columns, numbered features in the order of their numbers."""
     names = {plain: x for block in blocks for plain, x in block.items()}
     numbered = {p: x for p, x in names.items() if x != p}
@@ -174,7 +174,7 @@ def base_from_lookback(
 ) -> DataFrame:
     single = {p: x for p, x in FEATURE_NAMES.items() if int(x[1:]) <= 8}
     wide = _beside_spine(looked, spine, small_spine)
-    return _finish(wide, spine, _in_order(single, names), keep_offer_columns)
+    return finish(wide, spine, in_order(single, names), keep_offer_columns)
 
 
 def matrix_from_lookback(
@@ -217,7 +217,7 @@ def matrix_from_rollup(
     beside = stage(beside, "beside")
     wide = _beside_spine(looked, beside, fits_broadcast(beside))
     wide = wide.withColumn("spend_or_share", spend_or_share("own_amount", "market_share"))
-    return _finish(wide, spine, _in_order(FEATURE_NAMES, names), keep_offer_columns)
+    return finish(wide, spine, in_order(FEATURE_NAMES, names), keep_offer_columns)
 
 
 def base_features(
