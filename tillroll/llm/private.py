@@ -177,7 +177,7 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     )
     both = stage(both.where(F.col("texts") >= SUPPORT).join(entities, "entity"), "pairs")
     candidates = stage(both.select("term").distinct(), "candidates")
-    n_t = document_terms(docs, candidates).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = join_lookup(term_counts(docs), candidates, "term", "left_semi")
     joint = F.log2(F.col("n_et") * F.lit(float(documents)) / (F.col("n_e") * F.col("n_t")))
     own = F.log2(F.lit(float(documents)) / F.col("n_e"))
     degree = F.when(own > 0, F.least(joint / own, F.lit(1.0)))
@@ -187,13 +187,23 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def document_terms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, term): the wanted terms of each document, each once."""
-    words = docs.select(
+def _document_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, term): all terms of each document, each once."""
+    return docs.select(
         "doc_id",
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.explode(F.array_distinct(_terms(F.coalesce("text", F.lit(""))))).alias("term"),
     )
+
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """(term, n_t): documents with each term, added up before any join."""
+    return _document_words(docs).groupBy("term").agg(F.count("*").alias("n_t"))
+
+
+def document_terms(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, term): the wanted terms of each document, each once."""
+    words = _document_words(docs)
     return join_lookup(words, wanted.select("term"), "term", "left_semi", count_on=wanted)
 
 
