@@ -43,7 +43,7 @@ LEAST = 10
 TOP = 2000
 NO_LANG = "und"
 # A row is a chunk of documents, so few rows make a row group.
-ROW_GROUP_BYTES = 16 << 20
+ROW_GROUP_BYTES = 4 << 20
 
 _OTHER, _BLANK, _END = 0, 1, 2
 _KINDS = np.full(256, _OTHER, np.uint8)
@@ -188,23 +188,25 @@ def _word_finder(frequent: pa.Table) -> Finder:
     return find
 
 
-def _pair_finder(frequent: pa.Table) -> Finder:
+def _pair_index(frequent: pa.Table) -> tuple[np.ndarray, ...]:
+    """Frequent pairs as one sorted number each, made once on the driver."""
     a, b, ids = (frequent.column(c).to_numpy() for c in ("a", "b", "id"))
     firsts, seconds = np.unique(a), np.unique(b)
+    keys = np.searchsorted(firsts, a) * len(seconds) + np.searchsorted(seconds, b)
+    order = np.argsort(keys)
+    return firsts, seconds, keys[order], ids[order]
 
-    def key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        i = np.minimum(np.searchsorted(firsts, x), len(firsts) - 1)
-        j = np.minimum(np.searchsorted(seconds, y), len(seconds) - 1)
-        return np.where((firsts[i] == x) & (seconds[j] == y), i * len(seconds) + j, -1)
 
-    if not len(ids):
-        return lambda row: np.full(len(row["a"]), -1, np.int64)
-    keys = key(a, b)
-    order = np.argsort(keys)
-    keys, ids = keys[order], ids[order]
+def _pair_finder(index: tuple[np.ndarray, ...]) -> Finder:
+    firsts, seconds, keys, ids = index
 
     def find(row: dict[str, pa.Array]) -> np.ndarray:
-        wanted = key(row["a"].to_numpy(), row["b"].to_numpy())
+        if not len(ids):
+            return np.full(len(row["n"]), -1, np.int64)
+        x, y = row["a"].to_numpy(), row["b"].to_numpy()
+        i = np.minimum(np.searchsorted(firsts, x), len(firsts) - 1)
+        j = np.minimum(np.searchsorted(seconds, y), len(seconds) - 1)
+        wanted = np.where((firsts[i] == x) & (seconds[j] == y), i * len(seconds) + j, -1)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, ids[at], -1)
 
@@ -261,8 +263,10 @@ def next_relation(
     lookup = frequent.select(*keys, "id")
     columns = ["chunk", "gaps", "codes", "n"]
     if fits_broadcast(lookup):
-        known = spark.sparkContext.broadcast(lookup.orderBy(keys[0]).toArrow())
-        finder = _word_finder if keys == ("lang", "word") else _pair_finder
+        collected = lookup.orderBy(keys[0]).toArrow()
+        words = keys == ("lang", "word")
+        known = spark.sparkContext.broadcast(collected if words else _pair_index(collected))
+        finder = _word_finder if words else _pair_finder
 
         def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _extender(finder(known.value), last)(batches)
