@@ -326,7 +326,9 @@ def frequent_phrases(
             F.slice("words", -1, 1).alias("_last"),
             F.concat("tails", F.array("n")).alias("tails"),
         )
-        longer = join_lookup(join_lookup(stage(counts, "counts"), begins, "a"), ends, "b")
+        # The lookups are no smaller than what they are joined with: no broadcast.
+        counts = stage(counts, "counts")
+        longer = join_lookup(join_lookup(counts, begins, "a", small=False), ends, "b", small=False)
         longer = longer.withColumn("words", F.concat("_first", "_last")).drop("_first", "_last")
         levels.append(_numbered(longer, "frequent"))
     _release(spark, paths[-1])
