@@ -76,14 +76,16 @@ def staged_mark(spark: SparkSession) -> int:
     return len(_staged.get(spark.sparkContext.applicationId, ()))
 
 
-def release_staged(spark: SparkSession, mark: int = 0) -> int:
+def release_staged(spark: SparkSession, mark: int = 0, keep: int = 0) -> int:
     """Free the space of the tables staged since ``mark``; they read as empty afterwards.
 
     Whoever called for the tables calls this when their results are used up.
+    The last ``keep`` of them stay.
     """
     paths = _staged.get(spark.sparkContext.applicationId, [])
-    released = paths[mark:]
+    end = max(len(paths) - keep, mark)
+    released = paths[mark:end]
     for path in released:
         spark.range(0).write.mode("overwrite").parquet(path)
-    del paths[mark:]
+    del paths[mark:end]
     return len(released)
