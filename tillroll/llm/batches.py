@@ -4,13 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable, Collection, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 21
 
+_shared: dict[str, list[Broadcast]] = {}
+
+
+def share(spark: SparkSession, value: Any) -> Broadcast:
+    """``value`` as a broadcast that ``release_shared`` can free."""
+    sent = spark.sparkContext.broadcast(value)
+    _shared.setdefault(spark.sparkContext.applicationId, []).append(sent)
+    return sent
+
+
+def shared_mark(spark: SparkSession) -> int:
+    """How many values are shared so far, for ``release_shared``."""
+    return len(_shared.get(spark.sparkContext.applicationId, ()))
+
+
+def release_shared(spark: SparkSession, mark: int = 0) -> int:
+    """Free what was shared since ``mark``, on the driver and on all executors.
+
+    Results that use it must have been written by then.
+    """
+    sent = _shared.get(spark.sparkContext.applicationId, [])
+    released = sent[mark:]
+    for one in released:
+        one.destroy()
+    del sent[mark:]
+    return len(released)
+
 
 @contextmanager
 def smaller_batches(spark: SparkSession, limit: int = 8 << 20) -> Iterator[None]:

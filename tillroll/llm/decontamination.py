@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.batches import row_chunks, text_bytes
+from tillroll.llm.batches import row_chunks, share, text_bytes
 
 WINDOW = 64
 TERM_BITS = 20
@@ -392,6 +392,7 @@ def fit_space(docs: DataFrame, items: list[Item], df: np.ndarray, passages: int)
         return total.ravel()
 
     product = _summed(docs, partial)
+    shared.destroy()
     if product is None:
         return None
     product = product.reshape(len(terms), columns + 1)
@@ -553,7 +554,7 @@ def _shares(item: Item, around: np.ndarray) -> tuple[float, float] | None:
 
 
 def _matches(docs: DataFrame, space: Space) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(space)
+    shared = share(docs.sparkSession, space)
 
     def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = shared.value
@@ -577,7 +578,7 @@ def _matches(docs: DataFrame, space: Space) -> DataFrame:
 
 
 def _clean(docs: DataFrame, space: Space) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(space)
+    shared = share(docs.sparkSession, space)
 
     def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = shared.value

@@ -39,7 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tillroll.llm.batches import aside, row_chunks, slices, text_bytes
+from tillroll.llm.batches import (
+    aside,
+    release_shared,
+    row_chunks,
+    share,
+    shared_mark,
+    slices,
+    text_bytes,
+)
 from tillroll.operators.joins import join_lookup
 from tillroll.session import stage
 
@@ -231,9 +239,7 @@ def _score(docs: DataFrame, shard: DataFrame, sum_name: str, count_name: str) ->
     """``docs`` with the sum of the shard's log probabilities, and the characters."""
     table = shard.select("gram", F.col("logp").cast("float")).toArrow()
     grams = table.column("gram").to_numpy().astype(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(
-        GramScores(grams, table.column("logp").to_numpy())
-    )
+    shared = share(docs.sparkSession, GramScores(grams, table.column("logp").to_numpy()))
 
     def mapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = shared.value
@@ -359,8 +365,11 @@ def _classify(docs: DataFrame, labels: DataFrame, quantile: float) -> DataFrame:
     texts = marked.select("text", (F.coalesce("_trusted", F.lit(False)) & ~held).alias("train"))
     table = stage(log_probabilities(stage(gram_table(texts), "grams")), "kn-logp")
     calibration = marked.where(F.col("_trusted") & held).select("doc_id", "text", "lang")
+    mark = shared_mark(docs.sparkSession)
     scores = score(calibration, table).where("nll is not null").select("lang", "nll", "n_grams")
-    limits, mean, pooled = thresholds(stage(scores, "held-out"), quantile)
+    scores = stage(scores, "held-out")
+    release_shared(docs.sparkSession, mark)
+    limits, mean, pooled = thresholds(scores, quantile)
     judged = score(docs, table).join(
         F.broadcast(limits.withColumnRenamed("lang", "_lang")), F.expr("lang <=> _lang"), "left"
     )
