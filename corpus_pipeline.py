@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import decontamination, mixing, perplexity, sharding, simhash
+from tillroll.llm.batches import release_shared, shared_mark, smaller_batches
 from tillroll.llm.queries import SHARDS, table
-from tillroll.session import stage
+from tillroll.session import release_staged, stage, staged_mark
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +50,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.
+
+    When a stage is written, the tables and broadcasts it was made from are
+    freed, the stage before it included.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+    tables, shared = staged_mark(spark), shared_mark(spark)
+    with smaller_batches(spark):
+        for name, function in STAGES[:-1]:
+            docs = stage(function(spark, docs, sf_dir), name)
+            release_shared(spark, shared)
+            release_staged(spark, tables, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
