@@ -492,6 +492,24 @@ def test_mix_is_near_its_targets(spark):
     assert total == taken.agg(F.sum("taken")).first()[0]
 
 
+@pytest.mark.parametrize("ids", [lambda i: 7, lambda i: None])
+@pytest.mark.parametrize("texts", [lambda i: prose(i, 20), lambda i: prose(1, 20)])
+def test_mix_splits_rows_of_one_id(spark, ids, texts):
+    rows = [(ids(i), texts(i), "a" if i < 200 else "b") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sized = mixing.measured(docs)
+    longest = max(r.size for r in sized.collect())
+    taken = mixing.with_rounds(sized, mixing.source_plan(sized)).collect()
+    assert len(taken) == 1000
+    for source in "ab":
+        mine = [r for r in taken if r.source == source]
+        words = sum(r.rounds * r.size for r in mine)
+        assert abs(words - mine[0].target) <= longest and max(r.rounds for r in mine) <= 2
+    assert len({r.rounds for r in taken if r.source == "b"}) == 2
+    total = mixing.mixed(docs).count()
+    assert total == sum(r.rounds for r in taken)
+
+
 # 9
 
 

@@ -102,7 +102,8 @@ OP8_SQL = r"""
 with sized as (
   select doc_id, source,
          cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 15) as bigint) as hash
+         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ' ' || coalesce(text, '')), 1, 15)
+              as bigint) as hash
   from documents
 ), sources as (
   select source, cast(sum(size) as bigint) as source_size,
@@ -127,7 +128,8 @@ with sized as (
   from targets
 ), runs as (
   select s.*, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size as words_left,
-         sum(size) over same as hash_words,
+         sum(size) over same as hash_words, count(*) over same as copies,
+         row_number() over (partition by s.source, hash) as copy,
          sum(size) over (partition by s.source order by hash) - sum(size) over same as before
   from sized s join budgets b on s.source is not distinct from b.source
   window same as (partition by s.source, hash)
@@ -137,7 +139,9 @@ with sized as (
 )
 select doc_id, size, source_size, target,
        cast(size * (whole + case when hash < last_hash
-            or hash = last_hash and (words_left - before) * 2 >= hash_words then 1 else 0 end) as bigint) as taken
+            or hash = last_hash
+               and copy <= floor((words_left - before) * copies / nullif(hash_words, 0) + 0.5)
+            then 1 else 0 end) as bigint) as taken
 from boundary
 """
 
