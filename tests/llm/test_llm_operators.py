@@ -181,6 +181,19 @@ def test_items_of_other_scripts_and_of_few_words(spark):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(0, 0), (1, 1), (2, 2), (3, 3)]
 
 
+def test_items_of_few_words_beside_many_texts(spark):
+    texts = [prose(i, 40) for i in range(2000)]
+    texts[77] = "alpha beta " + texts[77]
+    texts[1500] += " beta alpha"
+    items = benchmark(spark, [(0, "Alpha beta", 0), (1, "alpha", 0), (2, "stone river", 0)])
+    docs = documents(spark, texts)
+    pairs = lambda found: sorted((r.doc_id, r.item_id) for r in found.collect())
+    assert pairs(decontamination.contaminated(docs, items)) == [(77, 0)]
+    rivers = [(i, 2) for i, t in enumerate(texts) if re.search(r"\bstone river\b", t)]
+    everything = decontamination.contaminated(docs, items, least_words=1, common=True)
+    assert rivers and pairs(everything) == sorted([(77, 0), (77, 1), (1500, 1), *rivers])
+
+
 # 3
 
 

@@ -32,8 +32,10 @@ block and the hash buckets.
 Words are runs of letters, marks and digits; A-Z and capitals of Latin-1 are
 lowered.  In scripts without blanks each character is a word, and so is each
 symbol outside of ASCII.  An item with fewer than ``LEAST_WORDS`` words must
-stand word for word; it is sought if the corpus, with its words dealt at random,
-would hold it less than once.
+stand word for word.  Two parameters say which of these are left out, by the
+same rule for a corpus of any size: items with fewer than ``least_words`` words
+(single words), and, unless ``common``, items all of whose words are so common
+that they carry no weight ("of the").  ``least_words=1, common=True`` seeks all.
 
 Edge cases: null and empty texts match nothing; repeated rows and
 repeated items give repeated pairs; a null id is returned as null; an empty
@@ -71,6 +73,7 @@ ANSWER_SHARE = 0.5
 SHORT = 32
 SEEDS = 3
 LEAST_WORDS = 5
+LEAST_SOUGHT = 2
 SEED = 42
 CHUNK = 1 << 20
 
@@ -232,13 +235,21 @@ def _hashes(text: str) -> np.ndarray:
     return words_of(data, np.array([0, len(data)])).hashes
 
 
-def read_items(benchmark: DataFrame, df: np.ndarray, passages: int) -> Iterator[list[Item]]:
-    """The items that can be sought, in blocks; the driver holds one block at a time."""
+def _is_common(df: np.ndarray, passages: int) -> np.ndarray:
+    """Whether the terms of a bucket carry no weight."""
+    return df > max(COMMON_SHARE * passages, COMMON_LEAST)
+
+
+def read_items(
+    benchmark: DataFrame, is_common: np.ndarray, least_words: int = LEAST_SOUGHT, common: bool = False
+) -> Iterator[list[Item]]:
+    """The items to seek, in blocks; the driver holds one block at a time."""
     block: list[Item] = []
     size = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         words = _hashes(row.text or "").tolist()
-        if len(words) >= LEAST_WORDS or words and _by_chance(words, df, passages) < 1:
+        plain = is_common[buckets(np.array(words, np.uint64))].all()
+        if len(words) >= LEAST_WORDS or len(words) >= max(least_words, 1) and (common or not plain):
             sentences = [s for s in SENTENCE_END.split(row.text.strip()) if len(_hashes(s))]
             item = Item(row.item_id, words, _hashes(sentences[-1]).tolist())
             if block and size + len(pieces(item)) > ITEM_BLOCK:
@@ -250,12 +261,6 @@ def read_items(benchmark: DataFrame, df: np.ndarray, passages: int) -> Iterator[
         yield block
 
 
-def _by_chance(words: list[int], df: np.ndarray, passages: int) -> float:
-    """How often the words would stand in a row if the corpus had the same words at random."""
-    places = passages * WINDOW
-    return places * float(np.prod(df[buckets(np.array(words, np.uint64))] / places))
-
-
 def pieces(item: Item) -> list[list[int]]:
     """The item's words in even pieces of at most a passage."""
     count = -(-len(item.words) // WINDOW)
@@ -330,7 +335,7 @@ def _term_places(hashes: np.ndarray, terms: np.ndarray, is_term: np.ndarray) ->
 
 def _weights(df: np.ndarray, passages: int, parts: list[list[int]]) -> np.ndarray:
     weights = np.log1p(passages / np.maximum(df, 1))
-    common = df > max(COMMON_SHARE * passages, COMMON_LEAST)
+    common = _is_common(df, passages)
     for part in parts:
         own = buckets(np.array(part, np.uint64))
         if len(np.unique(own[~common[own]])) < KEPT_TERMS:
@@ -591,28 +596,34 @@ def _clean(docs: DataFrame, space: Space) -> DataFrame:
     return docs.mapInArrow(mapped, docs.schema)
 
 
-def spaces(docs: DataFrame, benchmark: DataFrame) -> Iterator[Space]:
+def spaces(
+    docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_SOUGHT, common: bool = False
+) -> Iterator[Space]:
     """The latent space of each block of items, fitted to all documents."""
     df, passages = document_frequencies(docs)
     if passages:
-        for items in read_items(benchmark, df, passages):
+        for items in read_items(benchmark, _is_common(df, passages), least_words, common):
             space = fit_space(docs, items, df, passages)
             if space is not None:
                 yield space
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_SOUGHT, common: bool = False
+) -> DataFrame:
     """The documents, with all their columns, that hold no item."""
     result = docs
-    for space in spaces(docs, benchmark):
+    for space in spaces(docs, benchmark, least_words, common):
         result = _clean(result, space)
     return result
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_SOUGHT, common: bool = False
+) -> DataFrame:
     """(doc_id, item_id, cosine, lcs_share, answer_share) of each document with an item in it."""
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
     result = docs.sparkSession.createDataFrame([], schema)
-    for space in spaces(docs, benchmark):
+    for space in spaces(docs, benchmark, least_words, common):
         result = result.union(_matches(docs, space))
     return result
