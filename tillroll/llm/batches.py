@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Collection, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -41,6 +42,16 @@ def release_shared(spark: SparkSession, mark: int = 0) -> int:
     return len(released)
 
 
+def tidy_driver(spark: SparkSession) -> None:
+    """Give back what finished jobs left on the driver: their plans, results and spare heap.
+
+    A long session would otherwise keep all that until its heap is full.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def smaller_batches(spark: SparkSession, limit: int = 8 << 20) -> Iterator[None]:
     """Arrow batches of about ``limit`` bytes, not 64 MB, in jobs that start meanwhile."""
