@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import decontamination, mixing, perplexity, sharding, simhash
-from tillroll.llm.batches import release_shared, shared_mark, smaller_batches
+from tillroll.llm.batches import release_shared, shared_mark, smaller_batches, tidy_driver
 from tillroll.llm.queries import SHARDS, table
 from tillroll.session import release_staged, stage, staged_mark
 
@@ -62,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs = stage(function(spark, docs, sf_dir), name)
             release_shared(spark, shared)
             release_staged(spark, tables, keep=1)
+            tidy_driver(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
