@@ -32,10 +32,11 @@ block and the hash buckets.
 Words are runs of letters, marks and digits; A-Z and capitals of Latin-1 are
 lowered.  In scripts without blanks each character is a word, and so is each
 symbol outside of ASCII.  An item with fewer than ``LEAST_WORDS`` words must
-stand word for word.  Two parameters say which of these are left out, by the
-same rule for a corpus of any size: items with fewer than ``least_words`` words
-(single words), and, unless ``common``, items all of whose words are so common
-that they carry no weight ("of the").  ``least_words=1, common=True`` seeks all.
+stand word for word.  Two parameters say which of these are left out: items with
+fewer than ``least_words`` words (single words), and, unless ``common``, items
+all of whose words are so common that they carry no weight ("of the"): a share
+of the passages, but ``COMMON_LEAST`` passages at least, which counts in corpora
+of under 1000 passages.  ``least_words=1, common=True`` seeks all.
 
 Edge cases: null and empty texts match nothing; repeated rows and
 repeated items give repeated pairs; a null id is returned as null; an empty
