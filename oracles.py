@@ -481,6 +481,7 @@ def oracle_sql() -> dict[str, str]:
             " group by id having count(*) > 1"
         ),
         "reduce_transactions": _with(f"select {ROW} from t where {IN_ANY}"),
+        "reduce_by_filter": _with(f"select {ROW} from t where {IN_ANY}"),
         "reduce_stats": _with(
             f"select count(*) as searched, count(*) filter (where {IN_ANY}) as kept from t"
         ),
@@ -491,6 +492,9 @@ def oracle_sql() -> dict[str, str]:
         "semi_category": _with(
             f"select {ROW} from t where category in (select category from offers)"
         ),
+        "semi_category_by_filter": _with(
+            f"select {ROW} from t where category in (select category from offers)"
+        ),
         "semi_company": _with(
             f"select {ROW} from t where company in (select company from offers)"
         ),

@@ -219,6 +219,12 @@ def reduce_transactions(t: RetailTables) -> DataFrame:
     return _plain(rd.reduce_transactions(t.transactions, t.offers))
 
 
+@query("reduce_by_filter")
+def reduce_by_filter(t: RetailTables) -> DataFrame:
+    """As if the offers had too many keys to broadcast."""
+    return _plain(rd.reduce_transactions(t.transactions, t.offers, small=False))
+
+
 @query("reduce_stats")
 def reduce_stats(t: RetailTables) -> DataFrame:
     path = new_path(t.offers.sparkSession, "reduced")
@@ -237,6 +243,11 @@ def semi_category(t: RetailTables) -> DataFrame:
     return _plain(ks.rows_on_offer(t.transactions, t.offers, "category"))
 
 
+@query("semi_category_by_filter")
+def semi_category_by_filter(t: RetailTables) -> DataFrame:
+    return _plain(ks.rows_on_offer(t.transactions, t.offers, "category", small=False))
+
+
 @query("semi_company")
 def semi_company(t: RetailTables) -> DataFrame:
     return _plain(ks.rows_on_offer(t.transactions, t.offers, "company"))

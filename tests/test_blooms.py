@@ -1,0 +1,158 @@
+"""Key sets too large to broadcast, tested by Bloom filters."""
+
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+from tables import frames, rows_of, sale
+
+from tillroll.operators.blooms import BLOCK_BYTES, flag_possible, key_filter, passing_others
+from tillroll.operators.joins import join_lookup
+from tillroll.operators.keysets import rows_on_offer
+from tillroll.operators.reduction import flag_offered, reduce_transactions, reduced_table
+from tillroll.session import stage
+
+OFFERED = range(0, 30_000, 10)  # 3000 keys: 288 kB as a lookup, 16 kB as a filter
+
+
+@pytest.fixture
+def room_for_filters(spark):
+    """Filters and short lookups may be broadcast, whole key sets may not."""
+    spark.conf.set("spark.tillroll.broadcastBytes", "60000")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.tillroll.broadcastBytes")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """A log of 40,000 keys per item, a third of it in one key, and 3000 offers."""
+    log = [
+        sale(
+            n % 50, n % 40,
+            7 if n % 3 == 0 else n,
+            None if n % 11 == 0 else 2 * n + 1,  # odd: no company is on offer
+            None if n % 13 == 0 else 3 * n,
+            1, "1.25", dept=1,
+        )
+        for n in range(40_000)
+    ]
+    offers = [(n, n, 1, n, Decimal("1.00"), n) for n in OFFERED]
+    transactions, offers, _ = frames(spark, log, offers)
+    return stage(transactions, "bloom-log"), stage(offers, "bloom-offers")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def expected(tables):
+    log = tables[0].toPandas().astype({"company": "Int64", "brand": "Int64"})
+    keys = set(OFFERED)
+    return {item: log[item].isin(keys).to_numpy() for item in ("category", "company", "brand")}
+
+
+def test_filter_passes_all_keys_and_few_others(spark, tables, room_for_filters):
+    keys = tables[1].select("category")
+    found = key_filter(keys, tables[0], "category")
+    assert found.words.count() <= found.blocks == 75
+    rows = spark.range(100_000).select(F.col("id").cast("int").alias("category"))
+    flags = flag_possible(rows, found, "possible")
+    assert flags.count() == 100_000
+    assert flags.where("category < 30000 and category % 10 = 0 and not possible").count() == 0
+    wrong = flags.where("possible and not (category < 30000 and category % 10 = 0)")
+    assert wrong.count() < 1000  # 0.3 % of 97,000 expected
+    assert rows_of(passing_others(rows, found, keys)) == rows_of(wrong.select("category"))
+
+
+def test_null_and_absent_keys(spark, room_for_filters):
+    keys = spark.createDataFrame([("a",), (None,), ("",)], "k string")
+    rows = spark.createDataFrame([("a", 1), (None, 2), ("", 3), ("b", 4)], "k string, _v int")
+    found = key_filter(keys, rows, "k")
+    flags = {r["_v"]: r["p"] for r in flag_possible(rows, found, "p").collect()}
+    assert flags[1] and flags[3] and not flags[2]
+    none = key_filter(keys.limit(0), rows, "k")
+    assert flag_possible(rows, none, "p").where("p").count() == 0
+
+
+def test_no_filter_for_keys_of_other_types_or_too_many(spark, tables, room_for_filters):
+    keys = tables[1].select("category")
+    assert key_filter(keys.select(F.col("category").cast("bigint")), tables[0], "category") is None
+    assert key_filter(keys.select(F.col("category").cast("double").alias("x")),
+                      keys.select(F.col("category").cast("double").alias("x")), "x") is None
+    spark.conf.set("spark.tillroll.broadcastBytes", str(37 * BLOCK_BYTES))  # 81 keys a block
+    assert key_filter(keys, tables[0], "category") is None
+    spark.conf.set("spark.tillroll.broadcastBytes", str(38 * BLOCK_BYTES))
+    assert key_filter(keys, tables[0], "category").blocks == 38
+
+
+def test_flags_are_exact(tables, room_for_filters):
+    flagged = flag_offered(*tables)
+    assert flagged.count() == 40_000
+    counts = flagged.agg(
+        *[F.count_if(f"{item}_offered").alias(item) for item in ("category", "company", "brand")]
+    ).first()
+    assert counts.asDict() == {item: int(hit.sum()) for item, hit in expected(tables).items()}
+    assert counts["company"] == 0 < counts["category"]
+
+
+def test_reduction_keeps_the_same_rows(spark, tables, room_for_filters, tmp_path):
+    kept = reduce_transactions(*tables)
+    hits = expected(tables)
+    assert kept.count() == int((hits["category"] | hits["brand"]).sum())
+    spark.conf.unset("spark.tillroll.broadcastBytes")
+    assert rows_of(kept) == rows_of(reduce_transactions(*tables))
+    spark.conf.set("spark.tillroll.broadcastBytes", "60000")
+    saved, counts = reduced_table(spark, str(tmp_path / "r"), *tables)
+    assert counts == {"searched": 40_000, "kept": kept.count()} and saved.count() == kept.count()
+
+
+def test_filtered_reduction_does_not_shuffle_the_log(tables, room_for_filters):
+    plan = plan_of(reduce_transactions(*tables))
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert plan.count("BroadcastHashJoin") == 6
+
+
+def test_survivors_are_shuffled_if_even_the_wrong_keys_are_many(spark, tables, room_for_filters):
+    spark.conf.set("spark.tillroll.pieceRows", "1000")
+    spark.conf.set("spark.tillroll.broadcastBytes", str(38 * BLOCK_BYTES))
+    try:
+        kept = reduce_transactions(*tables)
+        assert "SortMergeJoin" in plan_of(kept)
+        found = rows_of(kept)
+    finally:
+        spark.conf.unset("spark.tillroll.pieceRows")
+    spark.conf.unset("spark.tillroll.broadcastBytes")
+    assert found == rows_of(reduce_transactions(*tables))
+
+
+def test_semi_join_filters_before_its_shuffle(spark, tables, room_for_filters):
+    kept = rows_on_offer(*tables, "category")
+    plan = plan_of(kept)
+    lines = plan.splitlines()
+    shuffle = next(i for i, x in enumerate(lines) if "Exchange" in x and "hashpartitioning" in x)
+    test = next(i for i, x in enumerate(lines) if "BroadcastHashJoin" in x)
+    assert "SortMergeJoin" in plan and shuffle < test  # the test is below the shuffle
+    assert kept.count() == int(expected(tables)["category"].sum())
+
+
+def test_semi_join_over_several_columns(spark, tables, room_for_filters):
+    spark.conf.set("spark.tillroll.pieceRows", "1000")  # category 7 is hot
+    try:
+        log = tables[0].withColumn("brand", F.col("category"))
+        pairs = log.where("category % 5 = 2").select("category", "brand").distinct()
+        assert join_lookup(log, pairs, ["category", "brand"], "left_semi").count() == log.where(
+            "category % 5 = 2"
+        ).count()
+    finally:
+        spark.conf.unset("spark.tillroll.pieceRows")
+
+
+def test_forced_filter_on_small_tables(spark):
+    transactions, offers, _ = frames(spark)
+    by_filter = reduce_transactions(transactions, offers, small=False)
+    assert rows_of(by_filter) == rows_of(reduce_transactions(transactions, offers))
+    none = offers.where("offer < 0")
+    assert reduce_transactions(transactions, none, small=False).count() == 0
+    assert reduce_transactions(transactions.where("id < 0"), offers, small=False).count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tillroll.operators.blooms import key_filter, only_possible
 from tillroll.session import broadcast_limit, piece_rows
 
 ROW_OVERHEAD_BYTES = 64
@@ -59,14 +60,19 @@ def join_lookup(
     size is within the limit is broadcast, so the fact table is not shuffled;
     pass ``small`` if that has been settled already.  A larger one is joined
     by shuffle, with every hot key spread over as many pieces as its share of
-    the rows asks for and its lookup row copied to each piece.  ``count_on``
-    has the same keys as ``fact`` and is cheaper to count.
+    the rows asks for and its lookup row copied to each piece.  For left_semi
+    a Bloom filter of the lookup first takes out most rows that match nothing,
+    so that only the others are shuffled.  ``count_on`` has the same keys as
+    ``fact`` and is cheaper to count.
     """
     on = [on] if isinstance(on, str) else list(on)
     if small is None:
         small = fits_broadcast(lookup)
     if small:
         return fact.join(F.broadcast(lookup), on, how)
+    if how == "left_semi" and (possible := key_filter(lookup.select(*on), fact, on)):
+        fact = only_possible(fact, possible)
+        count_on = only_possible((fact if count_on is None else count_on).select(*on), possible)
     hot = hot_keys(fact if count_on is None else count_on, on)
     if hot is None:
         return fact.join(lookup, on, how)

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators.joins import join_lookup
-from tillroll.operators.reduction import any_offered, flag_offered
+from tillroll.operators.reduction import flag_offered
 from tillroll.session import stage
 
 
-def rows_on_offer(transactions: DataFrame, offers: DataFrame, *on: str) -> DataFrame:
+def rows_on_offer(
+    transactions: DataFrame, offers: DataFrame, *on: str, small: bool | None = None
+) -> DataFrame:
     """Rows whose ``on`` columns together match some offer."""
     keys = offers.select(*on).distinct()
-    return join_lookup(transactions, keys, on, "left_semi").select(*transactions.columns)
+    kept = join_lookup(transactions, keys, on, "left_semi", small)
+    return kept.select(*transactions.columns)
 
 
 def offer_universe_rows(transactions: DataFrame, offers: DataFrame) -> DataFrame:
     """Distinct whole rows in an offered category or from an offered company."""
     items = ("category", "company")
-    flagged = flag_offered(transactions, offers, items).where(any_offered(items))
+    flagged = flag_offered(transactions, offers, items, only=True)
     return flagged.select(*transactions.columns).distinct()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillroll.functions import cents, day_diff, money, zero_if_null
 from tillroll.operators.joins import join_lookup
 from tillroll.operators.keysets import offer_universe_rows, rows_on_offer
-from tillroll.operators.reduction import any_offered, flag_offered
+from tillroll.operators.reduction import flag_offered
 from tillroll.session import stage
 from tillroll.sources.schemas import ITEMS
 
@@ -84,7 +84,7 @@ def whole_row_counts(
     shopper's offer date.
     """
     items = ("category", "company")
-    flagged = flag_offered(transactions, offers, items).where(any_offered(items))
+    flagged = flag_offered(transactions, offers, items, only=True)
     keys = [*transactions.columns, "category_offered"]
     if offer_dates is not None:
         # Joined to the log itself, so that hot shoppers are counted on a plain column.

@@ -8,7 +8,8 @@ from operator import or_
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators.joins import join_lookup
+from tillroll.operators.blooms import flag_possible, key_filter, passing_others
+from tillroll.operators.joins import fits_broadcast, join_lookup
 from tillroll.sources.files import frame_state, reuse_or_build
 from tillroll.sources.schemas import ITEMS
 
@@ -17,28 +18,65 @@ def flag_offered(
     transactions: DataFrame,
     offers: DataFrame,
     items: tuple[str, ...] = ITEMS,
+    *,
+    only: bool = False,
+    small: bool | None = None,
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``<item>_offered``: is this row's item in any offer?
 
-    Three joins on distinct keys keep every row once, where one join with an
-    OR condition would compare every row with every offer.  Each key set is
-    measured by itself: many offers may have few categories.
+    Joins on distinct keys keep every row once, where one join with an OR
+    condition would compare every row with every offer.  Each key set is
+    measured by itself: many offers may have few categories.  One too large
+    to broadcast (``small`` settles that for all) is tested by a Bloom filter,
+    and the few keys that wrongly pass are taken out again, so the rows
+    themselves stay where they are.  Only where that can't be either are they
+    shuffled.  ``only`` keeps just rows with some item on offer.  ``count_on``
+    has the same keys as ``transactions`` and is cheaper to read.
     """
-    flagged = transactions
+    flagged, narrow = transactions, transactions if count_on is None else count_on
+    filters, beyond = {}, []
     for item in items:
-        keys = offers.select(item).distinct().withColumn("_hit", F.lit(True))
-        flagged = join_lookup(flagged, keys, item, "left", count_on=transactions)
-        flagged = flagged.withColumn(f"{item}_offered", F.col("_hit").isNotNull()).drop("_hit")
-    return flagged
+        keys = offers.select(item).distinct()
+        if fits_broadcast(keys) if small is None else small:
+            flagged = _flag_exactly(flagged, keys, item, True)
+        elif found := key_filter(keys, transactions, item):
+            filters[item] = found
+            flagged = flag_possible(flagged, found, f"{item}_offered")
+        else:
+            beyond.append(item)
+    if only and filters and not beyond:
+        flagged = flagged.where(any_offered(items))
+    for item, found in filters.items():
+        others = passing_others(narrow, found, offers.select(item).distinct())
+        wrong = others.withColumn("_wrong", F.lit(True))
+        flagged = join_lookup(flagged, wrong, item, "left", count_on=narrow)
+        right = F.col(f"{item}_offered") & F.col("_wrong").isNull()
+        flagged = flagged.withColumn(f"{item}_offered", right).drop("_wrong")
+    for item in beyond:
+        keys = offers.select(item).distinct()
+        flagged = _flag_exactly(flagged, keys, item, False, narrow)
+    return flagged.where(any_offered(items)) if only else flagged
+
+
+def _flag_exactly(
+    rows: DataFrame, keys: DataFrame, item: str, small: bool, count_on: DataFrame | None = None
+) -> DataFrame:
+    hits = keys.withColumn("_hit", F.lit(True))
+    flagged = join_lookup(rows, hits, item, "left", small, count_on)
+    return flagged.withColumn(f"{item}_offered", F.col("_hit").isNotNull()).drop("_hit")
 
 
 def any_offered(items: tuple[str, ...] = ITEMS):
     return reduce(or_, [F.col(f"{item}_offered") for item in items])
 
 
-def reduce_transactions(transactions: DataFrame, offers: DataFrame) -> DataFrame:
+def reduce_transactions(
+    transactions: DataFrame, offers: DataFrame, small: bool | None = None
+) -> DataFrame:
     """Rows whose category, company or brand is in some offer."""
-    return flag_offered(transactions, offers).where(any_offered()).select(*transactions.columns)
+    kept = flag_offered(transactions, offers, only=True, small=small)
+    return kept.select(*transactions.columns)
 
 
 def reduction_stats(transactions: DataFrame, offers: DataFrame) -> DataFrame:
@@ -75,8 +113,9 @@ def reduced_table(
     searched = Observation()
 
     def build() -> DataFrame:
-        flagged = flag_offered(transactions.observe(searched, F.count(F.lit(1)).alias("n")), offers)
-        return flagged.where(any_offered()).select(*transactions.columns)
+        rows = transactions.observe(searched, F.count(F.lit(1)).alias("n"))
+        kept = flag_offered(rows, offers, only=True, count_on=transactions)
+        return kept.select(*transactions.columns)
 
     kept = {"kept": F.count(F.lit(1))}
     return reuse_or_build(

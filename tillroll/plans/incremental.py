@@ -40,7 +40,7 @@ from tillroll.functions import cents, day_diff, money, zero_if_null
 from tillroll.operators import lookback as lb
 from tillroll.operators import market as mk
 from tillroll.operators.joins import fits_broadcast, join_lookup
-from tillroll.operators.reduction import any_offered, flag_offered
+from tillroll.operators.reduction import flag_offered
 from tillroll.operators.spine import dept_last_days, latest_dept, with_dept
 from tillroll.plans import features as ft
 from tillroll.plans.pipeline import Inputs, history_table
@@ -153,7 +153,7 @@ def _take_in(
     rows = stage(rows, "new-rows")  # text is parsed once
     small = fits_broadcast(spine)
     events = lb.history_events(rows, spine, before_offer, small)
-    flagged = flag_offered(rows, offers).where(any_offered())
+    flagged = flag_offered(rows, offers, only=True)
     spend = F.sum(zero_if_null(cents("purchaseamount"))).alias("cents")
     parts = {
         "measures": lb.add_up(lb.event_measures(events, day_limits, recent_days)),
