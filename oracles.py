@@ -458,6 +458,7 @@ def oracle_sql() -> dict[str, str]:
         "saved_features": _base(),
         "features_from_files": _matrix(),
         "features_from_files_test": _matrix(history="test"),
+        "features_from_buckets": _matrix(),
         "features_after_change": _matrix(),
         "features_after_append": _matrix(),
         "spine": _with("select * replace (cast(offervalue as double) as offervalue) from spine"),

@@ -129,6 +129,18 @@ def features_from_files_test(t: RetailTables) -> DataFrame:
     return files.load_saved(spark, [results.saved_features])[0]
 
 
+@query("features_from_buckets")
+def features_from_buckets(t: RetailTables) -> DataFrame:
+    """The log kept in buckets of shoppers."""
+    spark, folder = t.offers.sparkSession, new_path(t.offers.sparkSession, "pipeline")
+    inputs = pipeline.Inputs(*[f"{folder}/in/{n}" for n in ("offers", "log", "train")])
+    for table, path in zip((t.offers, t.transactions, t.train_history), inputs):
+        table.write.parquet(path)
+    key_types = SAMPLE_KEYS | {"dept": "string"}
+    results = pipeline.run(spark, inputs, f"{folder}/out", key_types, "parquet", buckets=16)
+    return files.load_saved(spark, [results.saved_features])[0]
+
+
 @query("features_after_change")
 def features_after_change(t: RetailTables) -> DataFrame:
     """The run after the one over half of the log, in the same folder."""

@@ -16,6 +16,7 @@ from tillroll.operators.spine import category_dept_map
 from tillroll.plans import features as ft
 from tillroll.session import release_staged, stage, staged_mark
 from tillroll.sources import files, schemas
+from tillroll.sources.buckets import Buckets
 from tillroll.sources.schemas import ITEMS
 
 
@@ -68,6 +69,7 @@ def run(
     recent_days: int = lb.RECENT_DAYS,
     before_offer: bool = False,
     dedupe: bool = True,
+    buckets: int | None = None,
 ) -> Results:
     """Build and save the base features and the full matrix.
 
@@ -76,7 +78,9 @@ def run(
     same files with the same key types and builds the rest anew.  A log in
     Parquet is read where it is.  ``outcome`` says whether the history has the
     outcome columns, ``key_types`` gives the types of dept, category, company
-    and brand.
+    and brand.  With ``buckets`` the log is kept in so many buckets of shoppers,
+    one in Parquet too: a history too large to broadcast is then joined without
+    a shuffle of the log, unless a shopper has more rows than one piece may have.
     """
     mark = staged_mark(spark)
     types = dict(key_types or {})
@@ -93,7 +97,16 @@ def run(
     files.require_keys(history, ["id", "offer", "offerdate"], "history")
     log_schema = schemas.transactions_schema(**types)
     transactions = files.read_table(spark, inputs.transactions, log_schema, fmt)
-    if fmt != "parquet":
+    if buckets:
+        plain = transactions
+        transactions, _ = files.reuse_or_build(
+            spark,
+            f"{folder}/transactions-by-shopper",
+            lambda: plain,
+            log_state,
+            buckets=Buckets("id", buckets, ("date",)),
+        )
+    elif fmt != "parquet":
         # Ranges of shoppers and days: a shopper with very many purchases is several files.
         text = transactions
         transactions, _ = files.reuse_or_build(

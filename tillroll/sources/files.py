@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tillroll.sources.buckets import Buckets, read_bucketed, write_bucketed
+
 logger = logging.getLogger(__name__)
 
 
@@ -115,13 +117,16 @@ def reuse_or_build(
     state: str,
     counts: Mapping[str, Column] | None = None,
     more: Callable[[], Mapping[str, int]] = dict,
+    buckets: Buckets | None = None,
 ) -> tuple[DataFrame, dict[str, int]]:
     """The table at ``path``, built unless it was finished from inputs in ``state``.
 
     A manifest beside the table, written last, holds the state and the numbers
     that ``counts``, aggregates over the built rows, gave while it was written,
-    with what ``more`` knows after that.
+    with what ``more`` knows after that.  With ``buckets`` the table is kept in them.
     """
+    if buckets:
+        state = digest([state, buckets])
     found = _manifest(spark, path)
     if found.get("state") != state:
         logger.warning("%s is missing or of other inputs, building it", path)
@@ -129,7 +134,13 @@ def reuse_or_build(
         seen, rows = Observation(), build()
         if counts:
             rows = rows.observe(seen, *[c.alias(n) for n, c in counts.items()])
-        rows.write.mode("overwrite").parquet(path)
+        if buckets:
+            write_bucketed(rows, path, buckets)
+        else:
+            rows.write.mode("overwrite").parquet(path)
         found = {"state": state, "counts": (dict(seen.get) if counts else {}) | dict(more())}
         _write_manifest(spark, path, found)
-    return spark.read.parquet(path), found["counts"]
+    table = spark.read.parquet(path)
+    if buckets:
+        table = read_bucketed(spark, path, table.schema, buckets)
+    return table, found["counts"]
