@@ -453,6 +453,10 @@ def oracle_sql() -> dict[str, str]:
         "scan_history": _with("select * from train"),
         "scan_test_history": _with("select * from test"),
         "scan_transactions": _with(f"select {ROW} from t"),
+        "scan_good_lines": _with(f"select {ROW} from t"),
+        "bad_lines": _with(
+            "select id, 'no date' as date, count(*) as lines from t where id % 50 = 0 group by id"
+        ),
         "saved_reduction": _with(f"select {ROW} from t where {IN_ANY}"),
         "saved_dept_map": _with("select category, dept from dept_of"),
         "saved_features": _base(),

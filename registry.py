@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tillroll.functions import recode_label, spend_or_share
 from tillroll.operators import keysets as ks
@@ -77,6 +78,32 @@ def scan_transactions(t: RetailTables) -> DataFrame:
     return _plain(scanned)
 
 
+def _log_with_bad_lines(t: RetailTables, name: str) -> tuple[str, StructType]:
+    """The log as CSV, every 50th shopper's lines once more without a date."""
+    schema = schemas.transactions_schema(dept="string", **SAMPLE_KEYS)
+    path = new_path(t.offers.sparkSession, name)
+    log = t.transactions.select(*schema.names)
+    files.write_csv(log, path)
+    undated = log.where("id % 50 = 0").withColumn("date", F.lit("no date"))
+    undated.write.mode("append").option("header", True).csv(path)
+    return path, schema
+
+
+@query("scan_good_lines")
+def scan_good_lines(t: RetailTables) -> DataFrame:
+    path, schema = _log_with_bad_lines(t, "good-lines")
+    return _plain(files.split_bad_lines(t.offers.sparkSession, path, schema)[0])
+
+
+@query("bad_lines")
+def bad_lines(t: RetailTables) -> DataFrame:
+    path, schema = _log_with_bad_lines(t, "bad-lines")
+    bad = files.split_bad_lines(t.offers.sparkSession, path, schema)[1]
+    field = F.split("line", ",")
+    rows = bad.select(field[0].cast("bigint").alias("id"), field[6].alias("date"))
+    return rows.groupBy("id", "date").agg(F.count("*").alias("lines"))
+
+
 def _plain(rows: DataFrame) -> DataFrame:
     """Amounts as doubles, for comparison."""
     return rows.withColumn("purchaseamount", F.col("purchaseamount").cast("double"))

@@ -122,3 +122,41 @@ def test_stage_keeps_rows_and_schema(spark):
     assert staged.schema == offers.schema
     assert rows_of(staged) == rows_of(offers)
     assert all(work_folder(spark) in f for f in staged.inputFiles())
+
+BAD_LOG = (
+    "id,chain,dept,category,company,brand,date,productsize,productmeasure,"
+    "purchasequantity,purchaseamount\n"
+    "1,1,1,100,7,70,2013-04-01,1.0,EA,1,5.00\n"
+    "1,1,1,100,7,70,no date,1.0,EA,1,6.00\n"
+    "1,1,,200,7,,2013-04-03,1.0,EA,1,10.00\n"
+    "2,1,1\n"
+    "2,1,1,100,7,70,2013-04-01,1.0,EA,1,3.00,further\n"
+)
+
+
+def test_bad_lines_are_put_aside(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.csv").write_text(BAD_LOG)
+    (tmp_path / "log" / "b.csv").write_text("\n".join(BAD_LOG.splitlines()[:2]) + "\n")
+    schema = schemas.transactions_schema()
+    good, bad = files.split_bad_lines(spark, str(tmp_path / "log"), schema)
+    assert good.schema == schema and good.count() == 3
+    assert good.where("brand is null and dept is null").count() == 1  # missing is not malformed
+    assert good.select("id").count() == 3  # whatever the columns asked for
+    found = sorted((r["file"].rsplit("/", 1)[1], r["line"]) for r in bad.collect())
+    lines = BAD_LOG.splitlines()
+    assert found == sorted(("a.csv", line) for line in (lines[2], lines[4], lines[5]))
+
+
+def test_no_bad_lines_and_no_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(BAD_LOG.splitlines()[0] + "\n")
+    good, bad = files.split_bad_lines(
+        spark, str(tmp_path / "a.csv"), schemas.transactions_schema()
+    )
+    assert good.count() == bad.count() == 0
+
+
+def test_a_header_in_another_order_still_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(BAD_LOG.replace("id,chain", "chain,id", 1))
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE|header"):
+        files.split_bad_lines(spark, str(tmp_path / "a.csv"), schemas.transactions_schema())

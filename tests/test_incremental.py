@@ -127,3 +127,23 @@ def test_a_failed_batch_is_made_again(log, monkeypatch):
     grown = log.update()
     assert grown.files_read == 2
     assert rows_of(grown.features) == rows_of(feature_matrix(*log.whole()))
+
+
+def test_bad_lines_of_each_day_are_kept(spark, log):
+    for day, rows in enumerate(log.parts):
+        log.add(f"day-{day}", rows)
+        wrong = log._frames(rows[: day + 1])[0].selectExpr("id", "chain")  # too few fields
+        path = f"{log.inputs.transactions}/day-{day}"
+        lines = ["id,chain,dept,category,company,brand,date,productsize,productmeasure,"
+                 "purchasequantity,purchaseamount"]
+        lines += [f"{r['id']},{r['chain']}" for r in wrong.collect()]
+        spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode(
+            "append"
+        ).text(path)
+        grown = log.update(strict_dept=False, most_batches=2, bad_lines=True)
+        assert grown.files_read == 2
+    assert grown.bad_lines.count() == 6  # 1 + 2 + 3, merged batches included
+    whole = feature_matrix(*log.whole(), strict_dept=False)
+    assert rows_of(grown.features) == rows_of(whole)
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):
+        log.update(strict_dept=False)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from tables import frames, rows_of
 
@@ -82,3 +83,23 @@ def test_offers_of_two_histories(spark, tmp_path):
     both = offers_of_both(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()
     assert sum(r["train_offer"] for r in both) == history.count()
     assert sum(r["test_offer"] for r in both) == 1
+
+
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_bad_lines_of_the_log(spark, tmp_path, buckets):
+    transactions, offers, history = tables = frames(spark)
+    inputs = Inputs(*[str(tmp_path / n) for n in ("offers", "log", "history")])
+    for table, path in zip((offers, transactions, history), inputs):
+        files.write_csv(table, path)
+    wrong = transactions.withColumn("date", F.lit("no date")).where("id = 10")
+    wrong.write.mode("append").option("header", True).csv(inputs.transactions)
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):
+        run(spark, inputs, str(tmp_path / "out"), buckets=buckets)
+    for _ in range(2):  # built, then reused
+        results = run(spark, inputs, str(tmp_path / "out"), buckets=buckets, bad_lines=True)
+        assert results.bad_lines.count() == 8
+        assert results.bad_lines.where("line like '10,4,%no date%'").count() == 8
+        saved = files.load_saved(spark, [results.saved_features])[0]
+        assert rows_of(saved) == rows_of(feature_matrix(*tables))
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):  # not from what was kept
+        run(spark, inputs, str(tmp_path / "out"), buckets=buckets)

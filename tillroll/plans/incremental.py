@@ -10,6 +10,7 @@ offered     copies of each whole row on offer
 shoppers    spend per shopper, all shoppers of the log
 dept_days   last day of each category under each dept
 reduced     the rows that have to do with some offer, as they are
+bad         malformed lines, if they are put aside
 files       the batch's files, rows read and rows kept; written last
 ==========  ===============================================================
 
@@ -63,13 +64,15 @@ class Grown(NamedTuple):
     reduced: DataFrame  # rows that have to do with some offer
     reduction: dict[str, int]  # rows searched and rows kept, over all files
     files_read: int  # by this run
+    bad_lines: DataFrame | None  # malformed lines of all files, if they are put aside
 
 
 class _Store:
     """The batches of one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, bad_lines: bool):
         self.spark, self.folder = spark, folder
+        self.parts = [part for part in ADD if bad_lines or part != "bad"]
 
     def path(self, part: str, batch: str) -> str:
         return f"{self.folder}/{part}/{batch}"
@@ -84,7 +87,7 @@ class _Store:
 
     def drop(self, batches: Sequence[str]) -> None:
         """Take batches out: their list of files comes first, so they are never half there."""
-        for part in ("files", "measures", "depts", "offered", "shoppers", "dept_days", "reduced"):
+        for part in ("files", *self.parts):
             for batch in batches:
                 self.spark.range(0).write.mode("overwrite").parquet(self.path(part, batch))
 
@@ -112,6 +115,7 @@ ADD: dict[str, Callable[[DataFrame], DataFrame]] = {
     "shoppers": _sum_by("id"),
     "dept_days": _sum_by("category", "dept", last=F.max),
     "reduced": lambda rows: rows,
+    "bad": lambda rows: rows,
 }
 
 
@@ -142,15 +146,15 @@ def _take_in(
     store: _Store,
     new: DataFrame,
     rows: DataFrame,
+    bad: DataFrame | None,
     offers: DataFrame,
     spine: DataFrame,
     day_limits: Sequence[int | None],
     recent_days: int,
     before_offer: bool,
 ) -> str:
-    """Write the batch of ``rows``, the contents of the ``new`` files."""
+    """Write the batch of ``rows`` and ``bad`` lines, the contents of the ``new`` files."""
     batch = uuid.uuid4().hex
-    rows = stage(rows, "new-rows")  # text is parsed once
     small = fits_broadcast(spine)
     events = lb.history_events(rows, spine, before_offer, small)
     flagged = flag_offered(rows, offers, only=True)
@@ -163,6 +167,8 @@ def _take_in(
         "dept_days": dept_last_days(rows, offers),
         "reduced": flagged.select(*rows.columns),
     }
+    if bad is not None:
+        parts["bad"] = bad
     for part, table in parts.items():
         table.write.parquet(store.path(part, batch))
     searched = rows.count()
@@ -182,8 +188,8 @@ def _take_in(
 def _merge(store: _Store, batches: list[str]) -> str:
     """Make one batch of many; the old ones go when the new one is whole."""
     merged = uuid.uuid4().hex
-    for part, add in ADD.items():
-        add(store.read(part, batches)).write.parquet(store.path(part, merged))
+    for part in store.parts:
+        ADD[part](store.read(part, batches)).write.parquet(store.path(part, merged))
     known = store.taken().where(F.col("batch").isin(batches))
     numbers = known.select("batch", "searched", "kept").distinct()
     sums = numbers.agg(F.sum("searched").alias("searched"), F.sum("kept").alias("kept")).first()
@@ -213,12 +219,14 @@ def update(
     dedupe: bool = True,
     strict_dept: bool = True,
     most_batches: int = MOST_BATCHES,
+    bad_lines: bool = False,
 ) -> Grown:
     """X1..X87 over all files of the log; only files that are new or changed are read.
 
     The same rows as ``features.feature_matrix`` over the whole log.  One run at
     a time may use a folder.  ``key_types`` gives the types of dept, category,
-    company and brand, ``fmt`` is csv or parquet.
+    company and brand, ``fmt`` is csv or parquet.  A malformed line of the log ends the
+    run; with ``bad_lines`` those of CSV files are put aside.
     """
     types = dict(key_types or {})
     offer_types = {k: v for k, v in types.items() if k != "dept"}
@@ -229,9 +237,11 @@ def update(
     files.require_keys(history, ["id", "offer", "offerdate"], "history")
     spine = ft.build_spine(history, offers)
 
+    aside = bad_lines and fmt == "csv"
     options = [types, fmt, outcome, list(day_limits), recent_days, before_offer]
+    options += ["bad lines aside"] * aside
     state = files.digest([files.file_state(spark, inputs.offers, inputs.history), options])
-    store = _Store(spark, f"{folder.rstrip('/')}/{state[:32]}")
+    store = _Store(spark, f"{folder.rstrip('/')}/{state[:32]}", aside)
 
     present = stage(files.file_list(spark, [inputs.transactions]), "present")
     taken = stage(store.taken(), "taken")
@@ -248,9 +258,12 @@ def update(
         log_schema = schemas.transactions_schema(**types)
         # A list of paths only for what was added; a whole log is named by its folder.
         paths = [r[0] for r in new.select("path").collect()] if live else inputs.transactions
-        rows = files.read_table(spark, paths, log_schema, fmt)
+        if aside:
+            rows, bad = files.split_bad_lines(spark, paths, log_schema)
+        else:  # text is parsed once here too
+            rows, bad = stage(files.read_table(spark, paths, log_schema, fmt), "new-rows"), None
         live.append(
-            _take_in(store, new, rows, offers, spine, day_limits, recent_days, before_offer)
+            _take_in(store, new, rows, bad, offers, spine, day_limits, recent_days, before_offer)
         )
     logger.info("%s new files, %s batches of which %s went", found, len(live), len(stale))
     if not live:
@@ -284,4 +297,6 @@ def update(
     counted = counted.select("batch", "searched", "kept").distinct()
     sums = counted.agg(F.sum("searched").alias("searched"), F.sum("kept").alias("kept")).first()
     totals = shoppers.select("id", money("cents").alias("total_spend"))
-    return Grown(matrix, totals, store.read("reduced", live), sums.asDict(), found)
+    reduced = store.read("reduced", live)
+    lines = store.read("bad", live) if aside else None
+    return Grown(matrix, totals, reduced, sums.asDict(), found, lines)

@@ -34,6 +34,7 @@ class Results(NamedTuple):
     saved_base: str | None
     saved_features: str | None
     mark: int  # of the staged tables before the run
+    bad_lines: DataFrame | None  # malformed lines of the log, if they were put aside
 
     def release(self) -> None:
         """Free the run's staged tables; the frames above are used up then."""
@@ -70,6 +71,7 @@ def run(
     before_offer: bool = False,
     dedupe: bool = True,
     buckets: int | None = None,
+    bad_lines: bool = False,
 ) -> Results:
     """Build and save the base features and the full matrix.
 
@@ -81,12 +83,15 @@ def run(
     and brand.  With ``buckets`` the log is kept in so many buckets of shoppers,
     one in Parquet too: a history too large to broadcast is then joined without
     a shuffle of the log, unless a shopper has more rows than one piece may have.
+    A malformed line of the log ends the run; with ``bad_lines`` those of a CSV log are
+    kept in a table of their own, and the results are of the others.
     """
     mark = staged_mark(spark)
     types = dict(key_types or {})
     offer_types = {k: v for k, v in types.items() if k != "dept"}
     folder = folder.rstrip("/")
-    log_state = files.digest([files.file_state(spark, inputs.transactions), types, fmt])
+    aside = bad_lines and fmt == "csv"
+    log_state = files.digest([files.file_state(spark, inputs.transactions), types, fmt, aside])
     state = files.digest([log_state, files.file_state(spark, inputs.offers)])
 
     offers = stage(
@@ -96,25 +101,35 @@ def run(
     history = history_table(spark, inputs.history, outcome, fmt)
     files.require_keys(history, ["id", "offer", "offerdate"], "history")
     log_schema = schemas.transactions_schema(**types)
-    transactions = files.read_table(spark, inputs.transactions, log_schema, fmt)
+    bad = None
+
+    def log() -> DataFrame:
+        if not aside:
+            return files.read_table(spark, inputs.transactions, log_schema, fmt)
+        good, lines = files.split_bad_lines(spark, inputs.transactions, log_schema)
+        lines.write.mode("overwrite").parquet(f"{folder}/bad-lines")
+        return good
+
     if buckets:
-        plain = transactions
         transactions, _ = files.reuse_or_build(
             spark,
             f"{folder}/transactions-by-shopper",
-            lambda: plain,
+            log,
             log_state,
             buckets=Buckets("id", buckets, ("date",)),
         )
     elif fmt != "parquet":
         # Ranges of shoppers and days: a shopper with very many purchases is several files.
-        text = transactions
         transactions, _ = files.reuse_or_build(
             spark,
             f"{folder}/transactions",
-            lambda: text.repartitionByRange("id", "date").sortWithinPartitions("id", "date"),
+            lambda: log().repartitionByRange("id", "date").sortWithinPartitions("id", "date"),
             log_state,
         )
+    else:
+        transactions = log()
+    if aside:
+        bad = spark.read.parquet(f"{folder}/bad-lines")
     dept_map, _ = files.reuse_or_build(
         spark, f"{folder}/dept-map", lambda: category_dept_map(transactions, offers), state
     )
@@ -157,5 +172,5 @@ def run(
     events = lb.history_events(reduced, spine, before_offer, small=small)
     matched = {item: lb.matched_events(events, item) for item in ITEMS}
     return Results(
-        shopper_totals(transactions), matched, features, counts, saved_base, saved, mark
+        shopper_totals(transactions), matched, features, counts, saved_base, saved, mark, bad
     )

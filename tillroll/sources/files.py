@@ -11,12 +11,15 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from tillroll.session import stage
 from tillroll.sources.buckets import Buckets, read_bucketed, write_bucketed
 
 logger = logging.getLogger(__name__)
 
+BAD_LINE = "_bad_line"
+
 
 def read_table(
     spark: SparkSession, path: str | list[str], schema: StructType, fmt: str = "csv"
@@ -35,6 +38,35 @@ def read_table(
     return reader.format(fmt).load(path)
 
 
+def split_bad_lines(
+    spark: SparkSession, path: str | list[str], schema: StructType
+) -> tuple[DataFrame, DataFrame]:
+    """A CSV table's good rows, and its malformed lines as ``file`` and ``line``.
+
+    A line is malformed if a field is not of its column's type or if there are
+    too few or too many fields.  The text is parsed once, into a staged table
+    with a folder for either kind.  A header in another order fails the job, as
+    ever.
+    """
+    reader = (
+        spark.read.schema(StructType([*schema.fields, StructField(BAD_LINE, StringType())]))
+        .option("recursiveFileLookup", True)
+        .option("header", True)
+        .option("enforceSchema", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BAD_LINE)
+        # Whether a line is malformed must not depend on the columns asked for.
+        .option("columnPruning", False)
+    )
+    parsed = reader.csv(path).withColumn("_file", F.col("_metadata.file_path"))
+    both = stage(
+        parsed.withColumn("_bad", F.col(BAD_LINE).isNotNull()), "lines", partition_by="_bad"
+    )
+    good = both.where("not _bad").select(*schema.names)
+    bad = both.where("_bad").select(F.col("_file").alias("file"), F.col(BAD_LINE).alias("line"))
+    return good, bad
+
+
 def require_keys(table: DataFrame, keys: Sequence[str], name: str) -> None:
     """Fail if a row of an offers or history table lacks a key."""
     missing = table.agg(*[F.count_if(F.col(k).isNull()).alias(k) for k in keys]).first().asDict()
