@@ -475,6 +475,11 @@ def oracle_sql() -> dict[str, str]:
             " else repeater end as label from train"
         ),
         "category_dept_map": _with("select category, dept from dept_of"),
+        "category_dept_map_by_file": _with(
+            "select category, dept from t where category is not null and dept is not null"
+            " qualify row_number() over (partition by category order by date desc nulls last,"
+            " productsize desc, purchaseamount desc, dept desc) = 1"
+        ),
         "category_dept_conflicts": _with(
             "select category, count(distinct dept) as depts from t"
             " group by category having count(distinct dept) > 1"

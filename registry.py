@@ -234,6 +234,16 @@ def dept_map(t: RetailTables) -> DataFrame:
     return sp.category_dept_map(t.transactions)
 
 
+@query("category_dept_map_by_file")
+def category_dept_map_by_file(t: RetailTables) -> DataFrame:
+    """The dept of each category's last line in a log of several files."""
+    spark, path = t.offers.sparkSession, new_path(t.offers.sparkSession, "ordered-csv")
+    schema = schemas.transactions_schema(dept="string", **SAMPLE_KEYS)
+    ordered = t.transactions.orderBy("date", "productsize", "purchaseamount", "dept")
+    files.write_csv(ordered.select(*schema.names), path)
+    return sp.category_dept_map(files.read_table(spark, path, schema), order="file")
+
+
 @query("category_dept_conflicts")
 def dept_conflicts(t: RetailTables) -> DataFrame:
     return sp.category_dept_conflicts(t.transactions)

@@ -2,9 +2,10 @@ import logging
 
 import pytest
 from pyspark.sql import functions as F
-from tables import HISTORY, OFFERS, frames, rows_of
+from tables import HISTORY, OFFERS, frames, rows_of, sale
 
 from tillroll.operators.reduction import reduce_transactions, reduced_table
+from tillroll.operators.spine import category_dept_map
 from tillroll.session import release_staged, stage, staged_mark, work_folder
 from tillroll.sources import files, schemas
 
@@ -160,3 +161,32 @@ def test_a_header_in_another_order_still_fails(spark, tmp_path):
     (tmp_path / "a.csv").write_text(BAD_LOG.replace("id,chain", "chain,id", 1))
     with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE|header"):
         files.split_bad_lines(spark, str(tmp_path / "a.csv"), schemas.transactions_schema())
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_last_line_of_each_category(spark, tmp_path, fmt):
+    schema = schemas.transactions_schema()
+    days = [(n % 5, n // 5 % 7 + 1) for n in range(4000)]  # dates say nothing about the order
+    log = [sale(n, d, 100 + n % 9, 7, 70, 1, "1.00", dept=dept) for n, (d, dept) in enumerate(days)]
+    last = sale(9999, 1, 100, 7, 70, 1, "1.00")
+    log.append((*last[:2], None, *last[3:]))  # without a dept it says nothing
+    path = str(tmp_path / "log")
+    table = spark.createDataFrame(log, schema).repartitionByRange(3, "id").sortWithinPartitions("id")
+    if fmt == "csv":
+        files.write_csv(table, path)
+    else:
+        table.write.option("parquet.block.size", "8192").parquet(path)
+    expected = {100 + n % 9: dept for n, (_, dept) in enumerate(days)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")  # many splits of a file
+    try:
+        back = files.read_table(spark, path, schema, fmt)
+        assert back.rdd.getNumPartitions() > 3
+        found = dict(category_dept_map(back, order="file").collect())
+        assert found == expected
+        wanted = spark.createDataFrame([(100,), (108,), (999,)], "category int")
+        some = dict(category_dept_map(back, wanted, order="file").collect())
+        assert some == {k: v for k, v in expected.items() if k in (100, 108)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(ValueError, match="order is date or file"):
+        category_dept_map(back, order="size")

@@ -39,13 +39,41 @@ def latest_dept(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("category").agg(F.max_by("dept", F.struct("last", "dept")).alias("dept"))
 
 
-def category_dept_map(transactions: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+def dept_last_places(transactions: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """The last place each category was sold under each dept, by file and split.
+
+    ``transactions`` is read straight from files.  Rows of a split are numbered in
+    their order, whatever other splits its task reads.
+    """
+    placed = transactions.where("category is not null and dept is not null").select(
+        "category",
+        "dept",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    if categories is not None:
+        wanted = categories.select("category").distinct()
+        placed = join_lookup(placed, wanted, "category", "left_semi")
+    return placed.groupBy("category", "dept", "file", "start").agg(F.max("row").alias("row"))
+
+
+def category_dept_map(
+    transactions: DataFrame, categories: DataFrame | None = None, order: str = "date"
+) -> DataFrame:
     """One dept per category: that of its latest purchase, ties to the larger.
 
     Rows without a category or a dept say nothing.  With ``categories``, a
-    table of keys, only those are mapped.
+    table of keys, only those are mapped.  With ``order="file"`` it is the dept of
+    the category's last line instead, files in order of their paths.
     """
-    return latest_dept(dept_last_days(transactions, categories))
+    if order == "date":
+        return latest_dept(dept_last_days(transactions, categories))
+    if order != "file":
+        raise ValueError(f"order is date or file, not {order}")
+    places = dept_last_places(transactions, categories)
+    last = F.max_by("dept", F.struct("file", "start", "row"))
+    return places.groupBy("category").agg(last.alias("dept"))
 
 
 def category_dept_conflicts(transactions: DataFrame) -> DataFrame:
