@@ -66,3 +66,21 @@ def test_offers_do_not_multiply_the_series(spark):
     once = so.day_series(tables[0], spine, tables[1]).count()
     later = spine.unionByName(spine.withColumn("offerdate", so.F.date_add("offerdate", 9)))
     assert so.day_series(tables[0], later, tables[1]).count() == once
+
+
+def test_look_ups_are_gathered_once(spark, large_lookups):
+    log, offers, history = random_tables(8)
+    tables = frames(spark, log, offers, history)
+    spine = so.history_with_offers(tables[2], tables[1])
+    spine = so.stage(so.with_dept(spine, so.category_dept_map(tables[0], tables[1])), "spine")
+    series = so.stage(so.day_series(tables[0], spine, tables[1]), "series")
+    found = so.looked_up(series, spine, so._cuts(so.lb.DAY_LIMITS, so.lb.RECENT_DAYS))
+    per_offer = found.groupBy("id", "offer").count()
+    assert per_offer._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert per_offer.count() == spine.count()
+
+
+def test_own_keys_do_not_run_together(spark):
+    rows = spark.createDataFrame([("a1", 1, "b"), ("a", 11, "b"), ("a", 1, "1b")], "category string, company int, brand string")
+    assert rows.select(so._key(*so.ITEMS)).distinct().count() == 3
+    assert spark.sql("select 'a' as category, null as company, 'b' as brand").where(so._key(*so.ITEMS).isNull()).count() == 1

@@ -5,8 +5,9 @@ purchases become one series of days for each shopper and each thing an offer
 looks at (a category, company, brand, product or dept, all purchases, those on any
 offer), with running sums.  An offer looks its dates up in them, as of the day:
 what was bought in a look-back window is the running sum at its end less the
-one at its start.  Purchases are shuffled once, rolled up by day, and each
-look-up is one short row.
+one at its start.  A purchase goes to the series its shopper's offers look at and no
+others; rolled up by day they are gathered by shopper, with a short row for each
+thing an offer asks about.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from tillroll.functions import cents, spend_or_share, zero_if_null
 from tillroll.operators import lookback as lb
 from tillroll.operators import market as mk
-from tillroll.operators.joins import join_lookup
+from tillroll.operators.blooms import key_filter, only_possible
+from tillroll.operators.joins import fits_broadcast, join_lookup
 from tillroll.operators.spine import category_dept_map, history_with_offers, with_dept
 from tillroll.plans import features as ft
 from tillroll.session import stage
@@ -38,19 +40,35 @@ def require_unique_offers(spine: DataFrame) -> None:
         raise ValueError(f"rows with one shopper and offer, among them {[tuple(r) for r in names]}")
 
 
-def _thing(kind: str, *columns: str) -> Column:
-    key = F.array(*[F.col(c).cast("string") for c in columns]).cast("array<string>")
+def _key(*columns: str) -> Column:
+    """The key of a thing, null if a part is missing; no two have the same."""
+    parts = [F.col(c).cast("string") for c in columns]
+    marked = [F.concat(F.octet_length(c).cast("string"), F.lit(":"), c) for c in parts[:-1]]
+    return F.concat(*marked, *parts[-1:]) if parts else F.lit("")
+
+
+def _keys() -> dict[str, Column]:
+    """What a purchase, or an offer, is of, by kind."""
+    return {c: _key(c) for c in (*ITEMS, "dept")} | {"own": _key(*ITEMS)}
+
+
+def _thing(kind: str, key: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
 
 
-def _things() -> list[Column]:
-    """What a purchase, or an offer, is of."""
-    single = [_thing(c, c) for c in (*ITEMS, "dept")]
-    return [_thing("all"), *single, _thing("own", *ITEMS)]
+def _looked_at() -> Column:
+    """The things a purchase is of that some offer of its shopper looks at."""
+    things = [
+        F.when(F.array_contains(f"offered_{kind}", key), _thing(kind, key))
+        for kind, key in _keys().items()
+    ]
+    return F.array_compact(F.array(_thing("all", _key()), *things))
 
 
-def _known(rows: DataFrame) -> DataFrame:
-    return rows.where(~F.exists("key", lambda k: k.isNull()))
+def whole_rows(transactions: DataFrame, offers: DataFrame) -> DataFrame:
+    """The copies of each whole row on offer, with the columns that sums are made of."""
+    whole = mk.whole_row_counts(transactions, offers)
+    return whole.select("id", *ITEMS, "category_offered", "date", "purchaseamount", "copies")
 
 
 def day_series(
@@ -59,41 +77,44 @@ def day_series(
     offers: DataFrame,
     before_offer: bool = False,
     dedupe: bool = True,
+    whole: DataFrame | None = None,
 ) -> DataFrame:
     """What the spine's shoppers bought, per day, of each thing that their offers look at.
 
     Purchases without a date come before all days; with ``before_offer`` they
-    are left out, as no offer is known to be later.
+    are left out, as no offer is known to be later.  ``whole`` has the
+    ``whole_rows`` as a table.
     """
-    ids = stage(spine.select("id").distinct(), "ids")
-    mine = join_lookup(transactions, ids, "id", "left_semi").select(*transactions.columns)
-    if before_offer:
-        mine = mine.where("date is not null")
+    dated = "date is not null" if before_offer else "true"
     no_date = F.lit(NO_DATE).cast("date")
-    per_day = mine.groupBy("id", *ITEMS, "dept", "date").agg(
-        F.count("*").alias("n"),
-        F.sum(zero_if_null(cents("purchaseamount"))).alias("cents"),
-        F.sum(zero_if_null(F.col("purchasequantity").cast("bigint"))).alias("quantity"),
-        F.min(cents("purchaseamount")).alias("lowest"),
+    wanted = spine.select("id", *[key.alias(f"offered_{kind}") for kind, key in _keys().items()])
+    small = fits_broadcast(wanted)  # before the keys are in arrays, which are not measured
+    sets = [F.collect_set(c).alias(c) for c in wanted.columns[1:]]
+    offered = stage(wanted.groupBy("id").agg(*sets), "offered")
+    log = transactions.where(dated).select(
+        "id", *ITEMS, "dept", "date", "purchasequantity", "purchaseamount"
     )
-    sold = per_day.select(
+    if not small and (possible := key_filter(offered.select("id"), log, "id")):
+        log = only_possible(log, possible)
+    mine = join_lookup(log, offered, "id", small=small, count_on=log.select("id"))
+    sold = mine.select(
         "id",
-        F.explode(F.array(*_things())).alias("thing"),
+        F.explode(_looked_at()).alias("thing"),
         F.coalesce("date", no_date).alias("date"),
-        "n",
-        "cents",
-        "quantity",
-        "lowest",
+        zero_if_null(cents("purchaseamount")).alias("cents"),
+        zero_if_null(F.col("purchasequantity").cast("bigint")).alias("quantity"),
+        cents("purchaseamount").alias("lowest"),
     )
-    sold = _known(sold.select("id", "thing.kind", "thing.key", "date", *MEASURES[:3], "lowest"))
-    looked_at = spine.select("id", F.explode(F.array(*_things())).alias("thing"))
-    looked_at = _known(looked_at.select("id", "thing.kind", "thing.key")).distinct()
-    sold = join_lookup(sold, stage(looked_at, "looked-at"), SERIES, "left_semi")
-    series = sold.groupBy(*SERIES, "date").agg(
-        *[F.sum(c).alias(c) for c in MEASURES[:3]], F.min("lowest").alias("lowest")
+    series = sold.select("id", "thing.kind", "thing.key", *sold.columns[2:])
+    series = series.groupBy(*SERIES, "date").agg(
+        F.count("*").alias("n"),
+        *[F.sum(c).alias(c) for c in ("cents", "quantity")],
+        F.min("lowest").alias("lowest"),
     )
 
-    whole = mk.whole_row_counts(mine, offers)
+    if whole is None:
+        whole = whole_rows(transactions, offers)
+    whole = join_lookup(whole.where(dated), offered.select("id"), "id", "left_semi")
     once = F.lit(1) if dedupe else F.col("copies")
     spent = zero_if_null(cents("purchaseamount")) * once
     universe = whole.groupBy("id", F.coalesce("date", no_date).alias("date")).agg(
@@ -102,7 +123,7 @@ def day_series(
     universe = universe.select(
         "id",
         F.lit("universe").alias("kind"),
-        F.array().cast("array<string>").alias("key"),
+        _key().alias("key"),
         "date",
         F.lit(0).cast("bigint").alias("n"),
         "cents",
@@ -125,6 +146,11 @@ def _cuts(
     return {kind: cuts | {END: None} for kind, cuts in found.items()}
 
 
+def _places(cuts: dict[str, dict[str, int | None]]) -> dict[tuple[str, str], int]:
+    """A number for each kind and name of a day."""
+    return {pair: i for i, pair in enumerate((k, n) for k, named in cuts.items() for n in named)}
+
+
 def looked_up(
     series: DataFrame,
     spine: DataFrame,
@@ -134,32 +160,43 @@ def looked_up(
     """The running sums just before each day that the offers ask for.
 
     Look-ups and days are sorted together per series, a look-up before the day's
-    own purchases, so one window pass answers all of them.
+    own purchases, so one window pass answers all of them.  A shopper's rows, short
+    ones by day, are gathered once; the days an offer asks for are made after that.
     """
-    end = F.col("offerdate") if before_offer else F.lit(AFTER_ALL).cast("date")
-    asked = []
-    for thing, kind in zip([*_things(), _thing("universe")], ("all", *ITEMS, "dept", "own", "universe")):
-        for name, days in cuts[kind].items():
-            day = end if days is None else F.date_sub("offerdate", days)
-            asked.append(F.struct(thing.alias("thing"), F.lit(name).alias("cut"), day.alias("date")))
-    lookups = spine.select("id", "offer", F.explode(F.array(*asked)).alias("a"))
-    lookups = lookups.select(
-        "id", "a.thing.kind", "a.thing.key", "a.date", "offer", "a.cut", F.lit(0).alias("_mark")
+    keys = {"all": _key(), "universe": _key()} | _keys()
+    things = F.array(*[_thing(kind, key) for kind, key in keys.items()])
+    offer_type = spine.schema["offer"].dataType
+    lookups = spine.select(
+        "id", "offer", F.to_date("offerdate").alias("date"), F.explode(things).alias("thing")
     )
+    lookups = lookups.select("id", "thing.kind", "thing.key", "date", "offer", F.lit(0).alias("_mark"))
     lookups = lookups.withColumns({c: F.lit(0).cast("bigint") for c in MEASURES})
     lookups = lookups.withColumn("lowest", F.lit(None).cast("bigint"))
-    offer_type = spine.schema["offer"].dataType
-    days = series.withColumns(
-        {"offer": F.lit(None).cast(offer_type), "cut": F.lit(None).cast("string"), "_mark": F.lit(1)}
-    )
-    both = days.unionByName(lookups)
+    days = series.withColumns({"offer": F.lit(None).cast(offer_type), "_mark": F.lit(1)})
+    both = days.unionByName(lookups).repartition("id")
+
+    end = F.col("date") if before_offer else F.lit(AFTER_ALL).cast("date")
+
+    def cut(place: int | None, day: Column) -> Column:
+        return F.struct(F.lit(place).cast("int").alias("cut"), day.alias("date"))
+
+    places = _places(cuts)
+    asked = F.when(F.col("_mark") == 1, F.array(cut(None, F.col("date"))))
+    for kind, named in cuts.items():
+        at = [
+            cut(places[kind, n], end if d is None else F.date_sub("date", d))
+            for n, d in named.items()
+        ]
+        asked = asked.when(F.col("kind") == kind, F.array(*at))
+    kept = [*SERIES, "offer", "_mark", *MEASURES, "lowest"]
+    both = both.select(*kept, F.explode(asked).alias("a")).select(*kept, "a.cut", "a.date")
+
     so_far = Window.partitionBy(*SERIES).orderBy("date", "_mark")
     so_far = so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bought_on = F.when((F.col("_mark") == 1) & (F.col("days") > 0), F.col("date"))
     found = both.select(
         "id",
         "offer",
-        "kind",
         "cut",
         "_mark",
         *[F.sum(c).over(so_far).alias(c) for c in MEASURES],
@@ -175,9 +212,10 @@ def _features(
 ) -> dict[str, Column]:
     """Each feature from the sums that were looked up."""
 
+    places = _places(cuts)
+
     def at(kind: str, cut: str, column: str) -> Column:
-        asked = (F.col("kind") == kind) & (F.col("cut") == cut)
-        return F.max(F.when(asked, F.col(column)))
+        return F.max(F.when(F.col("cut") == places[kind, cut], F.col(column)))
 
     def since(kind: str, cut: str | None, column: str) -> Column:
         # A series without any purchase, or a key that is missing, has no sums.
@@ -239,14 +277,16 @@ def feature_matrix_by_offer(
     require_unique_offers(spine)
 
     cuts = _cuts(day_limits, recent_days)
-    series = day_series(transactions, spine, offers, before_offer, dedupe)
+    whole = stage(whole_rows(transactions, offers), "whole-rows")
+    series = day_series(transactions, spine, offers, before_offer, dedupe, whole)
     found = looked_up(series, spine, cuts, before_offer)
     sums = found.groupBy("id", "offer").agg(
         *[c.alias(n) for n, c in _features(day_limits, cuts).items()]
     )
     sums = stage(sums.where("_n > 0"), "sums")
 
-    rollup = stage(mk.universe_rollup(transactions, offers, dedupe), "universe")
+    # The market is that of the offered categories.
+    rollup = stage(mk.rollup_of(whole.where("category_offered"), dedupe), "universe")
     users = mk.user_count(transactions).scalar()
     market = stage(mk.offer_market(rollup, offers, users), "market")
     beside = join_lookup(spine, market, ITEMS).withColumn("offer_value", ft.offer_value())
