@@ -9,7 +9,7 @@ from tillroll.operators.market import shopper_totals
 from tillroll.plans.features import base_features, feature_matrix
 from tillroll.plans.pipeline import Inputs, run
 from tillroll.session import stage
-from tillroll.sources import files
+from tillroll.sources import buckets, files
 from tillroll.sources.buckets import Buckets, read_bucketed, spread, write_bucketed
 
 BY_SHOPPER = Buckets("id", 6, ("date",))
@@ -123,3 +123,16 @@ def test_pipeline_with_buckets(spark, tables, tmp_path, fmt):
     other = run(spark, inputs, out, fmt=fmt, buckets=3)
     assert sorted(spark.read.parquet(f"{out}/transactions-by-shopper").inputFiles()) != written
     assert rows_of(other.features) == rows_of(results.features)
+
+
+def test_a_large_log_has_more_buckets(spark, tables, tmp_path):
+    rows = tables[0].count()
+    spark.conf.set("spark.tillroll.pieceRows", str(rows // 10))
+    try:
+        path = str(tmp_path / "log")
+        for build in (lambda: tables[0], None):  # made, then reused
+            table, _ = files.reuse_or_build(spark, path, build, "s", buckets=Buckets("id", 4))
+            assert rows_of(table) == rows_of(tables[0])
+            assert "into 12 buckets" in spark.sql(f"show create table {buckets._name(path)}").first()[0].lower()
+    finally:
+        spark.conf.unset("spark.tillroll.pieceRows")

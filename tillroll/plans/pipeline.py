@@ -80,7 +80,8 @@ def run(
     same files with the same key types and builds the rest anew.  A log in
     Parquet is read where it is.  ``outcome`` says whether the history has the
     outcome columns, ``key_types`` gives the types of dept, category, company
-    and brand.  With ``buckets`` the log is kept in so many buckets of shoppers,
+    and brand.  With ``buckets`` the log is kept in so many buckets of shoppers, or
+    a multiple of that if they would have more rows than one piece may,
     one in Parquet too: a history too large to broadcast is then joined without
     a shuffle of the log, unless a shopper has more rows than one piece may have.
     A malformed line of the log ends the run; with ``bad_lines`` those of a CSV log are

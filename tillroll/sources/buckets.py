@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tillroll.operators.joins import hot_keys
+from tillroll.session import piece_rows
 
 
 class Buckets(NamedTuple):
@@ -20,6 +22,15 @@ class Buckets(NamedTuple):
     order: tuple[str, ...] = ()
 
 
+def enough_buckets(rows: DataFrame, buckets: Buckets) -> Buckets:
+    """``buckets``, or a multiple of them, so that one has no more rows than a piece on average.
+
+    A join by bucket has one task for each, which must not grow with the table.
+    """
+    most = buckets.count * piece_rows(rows.sparkSession)
+    return buckets._replace(count=buckets.count * max(1, math.ceil(rows.count() / most)))
+
+
 def spread(rows: DataFrame, buckets: Buckets) -> DataFrame:
     """One partition per bucket, but the rows of a hot key in pieces of several partitions.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tillroll.session import stage
-from tillroll.sources.buckets import Buckets, read_bucketed, write_bucketed
+from tillroll.sources.buckets import Buckets, enough_buckets, read_bucketed, write_bucketed
 
 logger = logging.getLogger(__name__)
 
@@ -155,7 +155,8 @@ def reuse_or_build(
 
     A manifest beside the table, written last, holds the state and the numbers
     that ``counts``, aggregates over the built rows, gave while it was written,
-    with what ``more`` knows after that.  With ``buckets`` the table is kept in them.
+    with what ``more`` knows after that.  With ``buckets`` the table is kept in them, a
+    large one in ``enough_buckets``.
     """
     if buckets:
         state = digest([state, buckets])
@@ -164,6 +165,8 @@ def reuse_or_build(
         logger.warning("%s is missing or of other inputs, building it", path)
         _write_manifest(spark, path, {"state": None})
         seen, rows = Observation(), build()
+        if buckets:
+            buckets = enough_buckets(rows, buckets)
         if counts:
             rows = rows.observe(seen, *[c.alias(n) for n, c in counts.items()])
         if buckets:
@@ -171,8 +174,11 @@ def reuse_or_build(
         else:
             rows.write.mode("overwrite").parquet(path)
         found = {"state": state, "counts": (dict(seen.get) if counts else {}) | dict(more())}
+        if buckets:
+            found["buckets"] = buckets.count
         _write_manifest(spark, path, found)
     table = spark.read.parquet(path)
     if buckets:
-        table = read_bucketed(spark, path, table.schema, buckets)
+        count = found.get("buckets", buckets.count)
+        table = read_bucketed(spark, path, table.schema, buckets._replace(count=count))
     return table, found["counts"]
