@@ -11,6 +11,7 @@ from tillroll.operators.reduction import reduce_transactions
 from tillroll.plans import incremental
 from tillroll.plans.features import feature_matrix
 from tillroll.plans.pipeline import Inputs
+from tillroll.session import _staged, staged_mark
 from tillroll.sources import files
 
 
@@ -147,3 +148,15 @@ def test_bad_lines_of_each_day_are_kept(spark, log):
     assert rows_of(grown.features) == rows_of(whole)
     with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE"):
         log.update(strict_dept=False)
+
+
+def test_a_parquet_log_is_read_where_it_is(spark, tmp_path):
+    tables = frames(spark, *random_tables(4))
+    inputs = Inputs(*[str(tmp_path / n) for n in ("offers", "log", "history")])
+    for table, path in zip((tables[1], tables[0], tables[2]), inputs):
+        table.write.parquet(path)
+    mark = staged_mark(spark)
+    grown = incremental.update(spark, inputs, str(tmp_path / "sums"), fmt="parquet")
+    assert rows_of(grown.features) == rows_of(feature_matrix(*tables))
+    staged = _staged[spark.sparkContext.applicationId][mark:]
+    assert staged and not [path for path in staged if "new-rows" in path]

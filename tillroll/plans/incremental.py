@@ -261,7 +261,8 @@ def update(
         if aside:
             rows, bad = files.split_bad_lines(spark, paths, log_schema)
         else:  # text is parsed once here too
-            rows, bad = stage(files.read_table(spark, paths, log_schema, fmt), "new-rows"), None
+            rows, bad = files.read_table(spark, paths, log_schema, fmt), None
+            rows = rows if fmt == "parquet" else stage(rows, "new-rows")
         live.append(
             _take_in(store, new, rows, bad, offers, spine, day_limits, recent_days, before_offer)
         )
