@@ -423,6 +423,15 @@ def test_revealing_terms(spark):
     assert "orblatt" not in clean[0] and "[EMAIL]" in clean[0] and clean[5] == texts[5]
 
 
+def test_terms_are_counted_before_the_candidates_are_looked_for(spark):
+    texts = [f"note {i} boss Zorblatt wrote zorblatt@corp.com the thing {i}" for i in range(4)]
+    docs = documents(spark, texts + [f"the thing number {i}" for i in range(9)])
+    rated = private.revealing_terms(private.stage(private._found(docs), "found"), docs)
+    # Spark moves a semi join below the counting, where it meets each document's words.
+    assert "LeftSemi" not in rated._jdf.queryExecution().optimizedPlan().toString()
+    assert "zorblatt" in [r.term for r in rated.collect()]
+
+
 # 7
 
 

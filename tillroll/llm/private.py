@@ -177,7 +177,8 @@ def revealing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     )
     both = stage(both.where(F.col("texts") >= SUPPORT).join(entities, "entity"), "pairs")
     candidates = stage(both.select("term").distinct(), "candidates")
-    n_t = join_lookup(term_counts(docs), candidates, "term", "left_semi")
+    # Not a semi join, which would be moved below the counting and meet every occurrence.
+    n_t = join_lookup(term_counts(docs), candidates, "term")
     joint = F.log2(F.col("n_et") * F.lit(float(documents)) / (F.col("n_e") * F.col("n_t")))
     own = F.log2(F.lit(float(documents)) / F.col("n_e"))
     degree = F.when(own > 0, F.least(joint / own, F.lit(1.0)))
