@@ -1,6 +1,7 @@
 import pytest
 from tables import rows_of
 
+from tillroll.operators import joins
 from tillroll.operators.joins import broadcast_bytes, fits_broadcast, hot_keys, join_lookup
 
 
@@ -102,3 +103,21 @@ def test_size_check_counts_rows_and_text(spark):
     finally:
         spark.conf.unset("spark.tillroll.broadcastBytes")
     assert broadcast_bytes(short.where("s = 'b'")) == 0
+
+
+def test_only_the_sample_is_tested_for_hot_keys(spark, large_lookups, monkeypatch):
+    spark.conf.set("spark.tillroll.pieceRows", "2000")  # every second row is counted
+    spark.conf.set("spark.tillroll.broadcastBytes", "20000")
+    rows = spark.range(20000).selectExpr("if(id % 2 = 0, 7, id) as k", "id as v")
+    lookup = spark.range(0, 20000, 5).selectExpr("id + 2 as k")
+    tested, plain = [], joins.only_possible
+
+    def noted(frame, possible):
+        tested.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return plain(frame, possible)
+
+    monkeypatch.setattr(joins, "only_possible", noted)
+    for how, filtered in (("left_semi", None), ("inner", True)):
+        found = joins.join_lookup(rows, lookup, "k", how, filtered=filtered)
+        assert rows_of(found) == rows_of(rows.join(lookup, "k", how))
+    assert len(tested) == 4 and sum("Sample" in plan for plan in tested) == 2

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tillroll.operators.blooms import key_filter, only_possible
+from tillroll.operators.blooms import KeyFilter, key_filter, only_possible
 from tillroll.session import broadcast_limit, piece_rows
 
 ROW_OVERHEAD_BYTES = 64
@@ -26,19 +26,24 @@ def fits_broadcast(df: DataFrame) -> bool:
     return broadcast_bytes(df) <= broadcast_limit(df.sparkSession)
 
 
-def hot_keys(fact: DataFrame, on: Sequence[str]) -> DataFrame | None:
+def hot_keys(
+    fact: DataFrame, on: Sequence[str], possible: KeyFilter | None = None
+) -> DataFrame | None:
     """Keys, null included, with more rows than one piece may have, and their ``_pieces``.
 
     A piece has a fixed number of rows, so that no task grows with the table.
     Counted on a sample that a hot key shows up in about a thousand times.  The
     answer only decides how the join is spread out, never which rows it
-    returns.  There are fewer such keys than the table has pieces.
+    returns.  There are fewer such keys than the table has pieces.  With ``possible``
+    only keys that pass are counted; just the sample is tested.
     """
     spark, rows_of_piece = fact.sparkSession, piece_rows(fact.sparkSession)
     fraction = min(1.0, SAMPLED_PER_HOT_KEY / rows_of_piece)
     keys = fact.select(*on)
     if fraction < 1:
         keys = keys.sample(fraction, seed=1)
+    if possible:
+        keys = only_possible(keys, possible)
     piece = rows_of_piece * fraction
     counts = keys.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > piece)
     hot = counts.select(*on, F.ceil(F.col("_n") / F.lit(piece)).cast("int").alias("_pieces"))
@@ -53,6 +58,7 @@ def join_lookup(
     how: str = "inner",
     small: bool | None = None,
     count_on: DataFrame | None = None,
+    filtered: bool | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``lookup``, which holds each key at most once.
 
@@ -62,18 +68,22 @@ def join_lookup(
     by shuffle, with every hot key spread over as many pieces as its share of
     the rows asks for and its lookup row copied to each piece.  For left_semi
     a Bloom filter of the lookup first takes out most rows that match nothing,
-    so that only the others are shuffled.  ``count_on`` has the same keys as
-    ``fact`` and is cheaper to count.
+    so that only the others are shuffled; ``filtered`` asks for that with inner.
+    ``count_on`` has the same keys as ``fact`` and is cheaper to count.
     """
     on = [on] if isinstance(on, str) else list(on)
+    if filtered is None:
+        filtered = how == "left_semi"
     if small is None:
         small = fits_broadcast(lookup)
     if small:
         return fact.join(F.broadcast(lookup), on, how)
-    if how == "left_semi" and (possible := key_filter(lookup.select(*on), fact, on)):
+    counted = fact if count_on is None else count_on
+    may_filter = filtered and how in ("inner", "left_semi")
+    possible = key_filter(lookup.select(*on), fact, on) if may_filter else None
+    if possible:
         fact = only_possible(fact, possible)
-        count_on = only_possible((fact if count_on is None else count_on).select(*on), possible)
-    hot = hot_keys(fact if count_on is None else count_on, on)
+    hot = hot_keys(counted, on, possible)
     if hot is None:
         return fact.join(lookup, on, how)
 

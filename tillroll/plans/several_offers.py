@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from tillroll.functions import cents, spend_or_share, zero_if_null
 from tillroll.operators import lookback as lb
 from tillroll.operators import market as mk
-from tillroll.operators.blooms import key_filter, only_possible
 from tillroll.operators.joins import fits_broadcast, join_lookup
 from tillroll.operators.spine import category_dept_map, history_with_offers, with_dept
 from tillroll.plans import features as ft
@@ -94,9 +93,7 @@ def day_series(
     log = transactions.where(dated).select(
         "id", *ITEMS, "dept", "date", "purchasequantity", "purchaseamount"
     )
-    if not small and (possible := key_filter(offered.select("id"), log, "id")):
-        log = only_possible(log, possible)
-    mine = join_lookup(log, offered, "id", small=small, count_on=log.select("id"))
+    mine = join_lookup(log, offered, "id", small=small, filtered=True)
     sold = mine.select(
         "id",
         F.explode(_looked_at()).alias("thing"),
