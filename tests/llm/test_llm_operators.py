@@ -5,6 +5,7 @@ import math
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -155,6 +156,52 @@ def test_short_items_of_common_words(spark):
     assert all(0 < r.cosine <= 1 for r in found)
 
 
+def test_words_take_little_room_and_long_ones_differ():
+    """One number a byte for the hashes, not four; bytes 64 places apart count differently."""
+    text = " ".join(invented(5, 40_000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    decontamination.words_of(data, np.array([0, len(data)]))
+    tracemalloc.start()
+    decontamination.words_of(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(data)
+    turned = decontamination._hashes("a" + 63 * "x" + "b  b" + 63 * "x" + "a")
+    assert len(set(turned.tolist())) == 2
+
+
+def test_products_of_halves_are_those_of_whole_passages():
+    pick = random.Random(6)
+    texts = [[pick.randrange(40) for _ in range(size)] for size in (0, 1, 31, 32, 33, 64, 65, 96, 97, 700, 3)]
+    vocabulary = np.sort(decontamination._hashes(" ".join(f"t{i}" for i in range(40))))
+    is_term = np.zeros(1 << decontamination.TERM_BITS, bool)
+    is_term[decontamination.buckets(vocabulary[:25])] = True
+    weights = np.ones(1 << decontamination.TERM_BITS, np.float32)
+    likeness = np.random.default_rng(1).standard_normal((25, 7)).astype(np.float32)
+    item = decontamination.Item(0, [1] * 5, [1])
+    space = decontamination.Space(
+        weights, vocabulary[:25], is_term, likeness, np.arange(7), [item] * 7, None, {}
+    )
+    hashes = np.array([vocabulary[i] for text in texts for i in text], np.uint64)
+    words = decontamination.Words(hashes, np.cumsum([0, *map(len, texts)]))
+    shares, decontamination._shares = decontamination._shares, lambda *_: (1.0, 1.0)
+    try:
+        found = {m[:2]: m[2] for m in decontamination._search_passages(space, words)}
+    finally:
+        decontamination._shares = shares
+    expected = {}
+    for r, text in enumerate(texts):
+        for a in range(0, max(len(text) - 32, 1), 32):
+            part = text[a : a + 64]
+            inside = [i for i in part if i < 25]
+            if inside:
+                products = likeness[inside].astype(float).sum(axis=0) / np.sqrt(len(part))
+                for j in np.flatnonzero(products >= decontamination.COSINE):
+                    expected[r, j] = max(expected.get((r, j), 0.0), min(products[j], 1.0))
+    assert found.keys() == expected.keys()
+    assert found == pytest.approx(expected, abs=1e-5)
+
+
 def test_words_of_other_scripts():
     count = lambda text: len(decontamination._hashes(text))
     assert count("水在一百度沸腾。") == 7

@@ -49,6 +49,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -79,11 +80,14 @@ SEED = 42
 CHUNK = 1 << 20
 
 MIX = 0x9E3779B97F4A7C15
-POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64))
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
+BASE = 0x100000001B3
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+# What a byte adds to the hash of its word; a capital adds what its small letter does.
+VALUES = np.arange(1, 257, dtype=np.uint64)
+VALUES[65:91] += np.uint64(32)
+VALUES[:128][~IS_WORD[:128]] = 0
+BLOCK = 512  # rows of floats summed at once, few enough to stay in the cache
 
 # Scripts that are written without blanks, and marks that end a sentence.
 UNSPACED = (
@@ -124,11 +128,9 @@ class Words(NamedTuple):
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     if not len(data):
         return Words(np.empty(0, np.uint64), np.zeros(len(offsets), np.int64))
-    lowered = LOWER[data]
-    capital = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
-    lowered[1:][capital] += 32
     inside = IS_WORD[data]
-    alone, after = _beyond_ascii(data, inside)
+    values = VALUES[data]
+    alone, after = _beyond_ascii(data, inside, values)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     first[alone] = True
@@ -138,21 +140,37 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     begins = np.flatnonzero(first)
     if not len(begins):
         return Words(np.empty(0, np.uint64), np.zeros(len(offsets), np.int64))
-    number = np.cumsum(first) - 1
-    place = np.arange(len(data)) - begins[np.maximum(number, 0)]
-    values = (lowered.astype(np.uint64) + np.uint64(1)) * POWERS[place & 63]
-    values[~inside] = 0
-    hashes = np.add.reduceat(values, begins) * np.uint64(MIX)
+    # A byte counts by its place in the data; dividing by that of the word's start leaves the word's own hash.
+    powers, inverses = _powers(max(len(data), CHUNK))
+    values *= powers[: len(data)]
+    hashes = np.add.reduceat(values, begins) * inverses[begins]
+    hashes *= np.uint64(MIX)
     hashes ^= hashes >> np.uint64(29)
     return Words(hashes * np.uint64(MIX), np.searchsorted(begins, offsets))
 
 
-def _beyond_ascii(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks the bytes of characters that words hold; where words of one character start and end."""
-    lead = np.flatnonzero(data >= 0xC0)
-    if not len(lead):
-        return lead, lead
+@lru_cache(1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``BASE`` modulo 2**64, from 1, and their inverses, times ``BASE``."""
+    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+    up[0], down[0] = 1, BASE
+    return np.cumprod(up, out=up), np.cumprod(down, out=down)
+
+
+def _beyond_ascii(data: np.ndarray, inside: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks the bytes of characters that words hold; where words of one character start and end.
+
+    Lowers the capitals in ``values`` and takes out the bytes that no word holds.
+    """
+    high = np.flatnonzero(data >= 0x80)
+    if not len(high):
+        return high, high
+    lead = high[data[high] >= 0xC0]
     head = data[lead]
+    second = lead[head == 0xC3] + 1
+    second = second[second < len(data)]
+    letter = data[second]
+    values[second[(letter >= 0x80) & (letter <= 0x9E) & (letter != 0x97)]] += np.uint64(32)
     sizes = 2 + (head >= 0xE0) + (head >= 0xF0)
     points = (head & (0xFF >> (sizes + 1))).astype(np.int64)
     rest = np.minimum(lead[:, None] + np.arange(1, 4), len(data) - 1)
@@ -164,6 +182,7 @@ def _beyond_ascii(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.
     for i in range(3):
         more = sizes > i + 1
         inside[rest[more, i]] = kinds[more] != SEPARATOR
+    values[high[~inside[high]]] = 0
     alone, ends = lead[kinds == WORD], (lead + sizes)[kinds == WORD]
     return alone, ends[ends < len(data)]
 
@@ -181,13 +200,28 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, start, words_of(data[part[0] : part[-1]], part - part[0])
 
 
-def _passages(starts: np.ndarray) -> np.ndarray:
-    """The number of each word's passage; passages don't overlap here."""
-    lengths = np.diff(starts)
-    counts = -(-lengths // WINDOW)
+def _passages(starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The numbers of the passages that the words ``at`` are in; passages don't overlap here."""
+    counts = -(-np.diff(starts) // WINDOW)
     base = np.cumsum(counts) - counts
-    place = np.arange(starts[-1]) - np.repeat(starts[:-1], lengths)
-    return np.repeat(base, lengths) + place // WINDOW
+    row = np.searchsorted(starts, at, "right") - 1
+    return base[row] + (at - starts[row]) // WINDOW
+
+
+def _run_starts(values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+
+
+def _row_sums(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Sums of the table's ``rows`` from each start to the next, some starts at a time."""
+    ends = np.append(starts[1:], len(rows))
+    i = 0
+    while i < len(starts):
+        # About BLOCK rows, one sum at least.
+        j = max(int(np.searchsorted(ends, starts[i] + BLOCK, "right")), i + 1)
+        part = table[rows[starts[i] : ends[j - 1]]]
+        yield slice(i, j), np.add.reduceat(part, starts[i:j] - starts[i], axis=0)
+        i = j
 
 
 def _summed(docs: DataFrame, partial: Callable[[Iterable[pa.RecordBatch]], np.ndarray]) -> np.ndarray | None:
@@ -214,7 +248,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         total = np.zeros((1 << TERM_BITS) + 1)
         for _, _, words in _chunks(batches):
             if len(words.hashes):
-                passage = _passages(words.starts)
+                passage = _passages(words.starts, np.arange(len(words.hashes)))
                 keys = np.sort(passage << TERM_BITS | buckets(words.hashes))
                 once = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
                 total[:-1] += np.bincount(once & ((1 << TERM_BITS) - 1), minlength=1 << TERM_BITS)
@@ -283,8 +317,7 @@ class Space(NamedTuple):
     weights: np.ndarray  # by bucket
     terms: np.ndarray  # sorted hashes of the block's weighted terms
     is_term: np.ndarray  # by bucket
-    basis: np.ndarray  # terms x rank
-    latent: np.ndarray  # rank x pieces, scaled by the pieces' lengths
+    likeness: np.ndarray  # terms x pieces: a word's share in the product of latent vectors, over the piece's length
     owner: np.ndarray  # the item of each piece
     items: list[Item]
     seeds: Seeds
@@ -375,26 +408,30 @@ def fit_space(docs: DataFrame, items: list[Item], df: np.ndarray, passages: int)
         hashes = np.array(part, np.uint64)
         at, place = _term_places(hashes, terms, is_term)
         np.add.at(rows[i], place, weights[buckets(hashes[at])])
-    shared = docs.sparkSession.sparkContext.broadcast((weights, terms, is_term, random.astype(np.float32)))
+    own = weights[buckets(terms)]
+    weighted = random.astype(np.float32) * own[:, None]
+    shared = docs.sparkSession.sparkContext.broadcast((own, terms, is_term, weighted))
 
     def partial(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
-        weights, terms, is_term, random = shared.value
-        total = np.zeros((len(terms), random.shape[1] + 1))  # the last column: the rows' energy
+        own, terms, is_term, weighted = shared.value
+        total = np.zeros((len(terms), weighted.shape[1] + 1))  # the last column: the rows' energy
         for _, _, words in _chunks(batches):
             at, place = _term_places(words.hashes, terms, is_term)
             if not len(at):
                 continue
-            passage = _passages(words.starts)[at]
-            weight = weights[buckets(words.hashes[at])]
-            first = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-            projected = np.add.reduceat(random[place] * weight[:, None], first, axis=0)
+            passage = _passages(words.starts, at)
+            first = _run_starts(passage)
+            projected = np.empty((len(first), weighted.shape[1]), np.float32)
+            for some, sums in _row_sums(weighted, place, first):
+                projected[some] = sums
             row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
             by_term = np.argsort(place, kind="stable")
             sorted_places = place[by_term]
-            runs = np.flatnonzero(np.concatenate([[True], sorted_places[1:] != sorted_places[:-1]]))
-            spread = projected[row[by_term]] * weight[by_term, None]
-            total[sorted_places[runs], :-1] += np.add.reduceat(spread, runs, axis=0)
-            total[0, -1] += float((weight**2).sum())
+            runs = _run_starts(sorted_places)
+            for some, sums in _row_sums(projected, row[by_term], runs):
+                total[sorted_places[runs[some]], :-1] += sums
+            total[0, -1] += float((own[place] ** 2).sum())
+        total[:, :-1] *= own[:, None]
         return total.ravel()
 
     product = _summed(docs, partial)
@@ -411,7 +448,8 @@ def fit_space(docs: DataFrame, items: list[Item], df: np.ndarray, passages: int)
             break
         scale *= 4
     latent = (rows @ basis / np.maximum(lengths, 1e-9)[:, None]).T
-    return Space(weights, terms, is_term, basis.astype(np.float32), latent.astype(np.float32), owner, items, _seeds(items, df), _tiny(items))
+    likeness = (own[:, None] * (basis @ latent)).astype(np.float32)
+    return Space(weights, terms, is_term, likeness, owner, items, _seeds(items, df), _tiny(items))
 
 
 def lcs_length(item: list[int], words: list[int]) -> int:
@@ -500,26 +538,40 @@ def _search_passages(space: Space, words: Words) -> Iterator[tuple[int, int, flo
     term_squares = np.concatenate([[0.0], np.cumsum(ours**2)])
     # Passages start every half window; the last one reaches the end.
     lengths = np.diff(starts)
-    counts = np.where(lengths > 0, np.maximum(-(-(lengths - WINDOW) // step), 0) + 1, 0)
+    halves = -(-lengths // step)
+    first_half = np.cumsum(halves) - halves
+    counts = np.where(lengths > 0, np.maximum(halves - 1, 1), 0)
     row = np.repeat(np.arange(len(counts)), counts)
-    begin = starts[row] + step * (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))
+    number = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    begin = starts[row] + step * number
     end = np.minimum(begin + WINDOW, starts[row + 1])
     length = squares[end] - squares[begin]
     heavy = (term_squares[end] - term_squares[begin]) >= COSINE**2 / REPEATS * np.maximum(length, 1e-9)
-    row, begin, end, length = row[heavy], begin[heavy], end[heavy], length[heavy]
+    row, number, begin, end, length = row[heavy], number[heavy], begin[heavy], end[heavy], length[heavy]
     if not len(row):
         return
-    low, high = np.searchsorted(at, begin), np.searchsorted(at, end)
+    low, middle, high = (np.searchsorted(at, a) for a in (begin, np.minimum(begin + step, end), end))
+    half = first_half[row] + number
     best: dict[tuple[int, int], float] = {}
     spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i in range(0, len(row), 2048):
-        sizes = high[i : i + 2048] - low[i : i + 2048]
+    for i in range(0, len(row), BLOCK):
+        some = slice(i, i + BLOCK)
+        # A passage is two halves, which its neighbours share; those that hold no term add nothing.
+        numbers, which = np.unique(np.concatenate([half[some], half[some] + 1]), return_index=True)
+        froms = np.concatenate([low[some], middle[some]])[which]
+        sizes = np.concatenate([middle[some], high[some]])[which] - froms
+        numbers, froms, sizes = numbers[sizes > 0], froms[sizes > 0], sizes[sizes > 0]
         inner = np.cumsum(sizes) - sizes
-        picks = np.repeat(low[i : i + 2048] - inner, sizes) + np.arange(sizes.sum())
-        vectors = np.add.reduceat(space.basis[place[picks]] * weight[at[picks], None], inner, axis=0)
+        picks = np.repeat(froms - inner, sizes) + np.arange(sizes.sum())
+        sums = np.zeros((len(numbers) + 1, space.likeness.shape[1]), np.float32)
+        for part, found in _row_sums(space.likeness, place[picks], inner):
+            sums[part] = found
+        products = np.zeros((len(half[some]), sums.shape[1]), np.float32)
+        for wanted, filled in ((half[some], middle[some] > low[some]), (half[some] + 1, high[some] > middle[some])):
+            products += sums[np.where(filled, np.searchsorted(numbers, wanted), len(numbers))]
         # Words that repeat in a passage add up in its vector, and so in its length.
-        scale = np.sqrt(np.maximum(length[i : i + 2048], 1e-9))
-        cosines = vectors @ space.latent / scale[:, None]
+        scale = np.sqrt(np.maximum(length[some], 1e-9))
+        cosines = products / scale[:, None]
         for p, j in zip(*np.nonzero(cosines >= COSINE)):
             key = (int(row[i + p]), int(space.owner[j]))
             best[key] = max(best.get(key, 0.0), float(cosines[p, j]))
