@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,18 @@ def test_relation_is_sorted_and_joined_without_shuffle(spark, tmp_path):
     pairs = phrases.next_relation(words, counts, ("lang", "word"), False, f"{tmp_path}/pairs")
     assert pairs.rdd.getNumPartitions() == words.rdd.getNumPartitions() == 1
     assert sum(sum(r.n) for r in pairs.collect()) > 1000
+
+
+def test_a_row_group_holds_few_chunks(spark, tmp_path):
+    """A reader holds a whole row group of a relation, arrays and all."""
+    pick = random.Random(8)
+    texts = [" ".join(f"w{pick.randrange(90_000)}" for _ in range(180_000)) for _ in range(9)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").coalesce(1)
+    phrases.word_relation(docs, str(tmp_path / "words"))
+    groups = []
+    for file in (tmp_path / "words").glob("*.parquet"):
+        about = pq.ParquetFile(file).metadata
+        groups += [about.row_group(i) for i in range(about.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 5
+    assert all(g.num_rows == 1 or g.total_byte_size < 2 * phrases.ROW_GROUP_BYTES for g in groups)
+    assert max(g.num_rows for g in groups) < 5

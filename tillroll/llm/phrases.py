@@ -44,6 +44,12 @@ TOP = 2000
 NO_LANG = "und"
 # A row is a chunk of documents, so few rows make a row group.
 ROW_GROUP_BYTES = 4 << 20
+# Parquet would look at a group's size after 100 rows only, and a reader holds a whole group of arrays.
+ROW_GROUPS = {
+    "parquet.block.size": ROW_GROUP_BYTES,
+    "parquet.page.size.row.check.min": 1,
+    "parquet.page.size.row.check.max": 1,
+}
 
 _OTHER, _BLANK, _END = 0, 1, 2
 _KINDS = np.full(256, _OTHER, np.uint8)
@@ -136,7 +142,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _persist(relation: DataFrame, path: str) -> DataFrame:
     spark = relation.sparkSession
     with smaller_batches(spark):
-        relation.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+        relation.write.options(**ROW_GROUPS).parquet(path)
     return spark.read.schema(relation.schema).parquet(path)
 
 
