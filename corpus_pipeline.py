@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.llm import decontamination, mixing, perplexity, sharding, simhash
 from tillroll.llm.batches import release_shared, shared_mark, smaller_batches, tidy_driver
 from tillroll.llm.queries import SHARDS, table
-from tillroll.session import release_staged, stage, staged_mark
+from tillroll.session import after_staging, release_staged, stage, staged_mark
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``.
 
     When a stage is written, the tables and broadcasts it was made from are
-    freed, the stage before it included.
+    freed, the stage before it included.  The driver is tidied after every table
+    that is written, or its heap grows with what the jobs before left there.
     """
     docs = table(spark, sf_dir, "documents")
     tables, shared = staged_mark(spark), shared_mark(spark)
-    with smaller_batches(spark):
+    with smaller_batches(spark), after_staging(tidy_driver):
         for name, function in STAGES[:-1]:
             docs = stage(function(spark, docs, sf_dir), name)
             release_shared(spark, shared)

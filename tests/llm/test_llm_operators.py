@@ -675,3 +675,15 @@ def test_round_trip(spark, tmp_path):
 
 def test_vocabulary_of_words():
     assert len(WORDS) == len(set(WORDS))
+
+
+def test_calls_after_staging(spark):
+    """A long job can tidy the driver after each of its tables, and only while it runs."""
+    from tillroll.session import after_staging, stage
+
+    called = []
+    with after_staging(called.append):
+        stage(spark.range(3), "one")
+        assert stage(spark.range(4), "two").count() == 4
+    stage(spark.range(5), "three")
+    assert called == [spark, spark]

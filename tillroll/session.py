@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,7 @@ DEFAULT_PIECE_ROWS = 2_000_000
 
 _local_folders: dict[str, str] = {}
 _staged: dict[str, list[str]] = {}
+_after_staging: list[Callable[[SparkSession], None]] = []
 
 
 def broadcast_limit(spark: SparkSession) -> int:
@@ -69,9 +72,21 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     path = new_path(df.sparkSession, name)
     df.write.parquet(path, partitionBy=partition_by)
     _staged.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    for call in _after_staging:
+        call(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def after_staging(call: Callable[[SparkSession], None]) -> Iterator[None]:
+    """Make ``call`` after each table that is staged meanwhile."""
+    _after_staging.append(call)
+    try:
+        yield
+    finally:
+        _after_staging.remove(call)
+
+
 def staged_mark(spark: SparkSession) -> int:
     """How many tables have been staged so far, for ``release_staged``."""
     return len(_staged.get(spark.sparkContext.applicationId, ()))
