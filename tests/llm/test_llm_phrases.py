@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -146,3 +147,46 @@ def test_a_row_group_holds_few_chunks(spark, tmp_path):
     assert sum(g.num_rows for g in groups) >= 5
     assert all(g.num_rows == 1 or g.total_byte_size < 2 * phrases.ROW_GROUP_BYTES for g in groups)
     assert max(g.num_rows for g in groups) < 5
+
+
+def test_pairs_are_counted_over_many_buckets(spark, monkeypatch):
+    """The same counts, however few entries a task holds and a bucket gets."""
+    monkeypatch.setattr(phrases, "SENT_ENTRIES", 50)
+    monkeypatch.setattr(phrases, "BUCKET_ENTRIES", 20)
+    docs = random_docs(5)
+    assert mined(spark, docs, least=3) == brute_force(docs, least=3)
+
+
+def test_mixing_is_one_to_one():
+    for bits in (1, 2, 7, 12):
+        numbers = np.arange(1 << bits, dtype=np.uint64)
+        mixed = phrases._Mixer(bits).mix(numbers)
+        assert sorted(mixed.tolist()) == numbers.tolist()
+        assert (phrases._Mixer(bits).unmix(mixed) == numbers).all()
+    large = np.array([0, 1, (1 << 61) - 1, 12345678901234567], np.uint64)
+    mixer = phrases._Mixer(61)
+    assert (mixer.unmix(mixer.mix(large)) == large).all()
+    for numbers in ([0], [0, 255, 256], [1 << 40, 3]):
+        numbers = np.array(numbers, np.uint64)
+        assert (phrases._received(phrases._sent(numbers), len(numbers)) == numbers).all()
+
+
+def test_counts_of_pairs_are_added_over_chunks(spark):
+    pick = random.Random(4)
+    a, b = ([pick.randrange(30_000) for _ in range(100_000)] for _ in range(2))
+    pairs = Counter(zip(a, b))
+    row = (0, None, None, [p[0] for p in pairs], [p[1] for p in pairs], list(pairs.values()))
+    relation = spark.createDataFrame([row, row], phrases.PAIR_SCHEMA).coalesce(1)
+    # As rows they took over 12 bytes each in a compressed shuffle.
+    sent = phrases._sent_pairs(relation, 30_000)[0]
+    octets = sent.agg(F.sum(F.octet_length("steps") + F.octet_length("n"))).first()[0]
+    assert octets < 5 * len(pairs)
+    counted = phrases._pair_counts(relation, 30_000, 4)
+    found = {(r.a, r.b): r.n for r in counted.collect()}
+    assert found == {p: 2 * n for p, n in pairs.items() if n >= 2}
+
+
+def test_ids_have_no_gaps(spark):
+    frame = spark.range(1000).repartition(7).where("id % 7 < 3").withColumnRenamed("id", "x")
+    ids = sorted(r.id for r in phrases._numbered(frame, "some").collect())
+    assert ids == list(range(len(ids))) and len(ids) > 400

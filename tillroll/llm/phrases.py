@@ -14,7 +14,10 @@ A level
 
 Only dictionaries are shuffled, never occurrences, unless the frequent phrases
 are too many to broadcast: then what each chunk needs of them is joined by
-shuffle and brought to the chunk.
+shuffle and brought to the chunk.  Phrases of two parts are so many that they are
+shuffled as sorted numbers: a task adds some chunks up, spreads the phrases over
+buckets by a one-to-one mixing of their numbers and sends of each bucket the
+steps from a number to the next, a few bytes each.
 
 Defined results: a null text has no words and a null ``lang`` is ``und``; the
 same text twice counts twice, whatever its ``doc_id``, which isn't read; an empty
@@ -51,6 +54,12 @@ ROW_GROUPS = {
     "parquet.page.size.row.check.max": 1,
 }
 
+# Dictionary entries that a task adds up before it sends them, and those that a bucket gets.
+SENT_ENTRIES = 1 << 21
+BUCKET_ENTRIES = 1 << 20
+SENT_SCHEMA = "bucket int, steps binary, n binary"
+MIXER = 0x9E3779B97F4A7C15
+
 _OTHER, _BLANK, _END = 0, 1, 2
 _KINDS = np.full(256, _OTHER, np.uint8)
 _KINDS[list(b" \t")] = _BLANK
@@ -169,6 +178,111 @@ def _counted(relation: DataFrame, *keys: str) -> DataFrame:
     return _entries(relation, *keys).groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
+class _Mixer:
+    """One-to-one mixing of the numbers below ``1 << bits``, which spreads them evenly."""
+
+    def __init__(self, bits: int) -> None:
+        self.mask = np.uint64((1 << bits) - 1)
+        self.half = np.uint64(-(-bits // 2))
+        self.there, self.back = np.uint64(MIXER), np.uint64(pow(MIXER, -1, 1 << 64))
+
+    def _mixed(self, numbers: np.ndarray, factor: np.uint64) -> np.ndarray:
+        numbers = numbers * factor & self.mask
+        numbers ^= numbers >> self.half  # undone by itself, as it is half the bits or more
+        return numbers * factor & self.mask
+
+    def mix(self, numbers: np.ndarray) -> np.ndarray:
+        return self._mixed(numbers, self.there)
+
+    def unmix(self, mixed: np.ndarray) -> np.ndarray:
+        return self._mixed(mixed, self.back)
+
+
+def _sent(numbers: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest needs, all their lowest bytes first."""
+    width = max(1, -(-int(numbers.max()).bit_length() // 8))
+    octets = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return octets[:, :width].T.tobytes()
+
+
+def _received(sent: bytes, count: int) -> np.ndarray:
+    octets = np.zeros((count, 8), np.uint8)
+    octets[:, : len(sent) // count] = np.frombuffer(sent, np.uint8).reshape(-1, count).T
+    return octets.view("<u8").ravel()
+
+
+def _added_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(all_keys)
+    all_keys, all_counts = all_keys[order], all_counts[order]
+    first = np.flatnonzero(np.append(True, all_keys[1:] != all_keys[:-1]))
+    return all_keys[first], np.add.reduceat(all_counts, first)
+
+
+def _sent_pairs(relation: DataFrame, size: int) -> tuple[DataFrame, _Mixer]:
+    """The dictionaries in ``SENT_SCHEMA``, and what the numbers of pairs are mixed with.
+
+    ``a`` and ``b`` are below ``size``.  A bucket has about ``BUCKET_ENTRIES`` entries,
+    however many there are.
+    """
+    entries = relation.agg(F.sum(F.size("n"))).first()[0] or 0
+    bucket_bits = max(0, int(-(-entries // BUCKET_ENTRIES) - 1).bit_length())
+    bits = max((size * size).bit_length(), bucket_bits + 1)
+    mixer, low = _Mixer(bits), np.uint64(bits - bucket_bits)
+
+    def rows(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        mixed, n = _added_up(keys, counts)
+        bucket = (mixed >> low).astype(np.int32)
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(mixed))
+        parts = list(zip(cuts[:-1], cuts[1:]))
+        steps = [_sent(np.append(mixed[i], np.diff(mixed[i:j]))) for i, j in parts]
+        sums = [len(n[i:j]).to_bytes(8, "little") + _sent(n[i:j]) for i, j in parts]
+        return pa.RecordBatch.from_pydict(
+            {
+                "bucket": pa.array(bucket[cuts[:-1]], pa.int32()),
+                "steps": pa.array(steps, pa.binary()),
+                "n": pa.array(sums, pa.binary()),
+            }
+        )
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held = [], [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b, n = (batch.column(c)[i].values.to_numpy() for c in ("a", "b", "n"))
+                keys.append(mixer.mix(a.astype(np.uint64) * np.uint64(size) + b.astype(np.uint64)))
+                counts.append(n.astype(np.int64))
+                held += len(n)
+                if held >= SENT_ENTRIES:
+                    yield rows(keys, counts)
+                    keys, counts, held = [], [], 0
+        if held:
+            yield rows(keys, counts)
+        pa.default_memory_pool().release_unused()
+
+    return relation.select("a", "b", "n").mapInArrow(send, SENT_SCHEMA), mixer
+
+
+def _pair_counts(relation: DataFrame, size: int, least: int) -> DataFrame:
+    """(a, b, n) of the pairs in all dictionaries whose count ``n`` is ``least`` or more."""
+    sent, mixer = _sent_pairs(relation, size)
+
+    def add(bucket: pa.Table) -> pa.Table:
+        keys, counts = [], []
+        for steps, n in zip(bucket.column("steps"), bucket.column("n")):
+            n = n.as_py()
+            count = int.from_bytes(n[:8], "little")
+            keys.append(np.cumsum(_received(steps.as_py(), count), dtype=np.uint64))
+            counts.append(_received(n[8:], count).astype(np.int64))
+        mixed, n = _added_up(keys, counts)
+        frequent = n >= least
+        pairs = mixer.unmix(mixed[frequent]).astype(np.int64)
+        return pa.table({"a": pairs // size, "b": pairs % size, "n": n[frequent]})
+
+    return sent.groupBy("bucket").applyInArrow(add, "a long, b long, n long")
+
+
 def _word_finder(frequent: pa.Table) -> Finder:
     by_lang = {}
     lang = frequent.column("lang").combine_chunks().dictionary_encode()
@@ -291,7 +405,18 @@ def next_relation(
 
 
 def _numbered(frequent: DataFrame, name: str) -> DataFrame:
-    return stage(frequent.withColumn("id", F.monotonically_increasing_id()), name)
+    """``frequent`` as a table with an ``id`` from zero without gaps."""
+    placed = stage(frequent.withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    # A row for each of the table's partitions.
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts, before = [], 0
+    for row in sizes.orderBy("_part").collect():
+        starts.append((row["_part"], before - (row["_part"] << 33)))
+        before += row["_n"]
+    shift = frequent.sparkSession.createDataFrame(starts, "_part long, _shift long")
+    shifted = placed.withColumn("_part", part).join(F.broadcast(shift), "_part")
+    return shifted.withColumn("id", F.col("_at") + F.col("_shift")).drop("_part", "_shift", "_at")
 
 
 def frequent_phrases(
@@ -319,8 +444,8 @@ def frequent_phrases(
         relation = next_relation(relation, levels[-1], keys, last, paths[length - 1])
         _release(spark, paths[length - 2])
         keys = ("a", "b")
-        counts = _counted(relation, *keys).where(F.col("n") >= least)
         shorter = levels[-1]
+        counts = _pair_counts(relation, shorter.count(), least)
         begins = shorter.select(
             F.col("id").alias("a"),
             "lang",
