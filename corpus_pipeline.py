@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import decontamination, mixing, perplexity, sharding, simhash
-from tillroll.llm.batches import release_shared, shared_mark, smaller_batches, tidy_driver
+from tillroll.llm.batches import release_shared, shared_mark, smaller_batches, tidy_driver, tidy_executors
 from tillroll.llm.queries import SHARDS, table
 from tillroll.session import after_staging, release_staged, stage, staged_mark
 
@@ -54,14 +54,17 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     When a stage is written, the tables and broadcasts it was made from are
     freed, the stage before it included.  The driver is tidied after every table
-    that is written, or its heap grows with what the jobs before left there.
+    that is written, or its heap grows with what the jobs before left there, and the
+    executors before each stage.
     """
     docs = table(spark, sf_dir, "documents")
     tables, shared = staged_mark(spark), shared_mark(spark)
     with smaller_batches(spark), after_staging(tidy_driver):
         for name, function in STAGES[:-1]:
+            tidy_executors(spark)
             docs = stage(function(spark, docs, sf_dir), name)
             release_shared(spark, shared)
             release_staged(spark, tables, keep=1)
             tidy_driver(spark)
+    tidy_executors(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

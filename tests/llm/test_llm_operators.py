@@ -687,3 +687,34 @@ def test_calls_after_staging(spark):
         assert stage(spark.range(4), "two").count() == 4
     stage(spark.range(5), "three")
     assert called == [spark, spark]
+
+
+def test_counting_characters_takes_little_memory():
+    """Two MB of text at once took over 150 MB of arrays."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    pick = random.Random(6)
+    texts = ["".join(pick.choices("abcdefghij klmnop", k=2000)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "train": [i % 2 == 0 for i in range(3000)]})
+    tracemalloc.start()
+    try:
+        counted = sum(pc.sum(found.column("n")).as_py() for found in perplexity._count_grams([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counted == 1500 * 2000
+    assert peak < 130 << 20
+
+
+def test_executors_are_tidied(spark):
+    from tillroll.llm.batches import tidy_executors
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def collections():
+        return sum(bean.getCollectionCount() for bean in beans)
+
+    before = collections()
+    tidy_executors(spark)  # in local mode the executor's heap is the driver's
+    assert collections() > before

@@ -52,6 +52,16 @@ def tidy_driver(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy_executors(spark: SparkSession) -> None:
+    """Have the executors give back the heap that finished jobs left unused.
+
+    Beside a heap that has grown to its limit there is little room for Python's arrays.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    collected = spark.range(0, slots, 1, slots).selectExpr("java_method('java.lang.System', 'gc') as done")
+    collected.write.format("noop").mode("overwrite").save()
+
+
 @contextmanager
 def smaller_batches(spark: SparkSession, limit: int = 8 << 20) -> Iterator[None]:
     """Arrow batches of about ``limit`` bytes, not 64 MB, in jobs that start meanwhile."""

@@ -59,7 +59,9 @@ QUANTILE = 0.98
 LEAST_HELD_OUT = 50
 PRIOR_CHARS = 60
 SHARD_GRAMS = 1 << 21
-MERGE_GRAMS = 1 << 21
+MERGE_GRAMS = 1 << 20
+# Text that is turned into n-grams at once: some 60 bytes a character while it is.
+GRAM_BYTES = 1 << 19
 BIN = 1000  # bins of the quantile histogram per nat
 
 
@@ -112,7 +114,7 @@ def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", GRAM_BYTES):
             train = np.asarray(part.column("train").fill_null(False).to_numpy(zero_copy_only=False), bool)
             grams, lengths = gram_ids(*text_bytes(part.column("text")))
             if not len(grams):
@@ -133,6 +135,8 @@ def _count_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     kept, size = ([], []), 0
     if size:
         yield rows()
+    del kept
+    pa.default_memory_pool().release_unused()
 
 
 def gram_table(docs: DataFrame) -> DataFrame:
@@ -248,7 +252,7 @@ def _score(docs: DataFrame, shard: DataFrame, sum_name: str, count_name: str) ->
                 sums = np.zeros(part.num_rows)
                 sizes = np.zeros(part.num_rows, np.int64)
                 data, offsets = text_bytes(part.column("text"))
-                for start, end in row_chunks(offsets):
+                for start, end in row_chunks(offsets, GRAM_BYTES):
                     inside = data[offsets[start] : offsets[end]]
                     found, lengths = gram_ids(inside, offsets[start : end + 1] - offsets[start])
                     total = np.concatenate([[0.0], np.cumsum(scores.look_up(found), dtype=float)])
@@ -259,6 +263,7 @@ def _score(docs: DataFrame, shard: DataFrame, sum_name: str, count_name: str) ->
                     [*part.columns, pa.array(sums), pa.array(sizes)],
                     [*part.schema.names, sum_name, count_name],
                 )
+        pa.default_memory_pool().release_unused()
 
     schema = StructType(
         [*docs.schema.fields, StructField(sum_name, DoubleType()), StructField(count_name, LongType())]
