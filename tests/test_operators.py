@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from tables import HISTORY, OFFER_DAY, TRANSACTIONS, frames, random_tables, rows_of, sale
 
+from tillroll.sources.sample import sample_transactions  # noqa: I001
 from tillroll.functions import day_diff, money, recode_label, spend_or_share
 from tillroll.operators import keysets as ks
 from tillroll.operators import lookback as lb
@@ -212,3 +213,41 @@ def test_missing_keys_and_numbers(spark):
     row = feature_matrix(transactions, offers, history).first()
     assert [row[f"X{i}"] for i in (7, 9, 16, 23, 76)] == [18.0, 3, 2, 2, 5.0]
     assert not [c for c, v in row.asDict().items() if v is None]
+
+
+def test_the_lines_are_shuffled_by_order_and_part_only(spark, tmp_path):
+    """They were shuffled by customer and supplier too, and each made its category."""
+    tables = {
+        "customer": [(1, 5), (2, 6)],
+        "orders": [(10, 1), (20, 2), (50, 2), (60, None)],
+        "supplier": [(3, 7), (4, 8)],
+        "part": [(100, "TIN", "green red blue", "B#1"), (200, None, "one", "B#2")],
+        "lineitem": [
+            (order, part, supplier, 1, 2.0, 30.0, flag, "2001-01-02")
+            for order in (10, 20, 50, 60, 70)
+            for part, supplier, flag in ((100, 3, "R"), (200, 4, "N"), (100, 9, "N"), (300, 3, "N"))
+        ],
+    }
+    columns = {
+        "customer": "c_custkey long, c_nationkey int",
+        "orders": "o_orderkey long, o_custkey long",
+        "supplier": "s_suppkey long, s_nationkey int",
+        "part": "p_partkey long, p_type string, p_name string, p_brand string",
+        "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,"
+        " l_extendedprice double, l_returnflag string, l_shipdate string",
+    }
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, columns[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        log = sample_transactions(spark, str(tmp_path))
+        found = [tuple(r) for r in log.select("id", "chain", "category", "company", "purchasequantity").collect()]
+        plan = log._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    expected = []
+    for order, shopper, chain, copies in ((10, 1, 105, 1), (20, 2, 106, 1), (50, 2, 106, 2)):
+        expected += [(shopper, chain, "TIN/red", 7, -2), (shopper, chain, None, 8, 2)] * copies
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    assert plan.count("SortMergeJoin") == 3 and "BroadcastHashJoin [l_suppkey" in plan
+    assert "SortMergeJoin [o_custkey" in plan.split("SortMergeJoin [l_orderkey")[1]

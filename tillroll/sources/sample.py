@@ -15,6 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillroll.operators.joins import fits_broadcast
 from tillroll.session import stage
 from tillroll.sources.schemas import ITEMS
 
@@ -36,15 +37,25 @@ def sample_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+    # What a purchase takes from the other tables is joined and worked out there, so
+    # that the lines, by far the most rows, are shuffled once by order and once by part.
+    orders = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.select("o_orderkey", "o_custkey", "c_nationkey")
+    word = F.split_part("p_name", F.lit(" "), F.lit(2))
+    parts = table("part").select(
+        "p_partkey", "p_type", "p_brand", F.concat("p_type", F.lit("/"), word).alias("_category")
+    )
+    suppliers = table("supplier").select("s_suppkey", "s_nationkey")
     # One small file is one task; a large table has its own splits.
     lines, slots = table("lineitem"), spark.sparkContext.defaultParallelism
     if lines.rdd.getNumPartitions() < slots:
         lines = lines.repartition(slots, "l_orderkey")
+    if fits_broadcast(suppliers):
+        suppliers = F.broadcast(suppliers)
     sales = (
-        lines.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
     )
     sign = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
     twice = F.array_repeat(F.lit(0), F.when(F.col("l_orderkey") % 50 == 0, 2).otherwise(1))
@@ -56,9 +67,7 @@ def sample_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~every(101), F.col("o_custkey")).alias("id"),
         (F.lit(100) + F.col("c_nationkey")).alias("chain"),
         F.when(every(71), "Mixed").when(~every(89), F.col("p_type")).alias("dept"),
-        F.concat("p_type", F.lit("/"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias(
-            "category"
-        ),
+        F.col("_category").alias("category"),
         F.col("s_nationkey").alias("company"),
         F.when(~every(97), F.col("p_brand")).alias("brand"),
         F.when(~every(83), F.to_date("l_shipdate")).alias("date"),
