@@ -8,13 +8,35 @@ returns one row per document taken, with its shard and slot.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.llm import decontamination, mixing, perplexity, sharding, simhash
-from tillroll.llm.batches import release_shared, shared_mark, smaller_batches, tidy_driver, tidy_executors
+from tillroll.llm.batches import freed_when_left, smaller_batches, tidy_driver, tidy_executors
 from tillroll.llm.queries import SHARDS, table
 from tillroll.session import after_staging, release_staged, stage, staged_mark
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def tidied(function: Stage) -> Stage:
+    """The stage, in a session tidied of what ran before.
+
+    The executors are tidied at its beginning, the driver also after every table that
+    is written, or its heap grows with what the jobs before left there.
+    """
+
+    @wraps(function)
+    def tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tidy_driver(spark)
+        tidy_executors(spark)
+        with smaller_batches(spark), after_staging(tidy_driver):
+            return function(spark, docs, sf_dir)
+
+    return tidy
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return perplexity.accepted(docs, table(spark, sf_dir, "labels"))
@@ -37,11 +59,11 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality", quality),
-    ("near_duplicates", near_duplicates),
-    ("decontaminate", decontaminate),
-    ("mix", mix),
-    ("shard", shard),
+    ("quality", tidied(quality)),
+    ("near_duplicates", tidied(near_duplicates)),
+    ("decontaminate", tidied(decontaminate)),
+    ("mix", tidied(mix)),
+    ("shard", tidied(shard)),
 ]
 
 # Training a model, growing trees and fitting a latent space have no SQL;
@@ -53,18 +75,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``.
 
     When a stage is written, the tables and broadcasts it was made from are
-    freed, the stage before it included.  The driver is tidied after every table
-    that is written, or its heap grows with what the jobs before left there, and the
-    executors before each stage.
+    freed, the stage before it included.
     """
-    docs = table(spark, sf_dir, "documents")
-    tables, shared = staged_mark(spark), shared_mark(spark)
-    with smaller_batches(spark), after_staging(tidy_driver):
-        for name, function in STAGES[:-1]:
-            tidy_executors(spark)
+    docs, tables = table(spark, sf_dir, "documents"), staged_mark(spark)
+    for name, function in STAGES[:-1]:
+        with freed_when_left(), smaller_batches(spark):
             docs = stage(function(spark, docs, sf_dir), name)
-            release_shared(spark, shared)
-            release_staged(spark, tables, keep=1)
-            tidy_driver(spark)
-    tidy_executors(spark)
+        release_staged(spark, tables, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,32 +14,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 21
 
-_shared: dict[str, list[Broadcast]] = {}
+_until_written: list[list[Broadcast]] = []
 
 
 def share(spark: SparkSession, value: Any) -> Broadcast:
-    """``value`` as a broadcast that ``release_shared`` can free."""
+    """``value`` as a broadcast, which Spark frees when no result that uses it is left.
+
+    Within ``freed_when_left`` it is freed at the end of that.
+    """
     sent = spark.sparkContext.broadcast(value)
-    _shared.setdefault(spark.sparkContext.applicationId, []).append(sent)
+    if _until_written:
+        _until_written[-1].append(sent)
     return sent
 
 
-def shared_mark(spark: SparkSession) -> int:
-    """How many values are shared so far, for ``release_shared``."""
-    return len(_shared.get(spark.sparkContext.applicationId, ()))
-
-
-def release_shared(spark: SparkSession, mark: int = 0) -> int:
-    """Free what was shared since ``mark``, on the driver and on all executors.
+@contextmanager
+def freed_when_left() -> Iterator[None]:
+    """Free what is shared meanwhile, on the driver and on all executors.
 
     Results that use it must have been written by then.
     """
-    sent = _shared.get(spark.sparkContext.applicationId, [])
-    released = sent[mark:]
-    for one in released:
-        one.destroy()
-    del sent[mark:]
-    return len(released)
+    sent: list[Broadcast] = []
+    _until_written.append(sent)
+    try:
+        yield
+    finally:
+        _until_written.pop()
+        for one in sent:
+            one.destroy()
 
 
 def tidy_driver(spark: SparkSession) -> None:
